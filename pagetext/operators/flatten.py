@@ -1,23 +1,12 @@
-"""Raw recognition payloads (JSON / Variant) -> line records.
-
-The payload walk is a bounded number of per-row levels over Variant values,
-expressed with higher-order array functions: no Python, no shuffle. Each
-level maps a frontier of nodes to their children; a node is
-
-* an *array*: when its first element is an entry the array is a page and
-  every element is a page line; otherwise each element that is an entry is
-  a one-line page and each container element is walked further;
-* an *object*: the nine container keys are followed in priority order; an
-  object that is itself an entry and holds no container list is a
-  one-line page.
-
-Entries are recognised strictly (a sequence entry needs numeric points and a
-text part; an object entry needs a box key and a non-empty text key), which
-also fixes nested multi-line pages being mistaken for a single entry.
-
-Documents whose pages yield no line passing the confidence filter get the
-fallback walk (N5): every entry anywhere, breadth-first, each its own block.
-Nodes still pending after ``MAX_DEPTH`` levels are reported as rejects.
+"""Raw recognition payloads (JSON) -> line records -> page text.
+
+S7 reads payloads as semi-structured values (``try_parse_json``: bad JSON
+becomes NULL and goes to the reject table). The walk that finds pages and
+entries (N1, N2, N3, N5) is a recursive descent over arbitrary nesting; it
+runs per payload in an Arrow-batched Pandas UDF (``functions.payload_walk``),
+because an unrolled Catalyst version produced plans too large to optimise.
+Filtering (F1), numbering (N4) and assembly (N6) are Spark windows and
+aggregates on the exploded lines.
 """
 
 from __future__ import annotations
@@ -25,28 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Key lists, in the order they are tried.
-CONTAINER_KEYS = ("result", "results", "res", "data", "records", "predictions",
-                  "pages", "items", "elements")
-BOX_KEYS = ("bbox", "box", "points", "polygon", "poly", "position")
-INNER_BOX_KEYS = ("bbox", "box", "points", "polygon", "poly")
-TEXT_KEYS = ("text", "value", "content", "label", "transcription")
-SCORE_KEYS = ("score", "confidence", "prob", "probability")
-INNER_SCORE_KEYS = ("text", "confidence", "prob", "probability")
-
-MAX_DEPTH = 6
-_NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-_FALSY_JSON = ("null", "false", '""', "[]", "{}")
-_ZERO_JSON = r"^-?0*\.?0*([eE][-+]?[0-9]+)?$"
-
-NODE_SCHEMA = "struct<kind:string,path:array<int>,page:array<int>,pos:int,v:variant>"
-
-
-# ---------------------------------------------------------------- variant helpers
-def vget(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
-
+from ..functions.payload_walk import walk_udf
 
+# ---------------------------------------------------------------- variant helpers
 def as_array(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
@@ -55,14 +25,6 @@ def as_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def is_num(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).rlike(_NUMERIC), F.lit(False))
-
-
-def is_str(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-
-
 def is_array(v: Column) -> Column:
     return as_array(v).isNotNull()
 
@@ -71,218 +33,48 @@ def is_object(v: Column) -> Column:
     return as_object(v).isNotNull()
 
 
-def is_container(v: Column) -> Column:
-    return is_array(v) | is_object(v)
-
-
-def truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value, from its JSON text (one reference to ``v``)."""
-    js = F.to_json(v)
-    return F.coalesce(~js.isin(*_FALSY_JSON) & ~js.rlike(_ZERO_JSON), F.lit(False))
-
-
-def first_truthy(vals: list[Column]) -> Column:
-    """``a or b or c ...`` -> the first truthy value (NULL when none)."""
-    out = F.lit(None).cast("variant")
-    for val in reversed(vals):
-        out = F.when(truthy(val), val).otherwise(out)
-    return out
-
-
-def as_text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-# ---------------------------------------------------------------- entry tests
-def _object_entry_flat(v: Column) -> Column:
-    return (truthy(first_truthy([vget(v, f"$.{k}") for k in BOX_KEYS]))
-            & truthy(first_truthy([vget(v, f"$.{k}") for k in TEXT_KEYS])))
-
-
-def _sequence_entry(v: Column) -> Column:
-    points = is_num(vget(v, "$[0][0]")) | is_num(vget(v, "$[0][0][0]"))
-    info = (is_str(vget(v, "$[1][0]")) | is_str(vget(v, "$[1]"))
-            | vget(v, "$[1].text").isNotNull() | vget(v, "$[1].value").isNotNull())
-    return is_array(v) & points & info
-
-
-def is_entry(v: Column) -> Column:
-    """Strict entry test (object with box+text, optionally under ``line``; or sequence)."""
-    line = vget(v, "$.line")
-    obj = is_object(v) & (_object_entry_flat(v)
-                          | (is_object(line) & _object_entry_flat(line))
-                          | _sequence_entry(line))
-    return F.coalesce(obj | _sequence_entry(v), F.lit(False))
-
-
-# ---------------------------------------------------------------- walk
-def _node(kind, path, page, pos, v) -> Column:
-    return F.struct(kind.alias("kind"), path.alias("path"), page.alias("page"),
-                    pos.cast("int").alias("pos"), v.alias("v"))
-
-
-def _child_kind(is_line: Column, e: Column) -> Column:
-    return F.when(is_line, F.lit("line")).when(is_container(e), F.lit("node")).otherwise(F.lit("drop"))
-
-
-def _expand_pages(n: Column) -> Column:
-    """N1 level: children of one frontier node (lines pass through)."""
-    v = n["v"]
-    arr = as_array(v)
-    first_entry = is_entry(F.get(arr, 0))
-    from_array = F.transform(arr, lambda e, i: _node(
-        _child_kind(first_entry | is_entry(e), e),
-        F.array_append(n["path"], i),
-        F.when(first_entry, n["path"]).otherwise(F.array_append(n["path"], i)),
-        F.when(first_entry, i).otherwise(F.lit(0)),
-        e))
-    containers = []
-    for idx, key in enumerate(CONTAINER_KEYS):
-        val = vget(v, f"$.{key}")
-        containers.append(F.when(F.size(as_array(val)) > 0, _node(
-            F.lit("node"), F.array_append(n["path"], F.lit(idx)), F.lit(None).cast("array<int>"),
-            F.lit(0), val)))
-    has_container = F.exists(F.array(*containers), lambda c: c.isNotNull())
-    self_line = F.when(~has_container & is_entry(v), _node(F.lit("line"), n["path"], n["path"], F.lit(0), v))
-    from_object = F.filter(F.array(*containers, self_line), lambda c: c.isNotNull())
-    children = (F.when(F.size(arr) > 0, from_array)
-                .when(is_object(v), from_object)
-                .otherwise(F.array().cast(f"array<{NODE_SCHEMA}>")))
-    return F.when(n["kind"] == "node", F.filter(children, lambda c: c["kind"] != "drop")).otherwise(F.array(n))
-
-
-def _expand_all(n: Column) -> Column:
-    """N5 level: every element / value is visited; each entry is its own block."""
-    v = n["v"]
-    arr = as_array(v)
-    vals = F.map_values(as_object(v))
-    children = F.coalesce(arr, vals, F.array().cast("array<variant>"))
-    out = F.transform(children, lambda e, i: _node(
-        _child_kind(is_entry(e), e), F.array_append(n["path"], i),
-        F.array_append(n["path"], i), F.lit(0), e))
-    return F.when(n["kind"] == "node", F.filter(out, lambda c: c["kind"] != "drop")).otherwise(F.array(n))
-
-
-def _walk(v: Column, expand, max_depth: int) -> Column:
-    root = F.when(is_entry(v), F.array(_node(F.lit("line"), F.array().cast("array<int>"),
-                                             F.array().cast("array<int>"), F.lit(0), v)))
-    root = root.when(is_container(v), F.array(_node(F.lit("node"), F.array().cast("array<int>"),
-                                                    F.lit(None).cast("array<int>"), F.lit(0), v)))
-    frontier = root.otherwise(F.array().cast(f"array<{NODE_SCHEMA}>"))
-    for _ in range(max_depth):
-        frontier = F.flatten(F.transform(frontier, expand))
-    return frontier
-
-
-# ---------------------------------------------------------------- N2 / N3
-def _seq_text_score(info: Column) -> tuple[Column, Column]:
-    arr_text = as_text(vget(info, "$[0]"))
-    arr_score = F.when(is_num(vget(info, "$[1]")), F.try_variant_get(info, "$[1]", "double"))
-    obj_text = as_text(first_truthy([vget(info, "$.text"), vget(info, "$.value")]))
-    raw = F.coalesce(F.when(~F.is_variant_null(vget(info, "$.score")), vget(info, "$.score")),
-                     vget(info, "$.confidence"))
-    obj_score = F.when(is_num(raw), F.try_variant_get(raw, "$", "double"))
-    text = (F.when(F.size(as_array(info)) > 0, arr_text)
-            .when(is_object(info), obj_text)
-            .when(is_str(info), as_text(info)))
-    score = (F.when(F.size(as_array(info)) > 0, arr_score)
-             .when(is_object(info), obj_score))
-    return F.coalesce(text, F.lit("")), F.coalesce(score, F.lit(1.0))
-
-
-def _parse_object(v: Column) -> Column:
-    box = first_truthy([vget(v, "$.bbox"), vget(v, "$.box")])
-    box = F.when(is_object(box), first_truthy([vget(box, f"$.{k}") for k in INNER_BOX_KEYS])).otherwise(box)
-    bbox = first_truthy([box] + [vget(v, f"$.{k}") for k in BOX_KEYS[2:]])
-    text = F.coalesce(as_text(first_truthy([vget(v, f"$.{k}") for k in TEXT_KEYS])), F.lit(""))
-    raw = first_truthy([vget(v, f"$.{k}") for k in SCORE_KEYS])
-    raw = F.when(is_object(raw), first_truthy([vget(raw, f"$.{k}") for k in INNER_SCORE_KEYS])).otherwise(raw)
-    raw = F.when(F.size(as_array(raw)) > 0, vget(raw, "$[0]")).otherwise(raw)
-    score = F.when(is_num(raw), F.try_variant_get(raw, "$", "double")).otherwise(F.lit(1.0))
-    return F.when(is_object(v) & bbox.isNotNull(),
-                  F.struct(bbox.alias("bbox"), text.alias("text"), score.alias("score")))
-
-
-def _parse_sequence(v: Column) -> Column:
-    arr = as_array(v)
-    text1, score1 = _seq_text_score(vget(v, "$[1]"))
-    text2, score2 = _seq_text_score(vget(v, "$[2]"))
-    use2 = (text1 == "") & (F.size(arr) > 2) & (text2 != "")
-    return F.when(F.size(arr) >= 2, F.struct(
-        vget(v, "$[0]").alias("bbox"),
-        F.when(use2, text2).otherwise(text1).alias("text"),
-        F.when(use2, score2).otherwise(score1).alias("score")))
-
-
-def parse_entry(v: Column) -> Column:
-    """Entry -> struct<bbox:variant,text:string,score:double> or NULL."""
-    line = vget(v, "$.line")
-    nested = F.when(is_container(line), F.coalesce(_parse_object(line), _parse_sequence(line)))
-    return F.coalesce(F.when(is_object(v), F.coalesce(nested, _parse_object(v))), _parse_sequence(v))
-
-
-def flatten_bbox(bbox: Column) -> Column:
-    """Nested points -> flat array<double> (already-flat lists kept)."""
-    return F.coalesce(F.flatten(F.try_variant_get(bbox, "$", "array<array<double>>")),
-                      F.try_variant_get(bbox, "$", "array<double>"),
-                      F.array().cast("array<double>"))
-
-
 # ---------------------------------------------------------------- public API
 def parse_payloads(df: DataFrame, key: str = "doc_id", payload: str = "j") -> DataFrame:
-    """JSON text -> Variant; rows whose payload does not parse get ``v = NULL``."""
-    return df.select(key, F.try_parse_json(F.col(payload)).alias("v"))
+    """Payload text kept, plus its Variant form (NULL when it does not parse)."""
+    return df.select(key, F.col(payload).alias("j"), F.try_parse_json(F.col(payload)).alias("v"))
 
 
-def page_entries(payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3,
-                 max_depth: int = MAX_DEPTH) -> DataFrame:
-    """N1, N2, N5 per row (no shuffle): every parsed entry of a payload as
-    ``(key, mode, page array<int>, pos int, p struct<bbox,text,score>)``.
+def page_entries(payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3) -> DataFrame:
+    """N1, N2, N3, N5 per payload (no shuffle): every page line as
+    ``(key, mode, page array<int>, pos, text, score, bbox)``.
 
     ``mode`` is 'pages' when the page walk found a line passing the
     confidence filter, else 'fallback' (entries of the breadth-first walk).
-    ``p`` is NULL for page elements that do not parse.
+    Page lines that do not parse keep NULL text/score (their page still counts).
     """
-    def survives(p: Column) -> Column:
-        return p.isNotNull() & (p["score"] >= F.lit(min_confidence)) & (p["text"] != "")
+    w = payloads.select(key, walk_udf(min_confidence)(F.col("j")).alias("w"))
+    return (w.where(F.col("w.status") == "ok")
+            .select(key, F.col("w.mode").alias("mode"), F.inline("w.lines")))
 
-    def parsed(nodes: Column) -> Column:
-        return F.transform(F.filter(nodes, lambda n: n["kind"] == "line"),
-                           lambda n: F.struct(n["page"].alias("page"), n["pos"].alias("pos"),
-                                              parse_entry(n["v"]).alias("p")))
 
-    walked = payloads.select(key, "v", parsed(_walk(F.col("v"), _expand_pages, max_depth)).alias("lines"))
-    has_line = F.exists("lines", lambda x: survives(x["p"]))
-    # N5 only where N4 found nothing usable in a non-empty payload
-    fallback = F.when(~has_line & truthy(F.col("v")), parsed(_walk(F.col("v"), _expand_all, max_depth)))
-    chosen = walked.select(
-        key,
-        F.when(has_line, F.lit("pages")).otherwise(F.lit("fallback")).alias("mode"),
-        F.when(has_line, F.col("lines")).otherwise(F.coalesce(fallback, F.col("lines"))).alias("lines"))
-    return chosen.select(key, "mode", F.inline("lines"))
+def rejects(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Payloads that do not parse or nest too deeply, with the reason."""
+    w = payloads.select(key, walk_udf(0.0)(F.col("j")).alias("w"))
+    return w.where(F.col("w.status") != "ok").select(key, F.col("w.status").alias("reason"))
 
 
-def page_walk(payloads: DataFrame, key: str = "doc_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """N1 alone: the page lines the page walk finds (before parsing/filtering)."""
-    walked = payloads.select(key, _walk(F.col("v"), _expand_pages, max_depth).alias("nodes"))
-    return walked.select(key, F.inline(F.filter("nodes", lambda n: n["kind"] == "line"))).select(
-        key, "page", "pos", F.col("v").alias("entry"))
+def page_walk(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """N1 view: the page lines found by the page walk (pages mode only)."""
+    return page_entries(payloads, key).where(F.col("mode") == "pages").select(key, "page", "pos")
 
 
 def number_lines(entries: DataFrame, key: str = "doc_id", min_confidence: float = 0.3) -> DataFrame:
-    """Filter and number the parsed entries.
+    """N4 + F1: filter and number the parsed entries.
 
-    Output: ``key, block_id int, line_id int, text, confidence double, bbox array<double>``.
+    Output: ``key, block_id int, line_id int, text, confidence double, bbox array<double>, mode``.
     """
-    def survives(p: Column) -> Column:
-        return p.isNotNull() & (p["score"] >= F.lit(min_confidence)) & (p["text"] != "")
-
+    survives = F.col("text").isNotNull() & (F.col("score") >= F.lit(min_confidence)) & (F.col("text") != "")
     # One exchange on the document key serves all three windows (and a later
     # groupBy on the key). A document's lines came from one input row, so a
     # window partition is bounded by the largest payload row.
     # Block ids count every page, before filtering; N5: survivors in BFS order.
     ranked = entries.withColumn("bp", F.dense_rank().over(Window.partitionBy(key).orderBy("page")))
-    kept = ranked.where(survives(F.col("p")))
+    kept = ranked.where(survives)
     numbered = (kept
                 .withColumn("fb", F.row_number().over(Window.partitionBy(key).orderBy(F.size("page"), "page")))
                 .withColumn("ln", F.row_number().over(Window.partitionBy(key, "bp").orderBy("pos"))))
@@ -291,26 +83,15 @@ def number_lines(entries: DataFrame, key: str = "doc_id", min_confidence: float
         key,
         (F.when(is_pages, F.col("bp")).otherwise(F.col("fb")) - 1).cast("int").alias("block_id"),
         F.when(is_pages, F.col("ln") - 1).otherwise(F.lit(0)).cast("int").alias("line_id"),
-        F.col("p.text").alias("text"),
-        F.col("p.score").alias("confidence"),
-        flatten_bbox(F.col("p.bbox")).alias("bbox"),
+        "text",
+        F.col("score").alias("confidence"),
+        F.coalesce(F.col("bbox"), F.array().cast("array<double>")).alias("bbox"),
         "mode")
 
 
-def extract_lines(payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3,
-                  max_depth: int = MAX_DEPTH) -> DataFrame:
-    """N1-N5 + F1: Variant payloads ``(key, v)`` -> numbered lines."""
-    return number_lines(page_entries(payloads, key, min_confidence, max_depth), key, min_confidence).drop("mode")
-
-
-def too_deep(payloads: DataFrame, key: str = "doc_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Reject table: payloads that do not parse, or still have unwalked nodes."""
-    walked = payloads.select(key, "v", _walk(F.col("v"), _expand_pages, max_depth).alias("nodes"))
-    return walked.select(
-        key,
-        F.when(F.col("v").isNull(), F.lit("invalid payload"))
-        .when(F.exists("nodes", lambda n: n["kind"] == "node"), F.lit("nesting too deep"))
-        .alias("reason")).where(F.col("reason").isNotNull())
+def extract_lines(payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3) -> DataFrame:
+    """N1-N5 + F1: payloads ``(key, j)`` -> numbered lines."""
+    return number_lines(page_entries(payloads, key, min_confidence), key, min_confidence).drop("mode")
 
 
 def assemble_text(lines: DataFrame, key: str = "doc_id") -> DataFrame:

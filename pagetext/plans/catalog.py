@@ -75,7 +75,7 @@ def q_parse_entry(spark, sf):
     from pyspark.sql import Window
     blk = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page")) - 1
     return e.select(big("doc_id").alias("doc_id"), big(blk).alias("block"), big("pos").alias("pos"),
-                    F.col("p.text").alias("text"), r6(F.col("p.score")).alias("score"))
+                    "text", r6("score").alias("score"))
 
 
 def q_flatten_bbox(spark, sf):
