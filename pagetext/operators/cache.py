@@ -43,9 +43,15 @@ def valid_cache(cache: DataFrame) -> DataFrame:
     return latest_per_key(evict_dummy(cache))
 
 
-def dedupe_content(inputs: DataFrame, key: str = "key") -> DataFrame:
-    """One row per distinct content key (processed once, fanned out later)."""
-    return inputs.dropDuplicates([key])
+def dedupe_content(inputs: DataFrame, key: str = "key", order: str = "doc_id") -> DataFrame:
+    """One row per distinct content key (processed once, fanned out later).
+
+    The representative is the row with the smallest ``order`` value
+    (deterministic); ``min_by`` aggregates partially, so a key shared by
+    very many rows is not gathered into one task."""
+    others = [c for c in inputs.columns if c != key]
+    g = inputs.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("r"))
+    return g.select(key, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
 def cache_hits(inputs: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
@@ -64,8 +70,8 @@ def cache_misses(inputs: DataFrame, cache: DataFrame, key: str = "key") -> DataF
 def cache_upsert(cache: DataFrame, new_rows: DataFrame, key: str = "key", ts: str = "created_at") -> DataFrame:
     """Replace by key; the newest ``created_at`` wins. Dummy results
     are never stored."""
-    fresh = new_rows.where(~is_dummy(F.col("engine_name"), F.col("text")))
-    return latest_per_key(cache.unionByName(fresh, allowMissingColumns=True), key, ts)
+    both = cache.unionByName(new_rows, allowMissingColumns=True)
+    return latest_per_key(both.where(~is_dummy(F.col("engine_name"), F.col("text"))), key, ts)
 
 
 def get_or_set(inputs: DataFrame, cache: DataFrame, compute, key: str = "key",

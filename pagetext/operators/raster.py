@@ -60,9 +60,9 @@ def contrast_stretch(gray: DataFrame, image: str = "image_id") -> DataFrame:
     """Per-image min/max stretch to 0..255 (unchanged when the range < 1e-3)."""
     st = gray.groupBy(image).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     j = gray.join(st, image)
-    rng = (F.col("hi") - F.col("lo")).cast("float")
-    norm = (F.col("v").cast("float") - F.col("lo").cast("float")) / rng
-    out = F.when(rng < _f32(1e-3), F.col("v")).otherwise(_u8(norm * _f32(255.0)))
+    rng = (F.col("hi") - F.col("lo")).cast("double")
+    norm = (F.col("v") - F.col("lo")).cast("double") / rng
+    out = F.when(rng < 1e-3, F.col("v")).otherwise(_u8(norm * 255.0))
     return j.select(image, "y", "x", out.cast("int").alias("v"))
 
 

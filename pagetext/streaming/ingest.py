@@ -27,7 +27,8 @@ def _process(batch: DataFrame, cache_path: str) -> None:
     spark = batch.sparkSession
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).select("key")
     fresh = (batch.select("doc_id", "text", content_key(F.col("text")).alias("key"))
-             .dropDuplicates(["key"]).join(stored, "key", "left_anti"))
+             .groupBy("key").agg(F.min_by(F.struct("doc_id", "text"), F.col("doc_id")).alias("r"))
+             .select("key", "r.doc_id", "r.text").join(stored, "key", "left_anti"))
     out = normalize_frame(fresh.withColumn("language", language_heuristic(F.col("text"))))
     (out.select("key", "text", "language", F.lit("stream").alias("engine_name"), "doc_id")
      .write.mode("append").parquet(cache_path))
