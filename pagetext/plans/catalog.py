@@ -131,7 +131,7 @@ def q_response_struct(spark, sf):
 
 # ------------------------------------------------------------------ normalisation
 def _receipts(spark, sf):
-    return fx.fx_receipts(spark, sf)
+    return spread(fx.fx_receipts(spark, sf))
 
 
 def q_norm_dates(spark, sf):
@@ -168,7 +168,7 @@ def q_normalize_text(spark, sf):
 
 # ------------------------------------------------------------------ language
 def q_language_heuristic(spark, sf):
-    t = fx.fx_lang(spark, sf)
+    t = spread(fx.fx_lang(spark, sf))
     return t.select(big("k").alias("k"), lang.language_heuristic(F.col("text")).alias("language"))
 
 
@@ -505,7 +505,7 @@ def q_spell_candidates(spark, sf):
 
 
 def q_spell_correct(spark, sf):
-    conv = fx.table(spark, sf, "conversations").select(
+    conv = spread(fx.table(spark, sf, "conversations")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     out = spelling.spell_correct(conv, _lexicon(spark, sf))
     return out.select(big("doc_id").alias("doc_id"), "text")

@@ -186,8 +186,14 @@ def with_fx(*names: str) -> str:
 
 
 def dist2(a: str, b: str) -> str:
-    return (f"CASE WHEN {a} = {b} THEN 0 WHEN damerau_levenshtein({a}, {b}) <= 1 THEN 1 "
-            f"WHEN damerau_levenshtein({a}, {b}) <= 2 THEN 2 END")
+    """Edit class 0/1/2 of token ``a`` to lexicon word ``b`` (ASCII letters).
+
+    DuckDB's ``damerau_levenshtein`` counts bytes; a non-ASCII character of
+    the token can never equal a character of an ASCII word, so mapping each
+    one to a single byte absent from words keeps the character distance."""
+    m = f"regexp_replace({a}, '[^\\x00-\\x7F]', chr(1), 'g')"
+    return (f"CASE WHEN {a} = {b} THEN 0 WHEN damerau_levenshtein({m}, {b}) <= 1 THEN 1 "
+            f"WHEN damerau_levenshtein({m}, {b}) <= 2 THEN 2 END")
 
 
 BUCKETS_VALUES = ", ".join(f"({q(str(b))}, {b}::DOUBLE)" for b in DEFAULT_BUCKETS) + ", ('+Inf', NULL)"
