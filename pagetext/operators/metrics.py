@@ -33,22 +33,25 @@ def exact_ranks(df: DataFrame, group: str, value: str, fractions: tuple[float, .
                               SKETCH_ACCURACY)
     stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), pct.alias("q"))
     k = len(fractions)
-    bands = stats.select(group, "n", F.arrays_zip(F.slice("q", 1, k).alias("lo"),
-                                                  F.slice("q", k + 1, k).alias("hi")).alias("band"))
-    joined = df.select(group, value).join(bands, group)   # one row per group: AQE broadcasts it
+    bands = stats.select(F.col(group).alias("__g"), "n", F.arrays_zip(F.slice("q", 1, k).alias("lo"),
+                                                                      F.slice("q", k + 1, k).alias("hi")).alias("band"))
+    # fresh column names on the row side: the row table and its own aggregate
+    # are joined, so no attribute of one side may reappear on the other
+    rows = df.select(F.col(group).alias("__g"), F.col(value).alias("__v"))
+    joined = rows.join(bands, "__g")   # one row per group: AQE broadcasts it
+    v = F.col("__v")
     small = F.col("n") <= SMALL_GROUP
-    in_band = F.exists("band", lambda b: (F.col(value) >= b["lo"]) & (F.col(value) <= b["hi"]))
+    in_band = F.exists("band", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
     # rows strictly below each band's lower bound, per group (partial aggregation)
-    below = (joined.select(group, F.posexplode("band").alias("bi", "b"), value)
-             .groupBy(group, "bi").agg(F.sum(F.when(F.col(value) < F.col("b.lo"), 1).otherwise(0)).alias("below")))
+    below = (joined.select("__g", F.posexplode("band").alias("bi", "b"), "__v")
+             .groupBy("__g", "bi").agg(F.sum(F.when(v < F.col("b.lo"), 1).otherwise(0)).alias("below")))
     kept = joined.where(small | in_band).withColumn("__band", F.when(small, F.lit(-1)).otherwise(
-        F.array_position(F.transform("band", lambda b: (F.col(value) >= b["lo"]) & (F.col(value) <= b["hi"])),
-                         True).cast("int") - 1))
+        F.array_position(F.transform("band", lambda b: (v >= b["lo"]) & (v <= b["hi"])), True).cast("int") - 1))
     # rank inside the band, offset by the rows below it
-    w = Window.partitionBy(group, "__band").orderBy(value)
+    w = Window.partitionBy("__g", "__band").orderBy("__v")
     ranked = kept.withColumn("__r", F.row_number().over(w))
-    ranked = ranked.join(below.withColumnRenamed("bi", "__band"), [group, "__band"], "left")
-    return ranked.select(group, value, "n",
+    ranked = ranked.join(below.withColumnRenamed("bi", "__band"), ["__g", "__band"], "left")
+    return ranked.select(F.col("__g").alias(group), F.col("__v").alias(value), "n",
                          (F.col("__r") + F.coalesce(F.col("below"), F.lit(0))).cast("long").alias("rank"))
 
 
