@@ -24,6 +24,14 @@ from pyspark.sql import types as T
 
 def levenshtein(a: Sequence, b: Sequence) -> int:
     """Exact unit-cost edit distance between two sequences (bit-parallel)."""
+    # a shared prefix or suffix never changes the distance: strip it first
+    lo, hi_a, hi_b = 0, len(a), len(b)
+    while lo < hi_a and lo < hi_b and a[lo] == b[lo]:
+        lo += 1
+    while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
+        hi_a -= 1
+        hi_b -= 1
+    a, b = a[lo:hi_a], b[lo:hi_b]
     if len(a) < len(b):
         a, b = b, a          # shorter one as the text, longer as the bit pattern
     m = len(a)
