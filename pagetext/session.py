@@ -1,13 +1,14 @@
 """Spark session defaults and shared-storage helpers.
 
-Jobs never pick a machine-local folder on a cluster: lineage cuts and
-versioned tables go below ``spark.checkpoint.dir`` (the shared folder the
-cluster names). Only tests and local runs set that option themselves.
+Lineage cuts and versioned tables go below ``spark.checkpoint.dir`` (the shared
+folder the cluster names); a cluster session without it is refused. Only plain
+local runs fall back to a scratch folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,20 +41,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors: ``spark.checkpoint.dir``.
 
-    When the session has none (local runs and tests only) a fresh scratch
-    folder is created and registered, so later calls agree.
+    Where the session has none, a plain local run gets a scratch folder of its
+    own, registered so that later calls agree; on a cluster that is an error,
+    since executors do not see each other's folders.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
     if conf_dir:
-        if not sc_dir:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
-    if sc_dir:
-        return sc_dir.rstrip("/")
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="pagetext-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
