@@ -10,10 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagetext.llm import decontaminate, mixing, sharding
+from pagetext.llm import decontaminate, mixing, neardup, quality, sharding
 from pagetext.llm.tables import stored, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the good labelled ones selects."""
+    return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each group of near-duplicates: shingles of
+    five words, similarity 0.8 or more."""
+    return neardup.drop_near_duplicates(docs, shingle=5)
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten consecutive words of a benchmark item."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -30,6 +41,8 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", without_near_duplicates),
     ("decontaminate", clean_of_benchmark),
     ("mix", mixed),
     ("shard", sharded),

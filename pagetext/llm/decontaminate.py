@@ -13,9 +13,9 @@ shorter item is one phrase).
    the lists on (document, phrase, start); what is left is compared word by
    word. ``proximity_matches`` asks only that the terms stand close together.
 
-DataFrame functions only. Postings are looked up with terms folded by
-``lower`` (which only merges lists); the comparison folds A-Z alone, so the
-result is exact. No list is cut: a phrase of frequent words has long lists.
+DataFrame functions only. Terms are joined by 64-bit hashes (a collision could
+only merge two lists); the comparison is of the words themselves, so the result
+is exact. No list is cut: a phrase of frequent words has long lists.
 
 Nulls: a null text has no words. Equal rows get equal results; rows that share
 a doc_id but differ in text are told apart by the text's hash. Empty tables
@@ -33,28 +33,25 @@ from pyspark.sql import functions as F
 from .tables import small_side, stored, text_or_empty
 
 WINDOW = 10
-ANCHORS = 3
-# The word class with A-Z inside, so that folding can wait until after the split.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANCHORS = 2
+# A-Z to lower case, all other ASCII but a-z and 0-9 to blanks, in one pass over the text.
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and c != 0x20)
+FROM = string.ascii_uppercase + SEPARATORS
+TO = string.ascii_lowercase + " " * len(SEPARATORS)
 DOC = ["doc_id", "text_hash"]
 
 
-def fold(c: Column) -> Column:
-    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
-
-
-def words_any_case(column: str = "text") -> Column:
-    return F.regexp_extract_all(text_or_empty(column), F.lit(WORD_ANY_CASE), F.lit(0))
+def words_of(column: str = "text") -> Column:
+    return F.array_remove(F.split(F.translate(text_or_empty(column), FROM, TO), " "), "")
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_any_case().alias("words"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of().alias("words"))
 
 
 def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, phrase): the folded words of each window, joined by blanks."""
-    items = benchmark.select("item_id", F.split(fold(F.array_join(words_any_case(), " ")), " ").alias("words"))
-    items = items.where(F.col("words")[0] != "")
+    """(item_id, phrase): the words of each window, joined by blanks."""
+    items = benchmark.select("item_id", words_of().alias("words")).where(F.size("words") > 0)
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1))))
     return (items.select("item_id", "words", start.alias("start"))
             .select("item_id", F.array_join(F.slice("words", F.col("start"), F.lit(window)), " ").alias("phrase"))
@@ -62,16 +59,16 @@ def phrases(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def phrase_terms(phrase_items: DataFrame) -> DataFrame:
-    """(phrase, phrase_id, n_words, term, offset), each term of a phrase at its first offset."""
+    """(phrase, phrase_id, n_words, term, offset), each term (a hash) of a phrase at its first offset."""
     p = phrase_items.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
     t = p.select("phrase", F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "term"))
-    return (t.groupBy("phrase", "n_words", F.lower("term").alias("term")).agg(F.min("offset").alias("offset"))
+    return (t.groupBy("phrase", "n_words", F.xxhash64("term").alias("term")).agg(F.min("offset").alias("offset"))
             .withColumn("phrase_id", F.xxhash64("phrase")))
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, frequency) over all documents for the given distinct terms that occur."""
-    tokens = document_words(docs).select(F.explode("words").alias("token")).select(F.lower("token").alias("term"))
+    tokens = document_words(docs).select(F.explode("words").alias("token")).select(F.xxhash64("token").alias("term"))
     return tokens.join(small_side(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
@@ -93,7 +90,7 @@ def build_index(docs: DataFrame, anchor_terms: DataFrame, window: int = WINDOW)
     terms = anchor_terms.groupBy("term").agg(F.min("rarity").alias("best"))
     tokens = document_words(docs).select(*DOC, "words", F.posexplode("words").alias("position", "token"))
     reach = window - 1
-    found = tokens.withColumn("term", F.lower("token")).join(small_side(terms), "term")
+    found = tokens.withColumn("term", F.xxhash64("token")).join(small_side(terms), "term")
     at = F.greatest(F.col("position") - reach, F.lit(0))
     around = F.array_join(F.slice("words", at + 1, F.col("position") - at + window), " ")
     return found.select("term", *DOC, "position", F.when(F.col("best") == 1, around).alias("around"), at.alias("around_at"))
@@ -115,7 +112,7 @@ def phrase_matches(index: DataFrame, anchor_terms: DataFrame) -> DataFrame:
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in spot]
     both = lead.join(common.alias("b"), on, "left_semi")
     begin = F.greatest(F.col("start") - F.col("around_at") + 1, F.lit(1))   # slice() rejects 0, also in rows filtered out later
-    text = F.slice(F.split(fold(F.col("around")), " "), begin, F.col("n_words"))
+    text = F.slice(F.split("around", " "), begin, F.col("n_words"))
     return both.where(F.array_join(text, " ") == F.col("phrase")).select(*DOC, "phrase", "start", "n_words").distinct()
 
 
