@@ -145,12 +145,12 @@ def block_counts(docs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ the tree
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series at x + 8, brought back by the recurrence."""
+    """Stirling's series at x + 12, brought back by the recurrence."""
     shift = np.zeros_like(x)
-    for i in range(8):
+    for i in range(12):
         shift += np.log(x + i)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - shift
+    y = x + 12
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7) - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

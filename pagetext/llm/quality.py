@@ -101,7 +101,7 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             bucket, text = features(*flat(b.column("text")))
-            weight = np.bincount(text, weights=ratios[bucket], minlength=b.num_rows)
+            weight = np.bincount(text, weights=ratios[bucket], minlength=b.num_rows).astype(float)
             u = (mix(b.column("dice").to_numpy().view(U64)) >> U64(12)).astype(float) / 2.0 ** 52 + 2.0 ** -53
             key = weight - np.log(-np.log(u))
             yield pa.RecordBatch.from_arrays(

@@ -75,7 +75,7 @@ def test_proximity(spark):
     docs = frame(spark, [(1, "alpha x beta y gamma", "", "", 0), (2, "gamma beta alpha", "", "", 0), (3, "alpha " + "z " * 40 + "beta gamma", "", "", 0)], DOCS)
     items = frame(spark, [(1, "alpha beta gamma")], "item_id long, text string")
     terms = dc.phrase_terms(dc.phrases(items))
-    rare = dc.anchors(terms, dc.term_frequencies(docs, terms.select("term").distinct()))
+    rare = dc.anchors(terms, dc.term_frequencies(docs, terms.select("term").distinct()), per_phrase=3)
     index = dc.build_index(docs, rare)
     assert {r["doc_id"] for r in dc.proximity_matches(index, rare, slop=4).collect()} == {1, 2}
     assert dc.phrase_matches(index, rare).count() == 0

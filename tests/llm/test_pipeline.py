@@ -18,7 +18,7 @@ def test_stages_apply_their_decisions(spark, tmp_path):
     item = prose(rng, 30)
     docs += [(500 + i, prose(rng, 40) + " " + item, "en", "hot", 0) for i in range(3)]
     docs += [(600 + i, "$$$ %%% " * 50 + f"j{i} " * 20, "en", "hot", 0) for i in range(10)]
-    labels = [(i, 1, 0) for i in range(60)] + [(600 + i, 0, 0) for i in range(10)]
+    labels = [(i, 1, 0) for i in (*range(60), *range(100, 110), *range(200, 213))] + [(600 + i, 0, 0) for i in range(10)]
     sf = tables(spark, tmp_path, docs, labels, [(1, item)])
     assert [n for n, _ in cp.STAGES] == ["quality", "near_duplicates", "decontaminate", "mix", "shard"]
     now, ids = spark.read.parquet(f"{sf}/documents.parquet"), []
