@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from pagetext.plans.catalog import QUERIES  # noqa: E402
-from pagetext.session import build_session  # noqa: E402
+from pagetext.session import SPREAD_CONF, build_session  # noqa: E402
 
 HEADLINE = ("response_struct", "number_lines", "normalize_text", "language_heuristic", "cer", "wer",
             "latency_report", "request_metrics", "cache_get_or_set", "spell_correct", "first_success",
@@ -23,6 +23,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8))
+    spark.conf.set(SPREAD_CONF, str(cpus * 2))   # the test tables are single row groups
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     for name in HEADLINE:

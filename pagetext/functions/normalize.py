@@ -49,16 +49,23 @@ def norm_currency(text: Column) -> Column:
 
 
 def find_emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(EMAIL_RE), 0)
+    return _all(text, EMAIL_RE, text.contains("@"))
 
 
 def find_urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(URL_RE), 0)
+    return _all(text, URL_RE, text.contains("://"))
+
+
+def _all(text: Column, pattern: str, likely: Column) -> Column:
+    """All matches; the pattern is run only over texts that hold its fixed part."""
+    return F.when(likely, F.regexp_extract_all(text, F.lit(pattern), 0)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def lower_each(text: Column, found: Column) -> Column:
-    """Replace every occurrence of each found string by its lower-case form."""
-    return F.aggregate(found, text, lambda acc, x: F.replace(acc, x, F.lower(x)))
+    """Replace every occurrence of each found string by its lower-case form
+    (each distinct string that changes, once)."""
+    changing = F.filter(F.array_distinct(found), lambda x: x != F.lower(x))
+    return F.when(F.size(changing) > 0, F.aggregate(changing, text, lambda acc, x: F.replace(acc, x, F.lower(x)))).otherwise(text)
 
 
 def normalize_columns(text: Column) -> dict[str, Column]:

@@ -23,8 +23,8 @@ def replace_matches(text: Column, pattern: str, fn: Callable[[Column], Column])
         F.zip_with(gaps, matches, lambda gap, m: F.concat(F.coalesce(gap, F.lit("")),
                                                           F.coalesce(m, F.lit("")))),
         "")
-    # split() of NULL is NULL; keep NULL in, NULL out.
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(stitched)
+    # texts without a match (and NULL) stay as they are: one scan instead of two
+    return F.when(text.rlike(pattern), stitched).otherwise(text)
 
 
 def group(match: Column, pattern: str, idx: int) -> Column:

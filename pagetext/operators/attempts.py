@@ -5,9 +5,9 @@ attempt with non-empty text wins. Duration = initial attempt + the winner
 (failed retries are not counted; a winning initial attempt is counted
 once). Without a winner the initial attempt is kept.
 
-One ``groupBy`` with ``min_by`` / conditional ``max``: both aggregate
-partially before the shuffle, so a document with many attempts is not
-gathered into one task.
+One ``groupBy`` over fixed-width values finds the winner's number (partial
+aggregation, no text in it); the text is joined by that number. Attempts of a
+document have distinct numbers.
 """
 
 from __future__ import annotations
@@ -19,14 +19,9 @@ from pyspark.sql import functions as F
 def first_success(attempts: DataFrame, key: str = "doc_id", order: str = "ord",
                   text: str = "text", ms: str = "ms") -> DataFrame:
     ok = F.col(text).isNotNull() & (F.col(text) != "")
-    g = attempts.groupBy(key).agg(
-        F.min_by(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(ms).alias("d")),
-                 F.when(ok, F.col(order))).alias("win"),
-        F.max(F.when(F.col(order) == 0, F.struct(F.col(text).alias("t"), F.col(ms).alias("d")))).alias("first"))
-    won = F.col("win").isNotNull()
-    return g.select(
-        key,
-        F.when(won, F.col("win.o")).otherwise(F.lit(0)).cast("int").alias("winner"),
-        F.when(won, F.col("win.t")).otherwise(F.col("first.t")).alias("text"),
-        (F.col("first.d") + F.when(won & (F.col("win.o") != 0), F.col("win.d")).otherwise(F.lit(0.0)))
-        .alias("duration_ms"))
+    g = attempts.groupBy(F.col(key).alias("won_key")).agg(
+        F.coalesce(F.min(F.when(ok, F.col(order))), F.lit(0)).alias("won"),
+        F.max(F.when(F.col(order) == 0, F.col(ms))).alias("first_ms"))
+    j = attempts.join(g, (F.col(key) == F.col("won_key")) & (F.col(order) == F.col("won")))
+    return j.select(key, F.col("won").cast("int").alias("winner"), text,
+                    (F.col("first_ms") + F.when(F.col("won") != 0, F.col(ms)).otherwise(F.lit(0.0))).alias("duration_ms"))

@@ -1,18 +1,19 @@
 """The result cache as a table.
 
-The cache is a Parquet table ``(key, text, language, engine_name,
-created_at, ...)`` keyed by the SHA-256 of the input content. Lookups are
-joins, replacement is a union + latest-per-key, and every write goes to a new
-version folder under the shared checkpoint folder (never over the path
-being read).
-
-Latest-per-key uses ``max_by`` in a ``groupBy`` (partial aggregation), so a
-key stored many times is not gathered into one task.
+The cache is a Parquet table ``(key, text, language, engine_name, created_at)``
+with one row per key, keyed by the SHA-256 of the input content. Lookups are
+joins, replacement keeps the newest row of a key, and every write goes to a new
+version folder under the shared checkpoint folder (never over the path being
+read).
+
+Aggregations carry fixed-width values only (a row's stamp, the smallest id), so
+they run as hash aggregations with partial sums and a key held by very many
+rows is not gathered; texts are joined last, by the row that won.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DUMMY_TEXT
@@ -29,9 +30,16 @@ def is_dummy(engine_name: Column, text: Column) -> Column:
 
 
 def latest_per_key(cache: DataFrame, key: str = "key", ts: str = "created_at") -> DataFrame:
-    cols = [c for c in cache.columns if c != key]
-    g = cache.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("r"))
-    return g.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
+    """One row per key: the newest, of equally new ones that with the largest row
+    hash (the same whatever the order of the rows)."""
+    others = [c for c in cache.columns if c != key]
+    # newest first, then the hash: one number of fixed width
+    stamp = (F.unix_micros(F.col(ts)).cast("decimal(17,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+             + F.xxhash64(*others).cast("decimal(20,0)")).cast("decimal(38,0)")
+    rows = cache.distinct().withColumn("stamp", stamp)
+    best = rows.groupBy(F.col(key).alias("best_key")).agg(F.max("stamp").alias("best"))
+    won = rows.join(best, F.col(key).eqNullSafe(F.col("best_key")) & F.col("stamp").eqNullSafe(F.col("best")))
+    return won.select(*cache.columns)
 
 
 def evict_dummy(cache: DataFrame) -> DataFrame:
@@ -44,14 +52,10 @@ def valid_cache(cache: DataFrame) -> DataFrame:
 
 
 def dedupe_content(inputs: DataFrame, key: str = "key", order: str = "doc_id") -> DataFrame:
-    """One row per distinct content key (processed once, fanned out later).
-
-    The representative is the row with the smallest ``order`` value
-    (deterministic); ``min_by`` aggregates partially, so a key shared by
-    very many rows is not gathered into one task."""
-    others = [c for c in inputs.columns if c != key]
-    g = inputs.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("r"))
-    return g.select(key, *[F.col(f"r.{c}").alias(c) for c in others])
+    """One row per distinct content key (processed once, fanned out later): the
+    row with the smallest ``order`` value, which names a row."""
+    least = inputs.groupBy(F.col(key).alias("least_key")).agg(F.min(order).alias("least"))
+    return inputs.join(least, (F.col(key) == F.col("least_key")) & (F.col(order) == F.col("least")), "left_semi")
 
 
 def cache_hits(inputs: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
@@ -64,43 +68,68 @@ def cache_hits(inputs: DataFrame, cache: DataFrame, key: str = "key") -> DataFra
 
 def cache_misses(inputs: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     """Inputs without a usable stored result (none, or a dummy placeholder)."""
-    return inputs.join(valid_cache(cache).select(key), key, "left_anti")
+    return inputs.join(evict_dummy(cache).select(key), key, "left_anti")
+
+
+def replace_by_key(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
+    """O3: the rows of ``new`` replace those of ``old`` with the same key; both have
+    one row per key, so has the result."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def cache_upsert(cache: DataFrame, new_rows: DataFrame, key: str = "key", ts: str = "created_at") -> DataFrame:
-    """Replace by key; the newest ``created_at`` wins. Dummy results
-    are never stored."""
+    """Replace by key; the newest ``created_at`` wins. Dummy results are never stored."""
     both = cache.unionByName(new_rows, allowMissingColumns=True)
-    return latest_per_key(both.where(~is_dummy(F.col("engine_name"), F.col("text"))), key, ts)
+    return latest_per_key(evict_dummy(both), key, ts)
 
 
-def get_or_set(inputs: DataFrame, cache: DataFrame, compute, key: str = "key",
+def get_or_set(inputs: DataFrame, cache: DataFrame, compute, key: str = "key", order: str = "doc_id",
                now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hits reuse the stored result; misses are computed once per distinct
-    key by ``compute(DataFrame) -> DataFrame[key, text, language, engine_name]``
-    and fanned back out to every input row with that key.
+    """Hits reuse the stored result; misses are computed once per distinct key by
+    ``compute(DataFrame) -> DataFrame[key, text, language, engine_name, error]`` and
+    fanned back out to every input row with that key.
 
-    Returns ``(results, new_cache)``; ``new_cache`` is the upserted table
-    (not yet written, see ``write_version``).
+    Returns ``(results, new_cache)``. A failed computation has ``error`` set; it is a
+    result row (the caller keeps going or aborts, C5/C6) and is not stored. One join
+    of (key, id) with the valid cache serves hits and misses.
     """
     now = now if now is not None else F.current_timestamp()
-    hits = cache_hits(inputs, cache, key).select(
-        *inputs.columns, F.col("cached_text").alias("result_text"),
-        F.col("cached_language").alias("result_language"), "engine_name", F.lit(True).alias("from_cache"))
-    misses = cache_misses(inputs, cache, key)
-    computed = compute(dedupe_content(misses, key).select(key, *[c for c in misses.columns if c != key]))
-    computed = computed.select(key, F.col("text").alias("result_text"), F.col("language").alias("result_language"),
-                               "engine_name")
-    fanned = misses.join(computed, key).withColumn("from_cache", F.lit(False))
-    results = hits.unionByName(fanned.select(*hits.columns))
-    stored = computed.select(key, F.col("result_text").alias("text"),
-                             F.col("result_language").alias("language"), "engine_name",
-                             now.alias("created_at"))
-    return results, cache_upsert(cache.select(*stored.columns), stored, key)
-
-
-def write_version(spark: SparkSession, df: DataFrame, name: str = "cache") -> str:
+    spark = inputs.sparkSession
+    valid = spark.read.parquet(write_version(valid_cache(cache), "valid-cache"))
+    known = valid.select(F.col(key).alias("known_key"), F.col("text").alias("known_text"), F.col("language").alias("known_language"),
+                         F.col("engine_name").alias("known_engine"))
+    looked = inputs.select(key, order).join(known, F.col(key) == F.col("known_key"), "left")
+    missing = looked.where("known_key is null").groupBy(key).agg(F.min(order).alias(order))
+    todo = inputs.join(missing.select(F.col(key).alias("todo_key"), F.col(order).alias("todo_id")),
+                       (F.col(key) == F.col("todo_key")) & (F.col(order) == F.col("todo_id")), "left_semi")
+    done = spark.read.parquet(write_version(compute(todo).select(key, "text", "language", "engine_name", "error"), "computed"))
+    made = done.select(F.col(key).alias("made_key"), F.col("text").alias("made_text"), F.col("language").alias("made_language"),
+                       F.col("engine_name").alias("made_engine"), "error")
+    hit = F.col("known_key").isNotNull()
+    results = looked.join(made, F.col(key) == F.col("made_key"), "left").select(
+        order, key, F.when(hit, F.col("known_text")).otherwise(F.col("made_text")).alias("result_text"),
+        F.when(hit, F.coalesce("known_language", F.lit("mix"))).otherwise(F.col("made_language")).alias("result_language"),
+        F.coalesce("known_engine", "made_engine").alias("engine_name"), hit.alias("from_cache"), "error")
+    columns = [c for c in (key, "text", "language", "engine_name", "created_at") if c in valid.columns]
+    stored = done.where("error is null").withColumn("created_at", now)
+    return results, replace_by_key(valid.select(*columns), evict_dummy(stored).select(*columns), key)
+
+
+def warm_cache(results: DataFrame, key: str = "key") -> DataFrame:
+    """Keep going: (key, status, error) per distinct input, failures as rows."""
+    return results.groupBy(key).agg(F.max("error").alias("error")).select(
+        key, F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
+
+
+def process_batch(results: DataFrame, order: str = "doc_id", key: str = "key") -> DataFrame:
+    """All or nothing: a failed row aborts the job. Ordered by id."""
+    failed = F.raise_error(F.concat(F.lit("batch item failed: "), F.col("error"))).cast("string")
+    checked = F.when(F.col("error").isNotNull(), failed).otherwise(F.col("result_language"))
+    return results.withColumn("result_language", checked).orderBy(key, order)
+
+
+def write_version(df: DataFrame, name: str = "cache") -> str:
     """Write a table version to a fresh folder under the shared folder."""
-    path = new_table_path(spark, name)
+    path = new_table_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return path

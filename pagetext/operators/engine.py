@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.variants import TEXT_KEYS
 from ..params import DUMMY_TEXT
 
 BLOCK_SCHEMA = "array<struct<bbox:array<double>,text:string,confidence:double,block_id:int,line_id:int>>"
@@ -25,7 +26,7 @@ ENGINE_OUTPUT = (f"key string, text string, blocks {BLOCK_SCHEMA}, language stri
                  "duration_ms double, engine_name string, error string")
 
 
-def run_engine(images: DataFrame, factory: Callable[[], object], languages: tuple[str, ...],
+def run_engine(images: DataFrame, factory: Callable[[], object], languages: tuple[str, ...], name: str,
                key: str = "key", content: str = "content") -> DataFrame:
     """``images(key, content binary)`` -> engine output rows.
 
@@ -35,7 +36,6 @@ def run_engine(images: DataFrame, factory: Callable[[], object], languages: tupl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = factory()
-        name = getattr(engine, "name", type(engine).__name__.replace("OCREngine", "").lower())
         for pdf in batches:
             rows = []
             for k, data in zip(pdf[key], pdf[content]):
@@ -68,15 +68,32 @@ def dummy_output(width: Column, height: Column, languages: Column) -> Column:
                     F.lit("dummy").alias("engine_name"))
 
 
-class JsonPayloadEngine:
-    """Example engine for U1: the 'image' bytes hold a JSON recognition payload
-    of the page; text = non-empty entry texts joined by newline. Useful for
-    replaying stored engine output through the same interface."""
+def found_texts(value: object) -> Iterator[str]:
+    """The texts of a stored payload, in reading order."""
+    if isinstance(value, dict):
+        own = next((value[k] for k in TEXT_KEYS if isinstance(value.get(k), str) and value[k]), None)
+        if own is not None:
+            yield own
+        else:
+            for x in value.values():
+                yield from found_texts(x)
+    elif isinstance(value, list):
+        if len(value) > 1 and isinstance(value[1], list) and value[1] and isinstance(value[1][0], str):
+            yield value[1][0]
+        else:
+            for x in value:
+                yield from found_texts(x)
+
 
-    name = "replay"
+class JsonPayloadEngine:
+    """Example engine for U1: the 'image' bytes hold a stored recognition payload of any
+    shape; text = its texts joined by newline. Replays engine output through the
+    same interface."""
 
     def infer(self, data: bytes, languages: list[str]) -> dict:
-        payload = json.loads(bytes(data).decode("utf-8"))
-        texts = [str(e.get("text", "")) for e in payload.get("data", []) if e.get("text")]
-        return {"text": "\n".join(texts), "blocks": [], "language": languages[0] if languages else "en",
-                "device": "cpu"}
+        try:
+            payload = json.loads(bytes(data).decode("utf-8"))
+        except (ValueError, RecursionError):
+            raise ValueError("payload is no JSON") from None
+        return {"text": "\n".join(t for t in found_texts(payload) if t), "blocks": [],
+                "language": languages[0] if languages else "en", "device": "cpu"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit_distance import cer, py_split, wer
+from ..functions.edit_distance import cer, wer
 
 
 def pair_eval(preds: DataFrame, truths: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -16,7 +16,7 @@ def pair_eval(preds: DataFrame, truths: DataFrame, row_id: str = "row_id") -> Da
     j = p.join(t, row_id, "full_outer")
     checked = F.when(F.col("hyp").isNull() & F.col("ref").isNull(), F.col("ref")).when(
         F.col("hyp").isNull() | F.col("ref").isNull(),
-        F.raise_error(F.lit("Prediction and ground truth counts do not match")).cast("string"))
+        F.raise_error(F.lit("a prediction or a truth has no partner")).cast("string"))
     return j.select(row_id, F.coalesce(checked, F.col("ref")).alias("ref"), "hyp")
 
 
@@ -24,7 +24,7 @@ def score_pairs(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFra
     """Per pair: CER over characters, WER over whitespace tokens."""
     return pairs.withColumns({
         "cer": cer(F.col(ref), F.col(hyp)),
-        "wer": wer(py_split(F.col(ref)), py_split(F.col(hyp))),
+        "wer": wer(F.col(ref), F.col(hyp)),
     })
 
 

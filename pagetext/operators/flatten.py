@@ -1,97 +1,180 @@
 """Raw recognition payloads (JSON) -> line records -> page text.
 
-S7 reads payloads as semi-structured values (``try_parse_json``: bad JSON
-becomes NULL and goes to the reject table). The walk that finds pages and
-entries (N1, N2, N3, N5) is a recursive descent over arbitrary nesting; it
-runs per payload in an Arrow-batched Pandas UDF (``functions.payload_walk``),
-because an unrolled Catalyst version produced plans too large to optimise.
-Filtering (F1), numbering (N4) and assembly (N6) are Spark windows and
-aggregates on the exploded lines.
+Payloads are Variant values and the walk is a walk of rows: a frontier of
+(payload, path, value) rows is exploded one nesting level at a time, entries
+leave it as lines, containers go on, until no row is left. Every level is
+written below the shared folder, so plans stay small however deep a payload
+is. A payload that is no JSON, or that nests below ``max_levels``, comes out
+as a reject row with its reason and gives no lines.
+
+Page walk (N1): an array whose first element is an entry is a page, its
+elements are the lines; other elements that are entries are pages of one line;
+of an object the container keys with a non-empty list are followed, in
+priority order. Fallback (N5), only for payloads without a surviving page
+line: every value is followed, each entry is a block of its own, in order of
+depth and path. Objects are walked in Variant order, that is by key.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.payload_walk import walk_udf
-
-# ---------------------------------------------------------------- variant helpers
-def as_array(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
-
+from ..functions import variants as vr
+from ..session import new_table_path
 
-def as_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+MAX_LEVELS = 64
+INVALID, TOO_DEEP = "invalid payload", "nesting too deep"
+LINE = ("page", "pos", "text", "score", "bbox")
 
 
-def is_array(v: Column) -> Column:
-    return as_array(v).isNotNull()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_object(v: Column) -> Column:
-    return as_object(v).isNotNull()
-
-
-# ---------------------------------------------------------------- public API
 def parse_payloads(df: DataFrame, key: str = "doc_id", payload: str = "j") -> DataFrame:
-    """Payload text kept, plus its Variant form (NULL when it does not parse)."""
-    return df.select(key, F.col(payload).alias("j"), F.try_parse_json(F.col(payload)).alias("v"))
-
-
-def page_entries(payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3) -> DataFrame:
-    """N1, N2, N3, N5 per payload (no shuffle): every page line as
-    ``(key, mode, page array<int>, pos, text, score, bbox)``.
-
-    ``mode`` is 'pages' when the page walk found a line passing the
-    confidence filter, else 'fallback' (entries of the breadth-first walk).
-    Page lines that do not parse keep NULL text/score (their page still counts).
-    """
-    w = payloads.select(key, walk_udf(min_confidence)(F.col("j")).alias("w"))
-    return (w.where(F.col("w.status") == "ok")
-            .select(key, F.col("w.mode").alias("mode"), F.inline("w.lines")))
-
-
-def rejects(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Payloads that do not parse or nest too deeply, with the reason."""
-    w = payloads.select(key, walk_udf(0.0)(F.col("j")).alias("w"))
-    return w.where(F.col("w.status") != "ok").select(key, F.col("w.status").alias("reason"))
-
-
-def page_walk(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
-    """N1 view: the page lines found by the page walk (pages mode only)."""
-    return page_entries(payloads, key).where(F.col("mode") == "pages").select(key, "page", "pos")
-
-
-def number_lines(entries: DataFrame, key: str = "doc_id", min_confidence: float = 0.3) -> DataFrame:
-    """N4 + F1: filter and number the parsed entries.
-
-    Output: ``key, block_id int, line_id int, text, confidence double, bbox array<double>, mode``.
-    """
-    survives = F.col("text").isNotNull() & (F.col("score") >= F.lit(min_confidence)) & (F.col("text") != "")
-    # One exchange on the document key serves all three windows (and a later
-    # groupBy on the key). A document's lines came from one input row, so a
-    # window partition is bounded by the largest payload row.
-    # Block ids count every page, before filtering; N5: survivors in BFS order.
-    ranked = entries.withColumn("bp", F.dense_rank().over(Window.partitionBy(key).orderBy("page")))
-    kept = ranked.where(survives)
-    numbered = (kept
-                .withColumn("fb", F.row_number().over(Window.partitionBy(key).orderBy(F.size("page"), "page")))
-                .withColumn("ln", F.row_number().over(Window.partitionBy(key, "bp").orderBy("pos"))))
-    is_pages = F.col("mode") == "pages"
-    return numbered.select(
-        key,
-        (F.when(is_pages, F.col("bp")).otherwise(F.col("fb")) - 1).cast("int").alias("block_id"),
-        F.when(is_pages, F.col("ln") - 1).otherwise(F.lit(0)).cast("int").alias("line_id"),
-        "text",
-        F.col("score").alias("confidence"),
-        F.coalesce(F.col("bbox"), F.array().cast("array<double>")).alias("bbox"),
-        "mode")
+    """The Variant form of each payload (NULL when it does not parse)."""
+    return df.select(F.col(key).alias("key"), F.try_parse_json(F.col(payload)).alias("v"))
+
+
+def top_kind(v: str = "v") -> Column:
+    return F.expr(f"CASE substring(to_json({v}), 1, 1) WHEN '[' THEN 'array' WHEN '{{' THEN 'object' ELSE if({v} IS NULL, 'invalid', 'scalar') END")
+
+
+# ------------------------------------------------------------------ walking
+def exploded(frontier: DataFrame) -> DataFrame:
+    """One row per member of each value: ``n`` its place, ``child`` its value."""
+    return frontier.sparkSession.sql("SELECT f.*, e.pos AS n, e.value AS child FROM {f} f, LATERAL variant_explode(f.v) e", f=frontier)
+
+
+def is_container(v: str) -> Column:
+    return F.expr(f"coalesce({vr.mark(v)} IN ('[', '{{'), false)")
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """Adds the first sign of the value's JSON form, whether it is an entry, and a list that is a page."""
+    return rows.select("*", F.expr(f"{vr.mark('v')} AS sign"), F.expr(f"{vr.is_entry('v')} AS entry"),
+                       F.expr(f"{vr.is_entry(vr.item('v', 0))} AS page_list"))
+
+
+def page_children(frontier: DataFrame) -> DataFrame:
+    """The next values of the page walk: all elements of a list, the container lists of an object."""
+    lists = exploded(frontier.where("sign = '['")).select(
+        "key", F.when(F.col("page_list"), F.col("path")).otherwise(F.array_append("path", F.col("n"))).alias("path"),
+        F.when(F.col("page_list"), F.col("n")).otherwise(F.lit(0)).alias("pos"), F.col("page_list").alias("line"), F.col("child").alias("v"))
+    followed = ", ".join(f"named_struct('n', {i}, 'child', CASE WHEN {vr.item(vr.member('v', k), 0)} IS NOT NULL THEN {vr.member('v', k)} END)"
+                         for i, k in enumerate(vr.CONTAINER_KEYS))
+    objects = (frontier.where("sign = '{'").select("key", "path", F.expr(f"inline(array({followed}))")).where("child IS NOT NULL")
+               .select("key", F.array_append("path", F.col("n")).alias("path"), F.lit(0).alias("pos"), F.lit(False).alias("line"), F.col("child").alias("v")))
+    return lists.unionByName(objects)
+
+
+def all_children(frontier: DataFrame) -> DataFrame:
+    return exploded(frontier).select("key", F.array_append("path", F.col("n")).alias("path"), F.lit(0).alias("pos"),
+                                     F.lit(False).alias("line"), F.col("child").alias("v"))
+
+
+def walk(roots: DataFrame, children, max_levels: int) -> tuple[DataFrame, DataFrame]:
+    """(entry rows key, path, pos, v; keys that nest too deep) of the payloads (key, v)."""
+    start = roots.select("key", F.array().cast("array<int>").alias("path"), F.lit(0).alias("pos"), F.lit(False).alias("line"), "v")
+    level, found = stored(classified(start), "walk"), []
+    for _ in range(max_levels):
+        is_line = F.col("line") | F.col("entry")
+        found.append(level.where(is_line).select("key", "path", "pos", "v"))
+        frontier = level.where(~is_line & F.col("sign").isin("[", "{"))
+        if frontier.isEmpty():
+            frontier = None
+            break
+        level = stored(classified(children(frontier)), "walk")
+    none = level.select("key").limit(0)
+    return reduce(DataFrame.unionByName, found), none if frontier is None else frontier.select("key").distinct()
+
+
+# ------------------------------------------------------------------ entries
+def line_values(entries: DataFrame) -> DataFrame:
+    """``key, page, pos, text, score, bbox``; text is NULL where the value is no entry.
+
+    An object may wrap the entry in ``line``, any number of times: the innermost
+    value that parses counts."""
+    rows = entries.select("key", "path", "pos", F.lit(0).alias("depth"), "v")
+    chain, last = [rows], rows
+    while True:
+        inner = vr.member("v", "line")
+        last = last.where(is_container(inner)).select("key", "path", "pos", (F.col("depth") + 1).alias("depth"), F.expr(inner).alias("v"))
+        if last.isEmpty():
+            break
+        last = stored(last, "line-values")
+        chain.append(last)
+    values = vr.with_fields(reduce(DataFrame.unionByName, chain)).select("key", F.col("path").alias("page"), "pos", "depth", "fields.*")
+    if len(chain) == 1:
+        return values.drop("depth")
+    inmost = F.when(F.col("text").isNotNull(), F.col("depth")).otherwise(F.lit(-1))
+    best = values.groupBy("key", "page", "pos").agg(F.max_by(F.struct("text", "score", "bbox"), inmost).alias("r"))
+    return best.select("key", "page", "pos", "r.text", "r.score", "r.bbox")
+
+
+def survives(min_confidence: float) -> Column:
+    return F.col("text").isNotNull() & (F.col("score") >= F.lit(min_confidence)) & (F.col("text") != "")
+
+
+class Walked:
+    """The walked payloads: ``page_lines`` (N1-N3), ``fallback_lines`` (N5, only of payloads
+    without a surviving page line) and ``rejects`` (key, reason)."""
+
+    def __init__(self, payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3, max_levels: int = MAX_LEVELS):
+        self.key, self.min_confidence = key, min_confidence
+        roots = stored(parse_payloads(payloads, key), "payloads")
+        self.keys = roots.select(F.col("key").alias(key))
+        valid = roots.where(F.col("v").isNotNull())
+        entries, deep = walk(valid, page_children, max_levels)
+        deep = stored(deep, "too-deep")
+        lines = stored(line_values(entries).join(deep, "key", "left_anti"), "page-lines")
+        paged = lines.where(survives(min_confidence)).select("key").distinct()
+        rest = valid.where(F.expr(vr.given("v")).isNotNull()).join(paged, "key", "left_anti").join(deep, "key", "left_anti")
+        entries, deeper = walk(rest, all_children, max_levels)
+        deeper = stored(deeper, "too-deep")
+        fallback = line_values(entries).where(F.col("text").isNotNull()).join(deeper, "key", "left_anti")
+        self.fallback_lines = stored(fallback, "fallback-lines").withColumnRenamed("key", key)
+        bad = (roots.where(F.col("v").isNull()).select("key", F.lit(INVALID).alias("reason"))
+               .unionByName(deep.unionByName(deeper).select("key", F.lit(TOO_DEEP).alias("reason"))))
+        self.rejects = stored(bad, "rejects").withColumnRenamed("key", key)
+        self.page_lines = lines.withColumnRenamed("key", key)
+
+    def lines(self) -> DataFrame:
+        """N4 + F1: ``key, block_id, line_id, text, confidence, bbox, mode``.
+
+        Pages are numbered before the confidence filter, lines after it. Both
+        windows share one exchange and one sort (payload, page, pos); a payload's
+        lines come from one input row, so a partition is bounded by it."""
+        key, ok = self.key, survives(self.min_confidence)
+        in_page = Window.partitionBy(key, "page").orderBy("pos")
+        rows = self.page_lines.withColumn("ok", ok)
+        rows = rows.withColumn("line_id", F.sum(F.col("ok").cast("int")).over(in_page.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+        rows = rows.withColumn("block_id", F.dense_rank().over(Window.partitionBy(key).orderBy("page")) - 1)
+        shape = lambda df, mode: df.select(
+            key, F.col("block_id").cast("int").alias("block_id"), F.col("line_id").cast("int").alias("line_id"), "text",
+            F.col("score").alias("confidence"), F.coalesce("bbox", F.array().cast("array<double>")).alias("bbox"), F.lit(mode).alias("mode"))
+        breadth = Window.partitionBy(key).orderBy(F.size("page"), "page", "pos")
+        other = self.fallback_lines.where(ok).withColumns({"block_id": F.row_number().over(breadth) - 1, "line_id": F.lit(0)})
+        return shape(rows.where("ok"), "pages").unionByName(shape(other, "fallback"))
+
+    def documents(self) -> DataFrame:
+        """One row per payload: ``key, text, blocks, reject``. A payload without
+        lines has the text '' and no blocks; ``reject`` tells why, if it was rejected."""
+        key = self.key
+        done = assemble_text(self.lines(), key)
+        out = self.keys.join(done, key, "left").join(self.rejects.select(key, F.col("reason").alias("reject")), key, "left")
+        return out.select(key, F.coalesce("text", F.lit("")).alias("text"),
+                          F.coalesce("blocks", F.array().cast(done.schema["blocks"].dataType)).alias("blocks"), "reject")
 
 
 def extract_lines(payloads: DataFrame, key: str = "doc_id", min_confidence: float = 0.3) -> DataFrame:
     """N1-N5 + F1: payloads ``(key, j)`` -> numbered lines."""
-    return number_lines(page_entries(payloads, key, min_confidence), key, min_confidence).drop("mode")
+    return Walked(payloads, key, min_confidence).lines().drop("mode")
 
 
 def assemble_text(lines: DataFrame, key: str = "doc_id") -> DataFrame:

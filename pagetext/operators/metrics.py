@@ -1,10 +1,12 @@
 """A2 latency report and A3 request metrics.
 
-Exact order statistics without gathering a group in one task: an
-approximate quantile sketch (mergeable, partial aggregation) brackets the
-wanted ranks; only the rows inside the bracket are ranked exactly. The
-bracket is wide enough by the sketch's error bound, so the result is exact.
-Small groups are bracketed whole.
+Exact order statistics without gathering a group in one task: equal values are
+counted first, the distinct values are cut into disjoint half-open buckets at
+quantiles of a mergeable sketch, the buckets' total weights (a few hundred rows
+per group) give each bucket its offset, and a running weight inside the bucket
+gives each value the ranks it covers. Ties collapse in the first step and a hot
+group is split over its buckets; the sketch only places the cuts, so the result
+is exact. One path for groups of every size.
 """
 
 from __future__ import annotations
@@ -15,9 +17,7 @@ from pyspark.sql import functions as F
 # Default latency histogram bucket bounds (seconds).
 DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 
-SKETCH_ACCURACY = 10000          # rank error <= n / 10000
-BAND = 0.002                     # bracket half-width in quantile units (20x the error bound)
-SMALL_GROUP = 5000               # groups up to this size are ranked whole
+CUTS = 256                       # buckets per group
 
 
 def p95_rank(n: Column) -> Column:
@@ -25,61 +25,45 @@ def p95_rank(n: Column) -> Column:
     return F.least(F.greatest(F.floor(F.lit(19) * (n + 1) / 20), F.lit(1)), n - 1).cast("long")
 
 
-def exact_ranks(df: DataFrame, group: str, value: str, fractions: tuple[float, ...]) -> DataFrame:
-    """Rows ``(group, value, rank)`` for every row whose rank is near one of
-    ``fractions`` of its group (all rows of small groups), with exact 1-based
-    ranks in ascending ``value`` order, plus ``n`` = group size."""
-    pct = F.percentile_approx(value, [max(0.0, f - BAND) for f in fractions] + [min(1.0, f + BAND) for f in fractions],
-                              SKETCH_ACCURACY)
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), pct.alias("q"))
-    k = len(fractions)
-    bands = stats.select(F.col(group).alias("__g"), "n", F.arrays_zip(F.slice("q", 1, k).alias("lo"),
-                                                                      F.slice("q", k + 1, k).alias("hi")).alias("band"))
-    # fresh column names on the row side: the row table and its own aggregate
-    # are joined, so no attribute of one side may reappear on the other
-    rows = df.select(F.col(group).alias("__g"), F.col(value).alias("__v"))
-    joined = rows.join(bands, "__g")   # one row per group: AQE broadcasts it
-    v = F.col("__v")
-    small = F.col("n") <= SMALL_GROUP
-    in_band = F.exists("band", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
-    # rows strictly below each band's lower bound, per group (partial aggregation)
-    below = (joined.select("__g", F.posexplode("band").alias("bi", "b"), "__v")
-             .groupBy("__g", "bi").agg(F.sum(F.when(v < F.col("b.lo"), 1).otherwise(0)).alias("below")))
-    kept = joined.where(small | in_band).withColumn("__band", F.when(small, F.lit(-1)).otherwise(
-        F.array_position(F.transform("band", lambda b: (v >= b["lo"]) & (v <= b["hi"])), True).cast("int") - 1))
-    # rank inside the band, offset by the rows below it
-    w = Window.partitionBy("__g", "__band").orderBy("__v")
-    ranked = kept.withColumn("__r", F.row_number().over(w))
-    ranked = ranked.join(below.withColumnRenamed("bi", "__band"), ["__g", "__band"], "left")
-    return ranked.select(F.col("__g").alias(group), F.col("__v").alias(value), "n",
-                         (F.col("__r") + F.coalesce(F.col("below"), F.lit(0))).cast("long").alias("rank"))
+def rank_spans(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, value, n, lo, hi)``: each distinct value with the 1-based ranks
+    ``lo..hi`` its rows hold in ascending order, and the group size ``n``."""
+    weights = df.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    cuts = weights.groupBy("g").agg(F.array_sort(F.array_distinct(
+        F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 10 * CUTS))).alias("cuts"), F.sum("w").alias("n"))
+    cuts = cuts.select(F.col("g").alias("cg"), "cuts", "n")
+    placed = weights.join(cuts, F.col("g").eqNullSafe(F.col("cg")))
+    # a value lies in the bucket of the cuts at or below it
+    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    placed = placed.select("g", "v", "w", "n", bucket.alias("b"))
+    totals = placed.groupBy("g", "b").agg(F.sum("w").alias("t"))
+    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("g").alias("og"), F.col("b").alias("ob"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.join(offsets, F.col("g").eqNullSafe(F.col("og")) & (F.col("b") == F.col("ob")))
+    hi = F.col("offset") + F.sum("w").over(inside)
+    return run.select(F.col("g").alias(group), F.col("v").alias(value), "n", (hi - F.col("w") + 1).alias("lo"), hi.alias("hi"))
 
 
 def latency_report(df: DataFrame, group: str = "endpoint", value: str = "seconds") -> DataFrame:
-    """A2: count, median, exclusive p95 and throughput (count / total seconds) per group.
-
-    A missing duration counts as 0.0.
-    """
+    """A2: count, median, exclusive p95 and throughput (count / total seconds,
+    NULL where the total is 0) per group. A missing duration counts as 0.0."""
     x = df.select(group, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))
-    totals = x.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-    ranked = exact_ranks(x, group, value, (0.5, 0.95))
-    j95 = p95_rank(F.col("n"))
-    d95 = F.lit(19) * (F.col("n") + 1) - F.lit(20) * j95
-    mid_lo = F.floor((F.col("n") + 1) / 2).cast("long")
-    mid_hi = F.ceil((F.col("n") + 1) / 2).cast("long")
-    picks = ranked.groupBy(group, "n").agg(
-        F.max(F.when(F.col("rank") == mid_lo, F.col(value))).alias("m_lo"),
-        F.max(F.when(F.col("rank") == mid_hi, F.col(value))).alias("m_hi"),
-        F.max(F.when(F.col("rank") == j95, F.col(value))).alias("a_j"),
-        F.max(F.when(F.col("rank") == j95 + 1, F.col(value))).alias("a_j1"),
-        F.max(F.when(F.col("rank") == 1, F.col(value))).alias("a_1"))
-    p95 = F.when(F.col("n") == 1, F.col("a_1")).otherwise(
-        (F.col("a_j") * (F.lit(20) - d95) + F.col("a_j1") * d95) / 20)
-    return (picks.join(totals.drop("n"), group)
-            .select(group, F.col("n").alias("count"),
-                    ((F.col("m_lo") + F.col("m_hi")) / 2).alias("p50"),
-                    p95.alias("p95"),
-                    (F.col("n") / F.col("total")).alias("throughput")))
+    totals = x.groupBy(F.col(group).alias("tg")).agg(F.sum(value).alias("total"))
+    spans = rank_spans(x, group, value)
+    n, v = F.col("n"), F.col(value)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), v))
+    j95 = p95_rank(n)
+    d95 = F.lit(19) * (n + 1) - F.lit(20) * j95
+    picks = spans.groupBy(group, "n").agg(
+        at(F.floor((n + 1) / 2).cast("long")).alias("m_lo"), at(F.ceil((n + 1) / 2).cast("long")).alias("m_hi"),
+        at(j95).alias("a_j"), at(j95 + 1).alias("a_j1"), at(F.lit(1)).alias("a_1"))
+    p95 = F.when(n == 1, F.col("a_1")).otherwise((F.col("a_j") * (F.lit(20) - d95) + F.col("a_j1") * d95) / 20)
+    return (picks.join(totals, F.col(group).eqNullSafe(F.col("tg")))
+            .select(group, n.alias("count"), ((F.col("m_lo") + F.col("m_hi")) / 2).alias("p50"), p95.alias("p95"),
+                    F.try_divide(n, F.col("total")).alias("throughput")))
 
 
 def request_metrics(df: DataFrame, group: str = "endpoint", value: str = "seconds",

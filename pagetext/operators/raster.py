@@ -104,18 +104,25 @@ def best_rotation(gray: DataFrame, image: str = "image_id") -> DataFrame:
     rows, so the choice is between 0 (rows) and 90 (columns); ties keep 0. The
     comparison uses the exact integer forms.
     """
-    r = _var_parts(_line_sums(gray, image, "y"), image)
-    c = _var_parts(_line_sums(gray, image, "x"), image)
-    j = r.alias("r").join(c.alias("c"), image)
-    nr, nc = F.col("r.n").cast("decimal(38,0)"), F.col("c.n").cast("decimal(38,0)")
-    er = nr * F.col("r.sxx") - F.col("r.sx") * F.col("r.sx")
-    ec = nc * F.col("c.sxx") - F.col("c.sx") * F.col("c.sx")
-    # var_rows >= var_cols  <=>  er * nc^2 >= ec * nr^2   (exact, as doubles of big integers)
-    lhs = er.cast("double") * nc.cast("double") * nc.cast("double")
-    rhs = ec.cast("double") * nr.cast("double") * nr.cast("double")
-    return j.select(image, F.when(lhs >= rhs, 0).otherwise(90).alias("angle"),
-                    (er.cast("double") / (nr * nr).cast("double")).alias("row_score"),
-                    (ec.cast("double") / (nc * nc).cast("double")).alias("col_score"))
+    lines = gray.select(image, "v", F.inline(F.array(F.struct(F.lit("y").alias("axis"), F.col("y").alias("i")),
+                                                      F.struct(F.lit("x").alias("axis"), F.col("x").alias("i")))))
+    sums = lines.groupBy(image, "axis", "i").agg(F.sum("v").cast("decimal(18,0)").alias("s"))
+    big = "decimal(38,0)"
+
+    def pick(axis: str, value) -> F.Column:
+        return F.when(F.col("axis") == axis, value)
+    s = F.col("s").cast(big)
+    j = sums.groupBy(image).agg(*[agg for a in ("y", "x") for agg in (
+        F.count(pick(a, F.lit(1))).alias(f"n_{a}"), F.sum(pick(a, s)).cast(big).alias(f"sx_{a}"), F.sum(pick(a, s * s)).cast(big).alias(f"sxx_{a}"))])
+
+    def spread(a: str) -> F.Column:     # n^2 times the variance, exact
+        return (F.col(f"n_{a}").cast(big) * F.col(f"sxx_{a}") - F.col(f"sx_{a}") * F.col(f"sx_{a}")).cast(big)
+    ny, nx = F.col("n_y").cast("decimal(9,0)"), F.col("n_x").cast("decimal(9,0)")
+    # var_rows >= var_cols  <=>  spread_y * n_x^2 >= spread_x * n_y^2
+    upright = (spread("y") * (nx * nx).cast("decimal(18,0)")).cast(big) >= (spread("x") * (ny * ny).cast("decimal(18,0)")).cast(big)
+    return j.select(image, F.when(upright, 0).otherwise(90).alias("angle"),
+                    (spread("y").cast("double") / (F.col("n_y") * F.col("n_y"))).alias("row_score"),
+                    (spread("x").cast("double") / (F.col("n_x") * F.col("n_x"))).alias("col_score"))
 
 
 def skew_angle(lines: DataFrame, image: str = "image_id", max_lines: int = 20) -> DataFrame:

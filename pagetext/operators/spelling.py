@@ -1,15 +1,17 @@
 """J6 spelling candidates and T7 spelling correction.
 
-Candidates within two edits (insert, delete, replace, adjacent swap) are
-found with the symmetric-deletion method, as an equi-join: every distinct
-token and every lexicon word emit their deletion variants (up to two
-deleted characters); pairs sharing a variant are verified exactly with the
-built-in ``levenshtein`` plus the adjacent-swap tests. Only distinct tokens
-are joined, never token occurrences.
-
-No length cap is needed for exactness: a token can only be within two edits
-of a word whose length differs by at most two, so tokens longer than the
-longest lexicon word + 2 have no candidate, and they emit no variants.
+Candidates within two edits (insert, delete, replace, adjacent swap) are found
+as an equi-join of distinct tokens with lexicon words on keys that any such
+pair shares, and verified exactly:
+
+* words up to ``SHORT`` characters: their variants with up to two characters
+  deleted (at most 106), against those of the token;
+* longer words: five segments. Two edits touch at most four of them (an
+  adjacent swap at most two), so one is found in the token unchanged, at most
+  two places off: keys are (word length, segment number, segment).
+
+Keys are linear in the length of a token; no length is cut. Only distinct
+tokens that need correction are joined, never token occurrences.
 """
 
 from __future__ import annotations
@@ -19,77 +21,99 @@ from pyspark.sql import functions as F
 
 from ..functions.edit_distance import py_split
 
+SHORT = 14
+SEGMENTS = 5
+# Tokens that are left alone.
+NUMBER_RE = r"^[+-]?([0-9]+[.,]?[0-9]*|[.,][0-9]+)([eE][+-]?[0-9]+)?$"
+PUNCTUATION_RE = r"^[!-/:-@\[-`{-~]$"
 
-def _deletes(w: Column, max_del: int = 2) -> Column:
-    """Distinct deletion variants of ``w`` with 0..max_del characters removed."""
-    n = F.length(w)
-    d0 = F.array(w)
-    d1 = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                     lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, 1 << 20)))
-    d1 = F.when(n >= 1, d1).otherwise(F.array().cast("array<string>"))
-    if max_del == 1:
-        return F.array_distinct(F.concat(d0, d1))
-    d2 = F.flatten(F.transform(d1, lambda s: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-        lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, 1 << 20)))))
-    d2 = F.when(n >= 2, d2).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(d0, d1, d2))
 
+def _less_one(s: Column) -> Column:
+    """All variants of a non-empty string with one character left out."""
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, F.length(s))))
 
-def _swap(s: Column, i: Column) -> Column:
-    """``s`` with characters i and i+1 (1-based) exchanged."""
-    return F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, 1), F.substring(s, i, 1),
-                    F.substring(s, i + 2, 1 << 20))
+
+def deletion_keys(w: Column) -> Column:
+    none = F.array().cast("array<string>")
+    one = F.when(F.length(w) >= 1, _less_one(w)).otherwise(none)
+    two = F.when(F.length(w) >= 2, F.flatten(F.transform(_less_one(w), _less_one))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(w), one, two))
+
+
+def _segment(s: Column, length: Column, i: Column, shift: Column) -> Column:
+    """Key of segment ``i`` of a word of ``length`` characters, read from ``s`` with a shift; NULL outside."""
+    start = F.floor(i * length / SEGMENTS).cast("int")
+    size = F.floor((i + 1) * length / SEGMENTS).cast("int") - start
+    at = start + shift
+    inside = (at >= 0) & (at + size <= F.length(s))
+    return F.when(inside, F.concat_ws(":", length.cast("string"), i.cast("string"), F.substring(s, at + 1, size)))
+
+
+def word_segments(w: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: _segment(w, F.length(w), i, F.lit(0)))
+
+
+def token_segments(t: Column) -> Column:
+    around = F.sequence(F.lit(-2), F.lit(2))
+    keys = F.flatten(F.transform(around, lambda d: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.transform(
+        around, lambda shift: F.when(F.length(t) + d > SHORT, _segment(t, F.length(t) + d, i, shift)))))))
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 
 def _swaps(s: Column) -> Column:
-    return F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: _swap(s, i))) \
-        .otherwise(F.array().cast("array<string>"))
+    """All variants with two neighbouring characters exchanged."""
+    swap = lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, F.lit(1)), F.substring(s, i, F.lit(1)),
+                              F.substring(s, i + 2, F.length(s)))
+    return F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), swap)).otherwise(F.array().cast("array<string>"))
 
 
 def edit_distance_upto2(a: Column, b: Column) -> Column:
     """0, 1 or 2 when ``b`` is within that many edits of ``a`` (adjacent swaps
     count as one edit), else NULL."""
-    lev = F.levenshtein(a, b)
+    near = lambda x, y, k: F.levenshtein(x, y, k) >= 0
     sa, sb = _swaps(a), _swaps(b)
-    one = (lev <= 1) | F.exists(sa, lambda x: x == b)
-    two = ((lev <= 2) | F.exists(sa, lambda x: F.levenshtein(x, b) <= 1)
-           | F.exists(sb, lambda x: F.levenshtein(a, x) <= 1)
-           | F.exists(sa, lambda x: F.array_contains(sb, x)))
+    one = near(a, b, 1) | F.array_contains(sa, b)
+    two = near(a, b, 2) | F.exists(sa, lambda x: near(x, b, 1)) | F.exists(sb, lambda x: near(a, x, 1)) | F.arrays_overlap(sa, sb)
     return F.when(a == b, 0).when(one, 1).when(two, 2)
 
 
+def word_totals(lexicon: DataFrame) -> DataFrame:
+    """(word, freq): frequencies summed over the languages that hold the word."""
+    return lexicon.groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
 def spell_candidates(tokens: DataFrame, lexicon: DataFrame, token: str = "tok") -> DataFrame:
     """``(tok, word, freq, dist)`` for every lexicon word within two edits
     of each distinct token."""
-    lex = lexicon.select("word", "freq")
-    max_len = lex.select(F.max(F.length("word"))).scalar()
+    lex = word_totals(lexicon)
     toks = tokens.select(F.col(token).alias("tok")).distinct()
-    # tokens too long for any candidate emit no variants (exact, see module doc)
-    toks = toks.where(F.length("tok") <= max_len + 2)
-    tk = toks.select("tok", F.explode(_deletes(F.col("tok"))).alias("k"))
-    lk = lex.select("word", "freq", F.explode(_deletes(F.col("word"))).alias("k"))
-    pairs = tk.join(lk, "k").select("tok", "word", "freq").distinct()
-    return (pairs.withColumn("dist", edit_distance_upto2(F.col("tok"), F.col("word")))
-            .where(F.col("dist").isNotNull()))
+    t, w, n, m = F.col("tok"), F.col("word"), F.length("tok"), F.length("word")
+    none = F.array().cast("array<string>")
+    keyed = toks.select("tok", F.explode(F.concat(F.when(n <= SHORT + 2, deletion_keys(t)).otherwise(none),
+                                                  F.when(n > SHORT - 2, token_segments(t)).otherwise(none))).alias("k"))
+    words = lex.select("word", "freq", F.explode(F.when(m <= SHORT, deletion_keys(w)).otherwise(word_segments(w))).alias("k"))
+    pairs = keyed.join(words, "k").select("tok", "word", "freq").distinct()
+    return pairs.withColumn("dist", edit_distance_upto2(t, w)).where(F.col("dist").isNotNull())
 
 
 def best_correction(candidates: DataFrame) -> DataFrame:
-    """Per token: the known word itself, else the nearest distance class (1,
-    then 2), highest frequency, ties -> smallest word."""
-    return candidates.groupBy("tok").agg(
-        F.min_by("word", F.struct(F.col("dist"), -F.col("freq"), F.col("word"))).alias("fix"))
+    """Per token the nearest distance class, there the highest frequency, ties -> smallest word."""
+    best = F.min(F.struct(F.col("dist"), (-F.col("freq")).alias("f"), F.col("word"))).alias("b")
+    return candidates.groupBy("tok").agg(best).select("tok", F.col("b.word").alias("fix"))
 
 
 def spell_correct(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Split on whitespace, replace each token by its best known candidate
-    (looked up lower-cased; unknown without candidate -> the token itself),
-    re-join with single blanks."""
-    toks = docs.select(key, F.posexplode(py_split(F.col(text))).alias("pos", "t"))
-    toks = toks.withColumn("tok", F.lower("t"))
-    fixes = best_correction(spell_candidates(toks, lexicon))
+    """Split on whitespace, replace each unknown token by its best candidate
+    (looked up lower-cased; none -> the token itself), re-join with single blanks.
+
+    Known words (any case), numbers and single punctuation marks stay as they are
+    and are not searched for."""
+    toks = docs.select(key, F.posexplode(py_split(F.col(text))).alias("pos", "t")).withColumn("tok", F.lower("t"))
+    alone = F.col("tok").rlike(NUMBER_RE) | F.col("tok").rlike(PUNCTUATION_RE)
+    unknown = toks.where(~alone).select("tok").distinct().join(lexicon.select(F.col("word").alias("tok")).distinct(), "tok", "left_anti")
+    fixes = best_correction(spell_candidates(unknown, lexicon))
     fixed = toks.join(fixes, "tok", "left").select(key, "pos", F.coalesce("fix", "t").alias("w"))
     out = fixed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws"))
-    out = out.select(key, F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias(text))
+    out = out.select(key, F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("fixed"))
     # documents without any token become ''
-    return docs.select(key).join(out, key, "left").select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
+    return docs.join(out, key, "left").withColumn(text, F.coalesce("fixed", F.lit(""))).drop("fixed")

@@ -4,7 +4,7 @@ Candidates ``(doc, rank, code, prob)`` in detector order. Codes map to
 'en'/'id' (others dropped). More than one distinct mapped code with
 prob >= 0.25 -> 'mix'; else the first mapped candidate if its prob >= 0.4;
 else the default. Documents with no mapped candidate fall back to the
-heuristic (L1) on their text. One partial aggregation per document.
+heuristic (L1) on their text; blank text gives the default before any vote. One partial aggregation per document.
 """
 
 from __future__ import annotations
@@ -26,5 +26,7 @@ def language_votes(candidates: DataFrame, texts: DataFrame, key: str = "doc_id",
                        .when(F.col("top.prob") >= 0.4, F.col("top.m"))
                        .otherwise(F.lit(default)).alias("voted"))
     t = texts.select(key, "text").join(decided, key, "left")
-    return t.select(key, F.coalesce(F.col("voted"), language_heuristic(F.col("text"), default)).alias("language"),
-                    F.col("voted").isNotNull().alias("from_detector"))
+    blank = F.coalesce(F.regexp_replace("text", r"\s+", "") == "", F.lit(True))
+    voted = F.when(~blank, F.col("voted"))
+    return t.select(key, F.when(blank, F.lit(default)).otherwise(F.coalesce(voted, language_heuristic(F.col("text"), default))).alias("language"),
+                    voted.isNotNull().alias("from_detector"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import language as lang
@@ -23,9 +23,9 @@ from ..operators import spelling, votes
 from ..params import Params, alias_columns
 from ..session import new_table_path, spread
 from ..sources import files
-from ..sources.readers import word_freq
-from ..streaming.ingest import stream_ingest
-from ..streaming.metrics import stream_metrics
+from ..sources.readers import read_eval_sets, read_lexicon, word_freq, write_results
+from ..streaming.ingest import read_store, stream_ingest
+from ..streaming.metrics import read_metrics, stream_metrics, windowed_metrics
 from . import fixtures as fx
 
 PARAMS = Params()
@@ -41,92 +41,90 @@ def big(c: Column | str) -> Column:
 
 
 # ------------------------------------------------------------------ engine payloads -> lines
-def _payloads(spark, sf):
-    return flatten.parse_payloads(spread(fx.fx_engine_json(spark, sf)))
+def _walked(spark, sf) -> flatten.Walked:
+    return flatten.Walked(spread(fx.fx_engine_json(spark, sf)), min_confidence=PARAMS.min_confidence)
 
 
-def _entries(spark, sf):
-    return flatten.page_entries(_payloads(spark, sf), min_confidence=PARAMS.min_confidence)
-
-
-def _lines(spark, sf):
-    return flatten.number_lines(_entries(spark, sf), min_confidence=PARAMS.min_confidence)
-
-
-def _assembled(spark, sf):
-    return flatten.assemble_text(_lines(spark, sf).drop("mode"))
+def q_read_engine_json(spark, sf):
+    p = flatten.parse_payloads(spread(fx.fx_engine_json(spark, sf)))
+    return p.select(big("key").alias("doc_id"), flatten.top_kind().alias("top_kind"))
 
 
-def q_read_engine_json(spark, sf):
-    v = F.col("v")
-    kind = (F.when(v.isNull(), "invalid").when(flatten.is_array(v), "array")
-            .when(flatten.is_object(v), "object").otherwise("scalar"))
-    return _payloads(spark, sf).select(big("doc_id").alias("doc_id"), kind.alias("top_kind"))
+def q_payload_rejects(spark, sf):
+    return _walked(spark, sf).rejects.select(big("doc_id").alias("doc_id"), "reason")
 
 
 def q_normalise_pages(spark, sf):
-    w = flatten.page_walk(_payloads(spark, sf))
-    return w.groupBy("doc_id").agg(big(F.count_distinct("page")).alias("n_pages"),
-                                   big(F.count(F.lit(1))).alias("n_entries"))
+    """Pages and their entries as found, whatever the confidence of the lines."""
+    lines = _walked(spark, sf).page_lines
+    return lines.groupBy("doc_id").agg(big(F.count_distinct("page")).alias("n_pages"),
+                                       big(F.count(F.lit(1))).alias("n_entries"))
 
 
 def q_parse_entry(spark, sf):
-    e = _entries(spark, sf).where(F.col("mode") == "pages")
-    from pyspark.sql import Window
+    lines = _walked(spark, sf).page_lines
     blk = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page")) - 1
-    return e.select(big("doc_id").alias("doc_id"), big(blk).alias("block"), big("pos").alias("pos"),
-                    "text", r6("score").alias("score"))
+    return lines.select(big("doc_id").alias("doc_id"), big(blk).alias("block"), big("pos").alias("pos"),
+                        "text", r6("score").alias("score"))
 
 
 def q_flatten_bbox(spark, sf):
-    l = _lines(spark, sf)
+    l = _walked(spark, sf).lines()
     bb = F.array_join(F.transform("bbox", lambda x: x.cast("bigint").cast("string")), ",")
     return l.select(big("doc_id").alias("doc_id"), big("block_id").alias("block_id"),
                     big("line_id").alias("line_id"), bb.alias("bbox"))
 
 
 def q_min_confidence(spark, sf):
-    l = _lines(spark, sf)
+    l = _walked(spark, sf).lines()
     return l.select(big("doc_id").alias("doc_id"), "text", r6("confidence").alias("confidence"))
 
 
 def q_number_lines(spark, sf):
-    l = _lines(spark, sf)
+    l = _walked(spark, sf).lines()
     return l.select(big("doc_id").alias("doc_id"), big("block_id").alias("block_id"),
                     big("line_id").alias("line_id"), "text")
 
 
 def q_collect_fallback(spark, sf):
-    l = _lines(spark, sf).where(F.col("mode") == "fallback")
+    l = _walked(spark, sf).lines().where(F.col("mode") == "fallback")
     return l.select(big("doc_id").alias("doc_id"), big("block_id").alias("block_id"),
                     big("line_id").alias("line_id"), "text")
 
 
 def q_assemble_text(spark, sf):
-    a = _assembled(spark, sf)
-    return a.select(big("doc_id").alias("doc_id"), "text", big(F.size("blocks")).alias("n_blocks"))
+    a = _walked(spark, sf).documents()
+    return a.select(big("doc_id").alias("doc_id"), "text", big(F.size("blocks")).alias("n_blocks"), "reject")
 
 
 def q_text_stats(spark, sf):
-    a = _assembled(spark, sf)
+    a = _walked(spark, sf).documents()
     st = assemble.text_stats(F.col("text"), F.col("blocks"))
     return a.select(big("doc_id").alias("doc_id"), big(st["text_chars"]).alias("text_chars"),
                     big(st["blocks_n"]).alias("blocks"), st["empty_text"].alias("empty_text"))
 
 
-def q_response_struct(spark, sf):
-    """Flagship: payload -> lines -> text -> language -> normalised response."""
-    a = _assembled(spark, sf).withColumn("language", lang.language_heuristic(F.col("text")))
+def _responses(spark, sf):
+    """Every payload's response: lines -> text -> spelling -> language -> normalisation -> meta."""
+    a = flatten.stored(_walked(spark, sf).documents(), "assembled")
+    if PARAMS.use_spell_correction:
+        a = spelling.spell_correct(a, _lexicon(spark, sf))
+    a = a.withColumn("language", lang.language_heuristic(F.col("text")))
     a = norm.normalize_frame(a)
     meta = assemble.attach_meta(PARAMS, source=F.lit(None), path=F.concat(F.lit("/in/"), F.col("doc_id").cast("string")),
                                 width=F.lit(None), height=F.lit(None), duration_ms=F.lit(None),
                                 device=F.lit("cpu"), engine_name=F.lit("replay"),
                                 engine_language=F.lit(PARAMS.primary_language))
-    resp = a.withColumn("meta", meta)
+    return a.withColumn("meta", meta)
+
+
+def q_response_struct(spark, sf):
+    """Flagship: one response per payload, also where it holds no text."""
+    resp = _responses(spark, sf)
     return resp.select(big("doc_id").alias("doc_id"), "text", "language",
                        big(F.size("blocks")).alias("blocks_n"),
                        F.array_join("emails", ",").alias("emails"), F.array_join("urls", ",").alias("urls"),
-                       F.col("meta.path").alias("meta_path"))
+                       F.col("meta.path").alias("meta_path"), "reject")
 
 
 # ------------------------------------------------------------------ normalisation
@@ -184,7 +182,7 @@ def q_primary_language(spark, sf):
 
 
 def q_language_votes(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.fx_vote_texts(spark, sf)
     v = votes.language_votes(fx.fx_votes(spark, sf), docs)
     return v.select(big("doc_id").alias("doc_id"), "language", "from_detector")
 
@@ -198,7 +196,12 @@ def _inputs(spark, sf):
 def _compute(df: DataFrame) -> DataFrame:
     """Stand-in recognition for cache misses: the language heuristic on the text."""
     return df.select("key", "text", lang.language_heuristic(F.col("text")).alias("language"),
-                     F.lit("paddle").alias("engine_name"))
+                     F.lit("paddle").alias("engine_name"), F.lit(None).cast("string").alias("error"))
+
+
+def _compute_or_fail(df: DataFrame) -> DataFrame:
+    """The same, failing on every 50th text length."""
+    return _compute(df).withColumn("error", F.when(F.length("text") % 50 == 0, F.lit("unreadable")))
 
 
 def _cache_table(spark, sf):
@@ -225,62 +228,61 @@ def q_cache_evict_dummy(spark, sf):
     return c.select("key", big("origin_doc").alias("origin_doc"), "engine_name")
 
 
-def _get_or_set(spark, sf):
-    return cache.get_or_set(_inputs(spark, sf), _cache_table(spark, sf), _compute,
-                            now=F.lit(TS_LATEST).cast("timestamp"))
+def _get_or_set(spark, sf, compute=_compute):
+    return cache.get_or_set(_inputs(spark, sf), _cache_table(spark, sf), compute, now=F.lit(TS_LATEST).cast("timestamp"))
 
 
 def q_cache_get_or_set(spark, sf):
     results, _ = _get_or_set(spark, sf)
     return results.select(big("doc_id").alias("doc_id"), "key", F.col("result_language").alias("language"),
-                          "from_cache")
+                          big(F.length("result_text")).alias("text_chars"), "from_cache")
 
 
 def q_cache_upsert(spark, sf):
+    """Two rounds of results over the stored table; the newest row of a key stays."""
     _, new_cache = _get_or_set(spark, sf)
-    return new_cache.select("key", "language", "engine_name", F.col("created_at").cast("string").alias("created_at"))
+    out = cache.cache_upsert(_cache_table(spark, sf), new_cache)
+    return out.select("key", "language", "engine_name", F.col("created_at").cast("string").alias("created_at"))
 
 
 def q_upsert_union(spark, sf):
-    old = fx.fx_cache(spark, sf).select("key", "engine_name", F.col("origin_doc").alias("doc_id"))
+    old = cache.valid_cache(fx.fx_cache(spark, sf)).select("key", "engine_name", F.col("origin_doc").alias("doc_id"))
     new = (cache.dedupe_content(cache.cache_misses(_inputs(spark, sf), _cache_table(spark, sf)))
            .select("key", F.lit("paddle").alias("engine_name"), "doc_id"))
-    out = old.join(new.select("key"), "key", "left_anti").unionByName(new)
+    out = cache.replace_by_key(old, new)
     return out.select("key", "engine_name", big("doc_id").alias("doc_id"))
 
 
 def q_dedupe_content(spark, sf):
-    i = _inputs(spark, sf)
-    return i.groupBy("key").agg(big(F.count(F.lit(1))).alias("n_docs"), big(F.min("doc_id")).alias("first_doc"))
+    i = cache.dedupe_content(_inputs(spark, sf))
+    return i.select("key", big("doc_id").alias("first_doc"), big(F.length("text")).alias("text_chars"))
 
 
 def q_warm_cache(spark, sf):
-    """Everything processed, failures kept as rows (none expected here)."""
-    results, _ = _get_or_set(spark, sf)
-    status = F.when(F.col("language").isNull(), "failed").otherwise("ok")
-    return (results.withColumnRenamed("result_language", "language")
-            .groupBy("key").agg(F.max(status).alias("status")))
+    """Everything processed, failures kept as rows."""
+    results, _ = _get_or_set(spark, sf, _compute_or_fail)
+    return cache.warm_cache(results)
 
 
 def q_process_batch(spark, sf):
     """All-or-nothing; a failed row aborts the job. Ordered by key."""
     results, _ = _get_or_set(spark, sf)
-    checked = F.when(F.col("result_language").isNull(), F.raise_error(F.lit("batch item failed")).cast("string")) \
-        .otherwise(F.col("result_language"))
-    return results.select(big("doc_id").alias("doc_id"), "key", checked.alias("language")).orderBy("key", "doc_id")
+    done = cache.process_batch(results)
+    return done.select(big("doc_id").alias("doc_id"), "key", F.col("result_language").alias("language"))
 
 
 # ------------------------------------------------------------------ pages
 def q_page_table(spark, sf):
-    p = pages.page_table(fx.fx_pages(spark, sf), max_pages=5)
+    p = pages.page_table(fx.fx_pages(spark, sf), max_pages=PARAMS.max_pdf_pages)
     return p.select(big("pdf").alias("pdf"), big("page_index").alias("page_index"), "embedded_text")
 
 
 def q_merge_page_text(spark, sf):
+    """Pages through cache and engine, merged with embedded text, as responses."""
     p = fx.fx_pages(spark, sf)
-    m = pages.merge_page_text(p.select("pdf", "page_index", "ocr_text"), p.select("pdf", "page_index", "embedded_text"),
-                              pdf_text=PARAMS.pdf_text)
-    return m.select(big("pdf").alias("pdf"), big("page_index").alias("page_index"), "text")
+    stored = cache.evict_dummy(_cache_table(spark, sf))
+    r = pages.page_responses(p.withColumn("content", F.col("ocr_text")), stored, _compute, PARAMS, now=F.lit(TS_LATEST).cast("timestamp"))
+    return r.select(F.col("meta.source_pdf").alias("source_pdf"), big("meta.page_index").alias("page_index"), "text", "language")
 
 
 def q_merge_text_safe(spark, sf):
@@ -299,8 +301,7 @@ def _pairs(spark, sf):
 
 def q_pair_eval(spark, sf):
     p = _pairs(spark, sf)
-    return p.select(big("row_id").alias("row_id"), big(F.length("ref")).alias("ref_chars"),
-                    big(F.length("hyp")).alias("hyp_chars"))
+    return p.select(big("row_id").alias("row_id"), F.md5("ref").alias("ref_md5"), F.md5("hyp").alias("hyp_md5"))
 
 
 def q_cer(spark, sf):
@@ -314,7 +315,7 @@ def q_wer(spark, sf):
 
 
 def q_mean_cer_wer(spark, sf):
-    s = evaluate.score_pairs(_pairs(spark, sf))
+    s = evaluate.score_pairs(fx.fx_wer(spark, sf))
     m = evaluate.mean_cer_wer(s)
     return m.select(r6("mean_cer").alias("mean_cer"), r6("mean_wer").alias("mean_wer"), big("n").alias("n"))
 
@@ -348,7 +349,9 @@ def q_box_filter(spark, sf):
 
 def q_table_summary(spark, sf):
     t = boxes.table_summary(fx.fx_boxes(spark, sf))
-    return t.select(*[big(c).alias(c) for c in ("image_id", "box_no", "x1", "y1", "x2", "y2", "cells")])
+    cells = F.transform("tables", lambda t: F.concat(F.array_join(F.transform(t["bbox"], lambda x: x.cast("string")), ","),
+                                                     F.lit("/"), t["cells"].cast("string")))
+    return t.select(big("image_id").alias("image_id"), F.array_join(cells, ";").alias("tables"))
 
 
 def q_image_size(spark, sf):
@@ -371,7 +374,8 @@ def q_source_label(spark, sf):
 def q_attach_meta(spark, sf):
     s = fx.fx_sources(spark, sf)
     p = Params(handwriting_mode=True)
-    meta = assemble.attach_meta(p, source=F.col("source"), path=F.col("path"), width=F.lit(None), height=F.lit(None),
+    size = F.when(F.col("id") % 4 != 0, F.col("id") % 1000)
+    meta = assemble.attach_meta(p, source=F.col("source"), path=F.col("path"), width=size, height=size + 1,
                                 duration_ms=F.lit(0.0), device=F.lit("cpu"), engine_name=F.lit("dummy"),
                                 engine_language=F.lit("en"))
     m = s.select("id", meta.alias("meta"))
@@ -396,7 +400,7 @@ def q_dummy_engine(spark, sf):
 def q_run_engine(spark, sf):
     j = spread(fx.fx_engine_json(spark, sf)).select(F.col("doc_id").cast("string").alias("key"),
                                                    F.encode("j", "UTF-8").alias("content"))
-    out = engine.run_engine(j, engine.JsonPayloadEngine, PARAMS.languages)
+    out = engine.run_engine(j, engine.JsonPayloadEngine, PARAMS.languages, name="replay")
     return out.select("key", big(F.length("text")).alias("text_chars"), "engine_name", "error")
 
 
@@ -477,6 +481,14 @@ def q_scan_batch(spark, sf):
     return files.scan_batch(_paths(spark, sf), limit=100, params=PARAMS).select("path", big("length").alias("length"))
 
 
+def q_scan_batch_all(spark, sf):
+    return files.scan_batch(_paths(spark, sf), params=PARAMS).select("path", big("length").alias("length"))
+
+
+def q_route_paths(spark, sf):
+    return _paths(spark, sf).select("path", files.route(F.col("path"), F.lit(False)).alias("route"))
+
+
 def q_scan_any(spark, sf):
     return files.scan_any(_paths(spark, sf), limit=100).select("path", big("length").alias("length"))
 
@@ -488,10 +500,7 @@ def q_size_guard(spark, sf):
 
 # ------------------------------------------------------------------ spelling
 def _lexicon(spark, sf):
-    b = fx.table(spark, sf, "benchmark").select("text")
-    words = b.select(F.lit("en").alias("lang"),
-                     F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), 0)).alias("word"))
-    return word_freq(words)
+    return word_freq(fx.fx_lexicon_words(spark, sf))
 
 
 def q_word_freq(spark, sf):
@@ -499,9 +508,19 @@ def q_word_freq(spark, sf):
     return w.select("lang", "word", big("freq").alias("freq"))
 
 
+def q_read_lexicon(spark, sf):
+    """Lexicon files written from the words, read back by language."""
+    folder = new_table_path(spark, "lexicon")
+    words = fx.fx_lexicon_words(spark, sf)
+    for language in PARAMS.languages:
+        words.where(F.col("lang") == language).select("word").write.text(f"{folder}/{language}.txt")
+    w = read_lexicon(spark, folder, PARAMS.languages)
+    return w.select("lang", "word", big("freq").alias("freq"))
+
+
 def q_spell_candidates(spark, sf):
     c = spelling.spell_candidates(fx.fx_words(spark, sf), _lexicon(spark, sf))
-    return c.select("tok", "word", big("dist").alias("dist"))
+    return c.select("tok", "word", big("freq").alias("freq"), big("dist").alias("dist"))
 
 
 def q_spell_correct(spark, sf):
@@ -513,32 +532,60 @@ def q_spell_correct(spark, sf):
 
 # ------------------------------------------------------------------ sink / streaming
 def q_write_results(spark, sf):
+    """K1, K2: the public records written as JSON and read back."""
     path = new_table_path(spark, "responses")
-    files_out = _assembled(spark, sf).select("doc_id", "text")
-    from ..sources.readers import write_results
-    write_results(files_out, path)
-    back = spark.read.schema("doc_id long, text string").json(path)
-    return back.select(big("doc_id").alias("doc_id"), "text")
+    record = assemble.response_struct(_responses(spark, sf))
+    write_results(record, path)
+    back = spark.read.schema(record.schema).json(path)
+    return back.select(F.col("meta.path").alias("path"), "text", "language", big(F.size("blocks")).alias("blocks_n"),
+                       F.md5(F.array_join(F.transform("blocks", lambda x: x["text"]), "|")).alias("blocks_md5"),
+                       F.col("meta.engine.name").alias("engine"))
+
+
+def q_read_eval_sets(spark, sf):
+    """Predictions as one JSON array and truths as JSON lines, written and read back."""
+    c = fx.fx_wer(spark, sf)
+    preds, truths = new_table_path(spark, "predictions"), new_table_path(spark, "truths")
+    ordered = c.orderBy("doc_id").coalesce(1)      # one array is one file
+    one = ordered.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hyp"))), lambda x: F.struct(x["hyp"].alias("text")))).alias("value"))
+    one.write.text(preds)
+    ordered.select(F.to_json(F.struct(F.col("ref").alias("text"))).alias("value")).write.text(truths)
+    p, t = read_eval_sets(spark, preds, truths)
+    pairs = evaluate.pair_eval(p, t)
+    return pairs.select(big("row_id").alias("row_id"), "ref", "hyp")
 
 
 def q_stream_ingest(spark, sf):
     src = f"{sf.rstrip('/')}/documents*.parquet"
-    cache_path = stream_ingest(spark, src, "doc_id long, text string, lang string, source string, n_chars long")
-    c = spark.read.parquet(cache_path)
-    return c.select("key", "language", "text")
+    store = new_table_path(spark, "stream-store")
+    stream_ingest(spark, src, "doc_id long, text string, lang string, source string, n_chars long", store,
+                  new_table_path(spark, "stream-ingest-ckpt"))
+    return read_store(spark, store).select("key", "language", "text")
+
+
+def _event_stream(spark, sf):
+    return (f"{sf.rstrip('/')}/events*.parquet",
+            "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
 
 
 def q_stream_metrics(spark, sf):
-    src = f"{sf.rstrip('/')}/events*.parquet"
-    out = stream_metrics(spark, src, "event_id long, ts timestamp, user_id long, event_type string, "
-                                     "value double, props string")
-    return _metrics_out(spark.read.parquet(out))
+    out = new_table_path(spark, "stream-metrics")
+    stream_metrics(spark, *_event_stream(spark, sf), out, new_table_path(spark, "stream-metrics-ckpt"))
+    return _metrics_out(read_metrics(spark, out))
+
+
+def q_windowed_metrics(spark, sf):
+    """The windowed form over the events table (a watermark does nothing in batch)."""
+    w = windowed_metrics(fx.fx_requests(spark, sf))
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "endpoint", big("count").alias("count"), r6("sum").alias("sum"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources
     "scan_images": q_scan_images, "scan_batch": q_scan_batch, "scan_any": q_scan_any, "size_guard": q_size_guard,
-    "page_table": q_page_table, "read_engine_json": q_read_engine_json, "source_label": q_source_label,
+    "page_table": q_page_table, "read_engine_json": q_read_engine_json, "source_label": q_source_label, "route_paths": q_route_paths,
+    "read_lexicon": q_read_lexicon, "read_eval_sets": q_read_eval_sets, "payload_rejects": q_payload_rejects,
+    "scan_batch_all": q_scan_batch_all,
     # sinks
     "write_results": q_write_results, "response_struct": q_response_struct,
     # row level
@@ -568,7 +615,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_get_or_set": q_cache_get_or_set, "cache_upsert": q_cache_upsert, "cache_evict_dummy": q_cache_evict_dummy,
     "warm_cache": q_warm_cache, "process_batch": q_process_batch,
     # streaming
-    "stream_ingest": q_stream_ingest, "stream_metrics": q_stream_metrics,
+    "stream_ingest": q_stream_ingest, "stream_metrics": q_stream_metrics, "windowed_metrics": q_windowed_metrics,
     # engines
     "run_engine": q_run_engine, "dummy_engine": q_dummy_engine,
 }

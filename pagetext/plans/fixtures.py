@@ -1,6 +1,6 @@
 """Derived inputs built by Spark from the driver tables.
 
-Every fixture reads whole tables; nothing is sampled or capped. Each has a
+Every fixture reads whole tables, whole texts and whole vectors. Each has a
 DuckDB twin in ``pagetext.plans.oracle`` producing the same rows.
 """
 
@@ -43,40 +43,56 @@ def _json_str(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
 
 
-def _entry_json(shape: Column, text: Column, score: Column, i: Column) -> Column:
+# The spellings of an entry, cycled over the documents.
+BOX_SPELLINGS = ("bbox", "box", "points", "polygon", "poly", "position", "box.points")
+TEXT_SPELLINGS = ("text", "value", "content", "label", "transcription")
+SCORE_SPELLINGS = ("score", "confidence", "prob", "probability", "score.confidence", "score[]")
+BROKEN_EVERY, WRAPPED_EVERY = 97, 13
+
+
+def _pick(values: tuple[str, ...], k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+def _entry_json(shape: Column, k: Column, text: Column, score: Column, i: Column) -> Column:
     t, s = _json_str(text), score.cast("string")
     b = F.concat(F.lit("[[0,"), i.cast("string"), F.lit("],[10,"), i.cast("string"), F.lit("]]"))
-    return (F.when(shape == 0, F.concat(F.lit('{"box":'), b, F.lit(',"text":'), t, F.lit(',"score":'), s, F.lit("}")))
-            .when(shape == 1, F.concat(F.lit("["), b, F.lit(",["), t, F.lit(","), s, F.lit("]]")))
+    box, word, num = _pick(BOX_SPELLINGS, k), _pick(TEXT_SPELLINGS, k), _pick(SCORE_SPELLINGS, k)
+    box = F.when(box == "box.points", F.concat(F.lit('"box":{"points":'), b, F.lit("}"))).otherwise(F.concat(F.lit('"'), box, F.lit('":'), b))
+    num = (F.when(num == "score.confidence", F.concat(F.lit('"score":{"confidence":'), s, F.lit("}")))
+           .when(num == "score[]", F.concat(F.lit('"score":['), s, F.lit("]"))).otherwise(F.concat(F.lit('"'), num, F.lit('":'), s)))
+    entry = F.concat(F.lit("{"), box, F.lit(',"'), word, F.lit('":'), t, F.lit(","), num, F.lit("}"))
+    return (F.when(shape == 1, F.concat(F.lit("["), b, F.lit(",["), t, F.lit(","), s, F.lit("]]")))
             .when(shape == 2, F.concat(F.lit("["), b, F.lit(",["), t, F.lit(","), s, F.lit('],{"extra":true}]')))
-            .when(shape == 4, F.concat(F.lit('{"line":{"points":'), b, F.lit(',"content":'), t,
-                                       F.lit(',"confidence":'), s, F.lit("}}")))
-            .otherwise(F.concat(F.lit('{"bbox":'), b, F.lit(',"text":'), t, F.lit(',"score":'), s, F.lit("}"))))
+            .when(shape == 4, F.concat(F.lit('{"line":'), entry, F.lit("}"))).otherwise(entry))
 
 
 def fx_engine_json(spark, sf_dir) -> DataFrame:
     """One recognition payload per document, six payload shapes by ``doc_id % 6``:
 
-    0 ``{"data":[{box,text,score}...]}``; 1 pages of ``[box,[text,score]]``;
-    2 the same with a third ``{"extra":true}`` part; 3 pages of
-    ``{bbox,text,score}``; 4 ``[{"res":[{"line":{points,content,confidence}}]}...]``;
-    5 entries under non-container keys (only the fallback walk finds them).
-    Pages hold four lines. Built per row, no shuffle.
+    0 ``{"data":[entry...]}``; 1 pages of ``[box,[text,score]]``; 2 the same with a
+    third ``{"extra":true}`` part; 3 pages of entries; 4 ``[{"res":[{"line":entry}]}...]``;
+    5 entries under non-container keys (only the fallback walk finds them). Entries
+    are objects whose keys take all spellings in turn. Every 13th payload has two
+    more lists around it, every 97th lacks its last character and is no JSON.
+    Pages hold four lines.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shape = (F.col("doc_id") % 6).cast("int")
-    parts = F.split("text", "\n", -1)
-    entries = F.transform(parts, lambda t, i: _entry_json(shape, t, line_score(F.col("doc_id"), i), i))
-    n_pages = F.ceil(F.size(entries) / LINES_PER_PAGE).cast("int")
-    pages = F.transform(F.sequence(F.lit(0), n_pages - 1),
-                        lambda p: F.array_join(F.slice(entries, p * LINES_PER_PAGE + 1, LINES_PER_PAGE), ","))
-    all_entries = F.array_join(entries, ",")
-    payload = (F.when(shape == 0, F.concat(F.lit('{"data":['), all_entries, F.lit("]}")))
-               .when(shape == 4, F.concat(F.lit("["), F.array_join(
-                   F.transform(pages, lambda p: F.concat(F.lit('{"res":['), p, F.lit("]}"))), ","), F.lit("]")))
-               .when(shape == 5, F.concat(F.lit('{"output":{"lines":['), all_entries, F.lit("]}}")))
-               .otherwise(F.concat(F.lit("["), F.array_join(
-                   F.transform(pages, lambda p: F.concat(F.lit("["), p, F.lit("]"))), ","), F.lit("]"))))
+    shape, k = (F.col("doc_id") % 6).cast("int"), F.floor(F.col("doc_id") / 6).cast("long")
+    lines = fx_lines(spark, sf_dir)
+    entry = _entry_json(shape, k, F.col("text"), F.col("score"), F.col("line"))
+
+    def joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        in_order = F.array_sort(F.collect_list(F.struct(order, "e")))
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(in_order, lambda x: x["e"]), ",").alias("e"))
+    whole = shape.isin(0, 5)       # these shapes have no pages
+    paged = joined(lines.select("doc_id", F.floor(F.col("line") / LINES_PER_PAGE).alias("page"), "line", entry.alias("e")), ["doc_id", "page"], "line")
+    page = F.when(whole, F.col("e")).when(shape == 4, F.concat(F.lit('{"res":['), F.col("e"), F.lit("]}"))).otherwise(F.concat(F.lit("["), F.col("e"), F.lit("]")))
+    d = joined(paged.withColumn("e", page), ["doc_id"], "page")
+    payload = (F.when(shape == 0, F.concat(F.lit('{"data":['), F.col("e"), F.lit("]}")))
+               .when(shape == 5, F.concat(F.lit('{"output":{"lines":['), F.col("e"), F.lit("]}}")))
+               .otherwise(F.concat(F.lit("["), F.col("e"), F.lit("]"))))
+    payload = F.when(F.col("doc_id") % WRAPPED_EVERY == 5, F.concat(F.lit("[["), payload, F.lit("]]"))).otherwise(payload)
+    payload = F.when(F.col("doc_id") % BROKEN_EVERY == BROKEN_EVERY - 1, F.substring(payload, F.lit(1), F.length(payload) - 1)).otherwise(payload)
     return d.select("doc_id", payload.alias("j"))
 
 
@@ -123,6 +139,12 @@ def fx_votes(spark, sf_dir) -> DataFrame:
                     (((F.col("doc_id") * 37 + F.col("rank") * 11) % 100).cast("double") / 100.0).alias("prob"))
 
 
+def fx_vote_texts(spark, sf_dir) -> DataFrame:
+    """The documents, every 11th with blank text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.lit("  \n ")).otherwise(F.col("text")))
+
+
 # ------------------------------------------------------------------ evaluation
 def fx_cer(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,17 +153,12 @@ def fx_cer(spark, sf_dir) -> DataFrame:
 
 
 def fx_wer(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ref = py_split(ascii_text(F.col("text")))
-    kept = F.filter(ref, lambda t, i: i % 7 != 6)
+    """Conversation turns and the same with every 7th token left out and long tokens misread."""
+    d = table(spark, sf_dir, "conversations")
+    ref = ascii_text(F.coalesce("text", F.lit("")))
+    kept = F.filter(py_split(ref), lambda t, i: i % 7 != 6)
     hyp = F.transform(kept, lambda t: F.when(F.length(t) > 6, F.translate(t, "oil", "011")).otherwise(t))
-    return d.select("doc_id", ref.alias("ref"), hyp.alias("hyp"))
-
-
-def fx_eval_pairs(spark, sf_dir) -> DataFrame:
-    """Predictions and truths as two tables with an explicit row id."""
-    c = fx_cer(spark, sf_dir)
-    return c
+    return d.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), ref.alias("ref"), F.array_join(hyp, " ").alias("hyp"))
 
 
 # ------------------------------------------------------------------ attempts / requests
@@ -226,9 +243,12 @@ def fx_raster(spark, sf_dir) -> DataFrame:
 
 
 def fx_rgb(spark, sf_dir) -> DataFrame:
-    """4x4 colour (B,G,R) image from the first 48 values of each embedding."""
+    """Colour (B,G,R) image of 4 pixels a row from each embedding; the last pixel's
+    missing channels are 0."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    x = e.select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, 48)).alias("p", "e"))
+    short = F.pmod(-F.size("embedding"), F.lit(3))
+    whole = F.concat("embedding", F.array_repeat(F.lit(-1.0).cast("float"), short))
+    x = e.select(F.col("vec_id").alias("image_id"), F.posexplode(whole).alias("p", "e"))
     return x.select("image_id", (F.col("p") / 12).cast("int").alias("y"), ((F.col("p") / 3).cast("int") % 4).alias("x"),
                     (F.col("p") % 3).cast("int").alias("c"),
                     F.floor((F.col("e").cast("double") + 1) * 127).cast("int").alias("v"))
@@ -265,11 +285,23 @@ def fx_params(spark, sf_dir) -> DataFrame:
 
 
 # ------------------------------------------------------------------ spelling
+def _benchmark_words(spark, sf_dir) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return b.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), 0)).alias("word"))
+
+
+def fx_lexicon_words(spark, sf_dir) -> DataFrame:
+    """Two lexicons: the words of ``benchmark``, and those of its even items, each also
+    written twice (long words)."""
+    w = _benchmark_words(spark, sf_dir)
+    even = w.where(F.col("item_id") % 2 == 0)
+    return (w.select(F.lit("en").alias("lang"), "word")
+            .unionByName(even.select(F.lit("id").alias("lang"), F.explode(F.array("word", F.concat("word", "word"))).alias("word"))))
+
+
 def fx_words(spark, sf_dir) -> DataFrame:
-    """Lexicon words of ``benchmark`` and misspelt tokens (letters 2,3 swapped + 'x')."""
-    b = table(spark, sf_dir, "benchmark").select("text")
-    w = (b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), 0)).alias("word"))
-         .where(F.length("word").between(2, 12)).distinct())
+    """All lexicon words and misspelt tokens (letters 2,3 swapped + 'x')."""
+    w = fx_lexicon_words(spark, sf_dir).select("word").distinct()
     tok = F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1), F.substring("word", 2, 1),
                    F.expr("substring(word, 4)"), F.lit("x"))
     return w.select("word", tok.alias("tok"))

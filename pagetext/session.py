@@ -66,16 +66,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df, per_core: int = 2):
-    """Spread rows for CPU-heavy per-row work when the scan yields fewer
-    partitions than the cluster has cores (e.g. a single large row group).
+SPREAD_CONF = "spark.pagetext.inputPartitions"
 
-    On a large input (many files / row groups) this is a no-op, so no
-    shuffle is added where the scan is already parallel. Round-robin keeps
-    the partitions even whatever the key distribution.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * per_core)
+
+def spread(df):
+    """``df`` dealt round-robin over as many partitions as the setting
+    ``spark.pagetext.inputPartitions`` names; as it was scanned where that is unset.
+    For small inputs in one row group and CPU-heavy work per row."""
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df

@@ -31,6 +31,12 @@ def scan_images(files: DataFrame, params: Params = Params()) -> DataFrame:
     return files.where(suffix(F.col("path")).isin(*params.image_suffixes)).orderBy("path")
 
 
+def route(path: Column, is_folder: Column) -> Column:
+    """Which pipeline a path goes to: a folder is scanned for images, a ``.pdf`` is read
+    page by page, any other single file (whatever its suffix) is one image."""
+    return F.when(is_folder, "folder").when(suffix(path) == ".pdf", "pdf").otherwise("image")
+
+
 def scan_batch(files: DataFrame, limit: int | None = None, params: Params = Params()) -> DataFrame:
     """Batch-run selection (its own suffix set); optional limit after the sort."""
     out = files.where(suffix(F.col("path")).isin(*params.batch_suffixes)).orderBy("path")
@@ -68,12 +74,9 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 def image_pixels(images: DataFrame, key: str = "path") -> DataFrame:
     """Decoded images -> pixel table ``(key, y, x, c, v)`` (BGR order, row-major)."""
     img = F.col("image")
-    n = img["height"] * img["width"] * img["nChannels"]
-    idx = F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
-    x = images.select(key, "image", idx)
-    per_row = F.col("image.width") * F.col("image.nChannels")
-    return x.select(key,
-                    (F.col("i") / per_row).cast("int").alias("y"),
-                    ((F.col("i") % per_row) / F.col("image.nChannels")).cast("int").alias("x"),
-                    (F.col("i") % F.col("image.nChannels")).cast("int").alias("c"),
-                    F.conv(F.hex(F.substring(F.col("image.data"), F.col("i") + 1, 1)), 16, 10).cast("int").alias("v"))
+    # the bytes become one array first: exploding indices would copy the image into every pixel row
+    values = F.transform(F.sequence(F.lit(1), F.length(img["data"])), lambda i: F.conv(F.hex(F.substring(img["data"], i, F.lit(1))), 16, 10).cast("int"))
+    flat = images.select(key, img["width"].alias("w"), img["nChannels"].alias("n"), F.posexplode(values).alias("i", "v"))
+    per_row = F.col("w") * F.col("n")
+    return flat.select(key, F.floor(F.col("i") / per_row).cast("int").alias("y"), F.floor((F.col("i") % per_row) / F.col("n")).cast("int").alias("x"),
+                       (F.col("i") % F.col("n")).cast("int").alias("c"), "v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,8 @@ def read_lexicon(spark: SparkSession, folder: str, languages: tuple[str, ...] |
     Missing language files are simply absent; frequencies are token counts
     (case-insensitive)."""
     df = spark.read.text(f"{folder.rstrip('/')}/*.txt").select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("lang"),
+        # <lang>.txt may be a file or a folder of part files
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt(/[^/]*)?$", 1).alias("lang"),
         F.lower(F.trim(F.col("value"))).alias("word"))
     if languages is not None:
         df = df.where(F.col("lang").isin(*languages))
@@ -24,18 +25,25 @@ def word_freq(words: DataFrame) -> DataFrame:
     return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def read_eval_sets(spark: SparkSession, predictions_path: str, truth_path: str) -> tuple[DataFrame, DataFrame]:
-    """predictions = one JSON array of responses; truth = JSON lines.
+def line_numbers(lines: DataFrame) -> DataFrame:
+    """``(row_id, value)`` of a text scan (``spark.read.text``): 0-based line numbers in
+    file order. Rows are numbered within their file split; the splits' offsets are
+    running sums over one small row per split."""
+    rows = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"),
+                        F.monotonically_increasing_id().alias("i"), "value")
+    splits = rows.groupBy("f", "s").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("f", "s", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return rows.join(splits, ["f", "s"]).select((F.col("offset") + F.col("i") - F.col("first")).alias("row_id"), "value")
 
-    Both need ``text``. A row id is attached from the file order (a
-    sequential index over the single input file, not a driver loop)."""
-    preds = spark.read.option("multiLine", True).schema("text string").json(predictions_path)
-    truth = spark.read.schema("text string").json(truth_path)
 
-    def with_row_id(df: DataFrame) -> DataFrame:
-        indexed = df.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["text"]))
-        return spark.createDataFrame(indexed, "row_id long, text string")
-    return with_row_id(preds), with_row_id(truth)
+def read_eval_sets(spark: SparkSession, predictions_path: str, truth_path: str) -> tuple[DataFrame, DataFrame]:
+    """predictions = one JSON array of responses; truth = JSON lines. Both need
+    ``text``; the row id is the place in the array, the line number in the file."""
+    array = spark.read.text(predictions_path, wholetext=True).select(F.from_json("value", "array<struct<text:string>>").alias("a"))
+    preds = array.select(F.posexplode("a").alias("row_id", "r")).select(F.col("row_id").cast("long").alias("row_id"), "r.text")
+    truth = line_numbers(spark.read.text(truth_path)).select("row_id", F.get_json_object("value", "$.text").alias("text"))
+    return preds, truth
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -1,9 +1,10 @@
 """ST2: running request count and latency histogram per endpoint.
 
-A streaming aggregation in ``complete`` mode; each micro-batch's full
-result is written by ``foreachBatch`` to a fresh folder, so the final
-folder equals the batch report (A3). The windowed variant keeps state
-bounded with a watermark.
+A streaming aggregation in ``complete`` mode; ``foreachBatch`` writes each
+micro-batch's full result as a version of its own below the caller's folder, so
+a reader always finds a whole one; the last equals the batch report (A3). The
+checkpoint is the caller's folder, too. The windowed variant keeps state bounded
+with a watermark.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.metrics import DEFAULT_BUCKETS, request_metrics
-from ..session import new_table_path
+from ..operators.metrics import DEFAULT_BUCKETS
 
 
-def stream_metrics(spark: SparkSession, source_glob: str, schema: str, files_per_trigger: int = 1) -> str:
-    out_path = new_table_path(spark, "stream-metrics")
-    checkpoint = new_table_path(spark, "stream-metrics-ckpt")
+def read_metrics(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest version."""
+    versions = spark.read.parquet(out_path)
+    return versions.where(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
+
+
+def stream_metrics(spark: SparkSession, source_glob: str, schema: str, out_path: str, checkpoint: str,
+                   files_per_trigger: int = 1000) -> None:
     ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_glob)
           .select(F.col("event_type").alias("endpoint"), (F.col("value") / 100.0).alias("seconds")))
     aggs = [F.count(F.lit(1)).alias("count"), F.sum("seconds").alias("sum")]
@@ -29,12 +34,11 @@ def stream_metrics(spark: SparkSession, source_glob: str, schema: str, files_per
         cells = F.array(*[F.struct(F.lit(str(b)).alias("le"), F.col(f"le_{i}").alias("bucket_count"))
                           for i, b in enumerate(DEFAULT_BUCKETS)],
                         F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket_count")))
-        batch.select("endpoint", "count", "sum", F.inline(cells)).write.mode("overwrite").parquet(out_path)
+        batch.select("endpoint", "count", "sum", F.inline(cells)).write.mode("overwrite").parquet(f"{out_path}/version={batch_id}")
 
     q = (running.writeStream.outputMode("complete").foreachBatch(emit)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out_path
 
 
 def windowed_metrics(events: DataFrame, window: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
@@ -42,6 +46,3 @@ def windowed_metrics(events: DataFrame, window: str = "5 minutes", watermark: st
     return (events.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window), "endpoint")
             .agg(F.count(F.lit(1)).alias("count"), F.sum("seconds").alias("sum")))
-
-
-__all__ = ["stream_metrics", "windowed_metrics", "request_metrics"]
