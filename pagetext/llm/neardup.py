@@ -17,11 +17,10 @@ Method (HyperMinHash, Yu and Weber 2017):
 4. In each bucket every member is paired with the smallest one. Pairs pass a
    collision-corrected estimate of the similarity (cut five standard errors
    below 0.8), then are confirmed on the full sets.
-5. Buckets whose members still lie in several components are searched again,
-   between components only: first each member's best partner in each other
-   component, then every pair left, in blocks of bounded size. So no pair that
-   shares a band stays untested unless it is already connected, and copies are
-   never expanded into all pairs.
+5. Buckets whose members still lie in several components are searched whole, on
+   the full sets, in blocks of bounded size; a block returns links between
+   components only, no more than it has members. So every pair that shares a band
+   is connected or has been compared, and copies are never expanded into pairs.
 
 Shingles are compared by 64-bit hashes. Repeated rows are equal sets. Rows that
 share a doc_id count as one document. A row whose doc_id is null takes no part:
@@ -48,6 +47,7 @@ MANTISSA_BITS = 10
 PERCENT = 80
 ESTIMATE_CUT = 0.65       # 0.8 less five standard errors of 200 registers
 BLOCK = 512               # members of a bucket compared at once
+SLICE = 8192              # shingles multiplied out at once
 IDS_BROADCAST = 1_000_000   # rows of two long columns at most: 16 MB
 SALT_A, SALT_B = U64(0x8CB92BA72F3D8DD7), U64(0xA0761D6478BD642F)
 EMPTY = np.iinfo(np.uint64).max
@@ -228,9 +228,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def between_components(members: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket but of two components that pass the estimate.
-    Buckets are cut into cells; each pair of cells is a group of bounded size."""
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of rows with cols. Shingles of one set only count for
+    nothing; the others are multiplied out in slices of bounded width."""
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = column.ravel()
+    keep = times[column] > 1
+    of, column = of[keep], np.unique(column[keep], return_inverse=True)[1].ravel()
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(rows), len(cols)), np.float64)
+    for low in range(0, int(column.max(initial=-1)) + 1, SLICE):
+        lo, hi = np.searchsorted(column, [low, low + SLICE])
+        x = np.zeros((len(sets), SLICE), np.float32)
+        x[of[lo:hi], column[lo:hi] - low] = 1.0
+        out += x[rows] @ x[cols].T
+    return out.astype(np.int64)
+
+
+def links_between_components(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components still apart within each bucket, found on
+    the full sets. Buckets are cut into cells; each pair of cells is a group of at
+    most about ``2 * BLOCK`` documents. A group returns no more links than it has members."""
     cells = F.ceil(F.col("size") / BLOCK).cast("int")
     cell = F.pmod(F.xxhash64("node"), cells).cast("int")
     m = members.withColumn("cell", cell).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
@@ -238,27 +259,33 @@ def between_components(members: DataFrame, best_only: bool) -> DataFrame:
 
     def compare(group: pa.Table) -> pa.Table:
         node, comp = group.column("node").to_numpy(), group.column("component").to_numpy()
-        n, cell = group.column("n_shingles").to_numpy().astype(float), group.column("cell").to_numpy()
-        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(node), REGISTERS)
+        cell = group.column("cell").to_numpy()
         low = group.column("low")[0].as_py()
         same = low == group.column("high")[0].as_py()
         rows = np.arange(len(node)) if same else np.flatnonzero(cell == low)
         cols = np.arange(len(node)) if same else np.flatnonzero(cell != low)
-        out_a, out_b = [], []
-        for i in rows:
-            j = cols[(comp[cols] != comp[i]) & (np.minimum(n[cols], n[i]) * 100 >= np.maximum(n[cols], n[i]) * PERCENT)]
-            if not len(j):
-                continue
-            est = jaccard_estimate((regs[j] == regs[i]).sum(1), n[j], np.full(len(j), n[i]))
-            j, est = j[est >= ESTIMATE_CUT], est[est >= ESTIMATE_CUT]
-            if best_only and len(j):
-                by = np.lexsort((-est, comp[j]))
-                j = j[by][np.concatenate([[True], comp[j][by][1:] != comp[j][by][:-1]])]
-            out_a.append(np.minimum(node[j], node[i]))
-            out_b.append(np.maximum(node[j], node[i]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": a, "b": b})
+        a, b = [], []
+        if len(rows) and len(cols) and len(np.unique(comp)) > 1:
+            lists = group.column("shingles").combine_chunks()
+            edge, flat_sets = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [flat_sets[edge[i]:edge[i + 1]] for i in range(len(node))]
+            n = np.array([len(x) for x in sets])
+            both = shared_counts(sets, rows, cols)
+            near = both * 100 >= (n[rows][:, None] + n[cols][None, :] - both) * PERCENT
+            near &= comp[rows][:, None] != comp[cols][None, :]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+            for i, j in zip(*np.nonzero(near)):
+                x, y = find(int(comp[rows[i]])), find(int(comp[cols[j]]))
+                if x != y:
+                    root[x] = y
+                    a.append(min(node[rows[i]], node[cols[j]]))
+                    b.append(max(node[rows[i]], node[cols[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return m.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
@@ -288,20 +315,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     links = stored(confirmed(docs, stored(star, "star-pairs"), shingle), "star-links")
     comps = stored(components(links), "components")
 
-    for best_only in (True, False):
-        m = members.where("size > 2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # buckets of equal membership need one search
-        open_buckets = (m.groupBy("band", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                                       F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-                        .where("lo != hi").groupBy("size", "who").agg(F.min("band").alias("band")).select("band"))
-        m = m.join(stored(open_buckets, "open-buckets"), "band").join(info, "node")
-        pairs = stored(between_components(m.select("band", "size", "node", "component", "n_shingles", "registers"), best_only), "pairs")
-        if not pairs.limit(1).count():
-            break
-        more = stored(confirmed(docs, pairs, shingle), "more-links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            comps = stored(components(links), "components")
+    # buckets whose members lie in several components, one of those with equal members
+    m = members.where("size > 2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = (m.groupBy("band", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                           F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+             .where("lo != hi").groupBy("size", "who").agg(F.min("band").alias("band")).select("band"))
+    m = stored(m.join(stored(apart, "open-buckets"), "band").select("band", "size", "node", "component"), "open-members")
+    wanted = small_side(stored(m.select(F.col("node").alias("doc_id")).distinct(), "open-nodes"), IDS_BROADCAST)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    sets = shingle_sets(ids.withColumn("own", F.col("doc_id")), shingle, "own").select(F.col("doc_id").alias("node"), "shingles")
+    more = stored(links_between_components(m.join(sets, "node")), "more-links")
+    if not more.isEmpty():
+        comps = stored(components(links.unionByName(more)), "components")
 
     c = classes.join(comps, "node", "left").select(*[F.col(x).alias(f"c_{x}") for x in prints],
                                                    F.coalesce("component", "node").alias("root"))
