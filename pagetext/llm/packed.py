@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 # Fixed odd multiplier of the polynomial word hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
