@@ -39,6 +39,7 @@ from .tables import stored
 DEPTH = 4            # bytes of context; a gram packs DEPTH + 1 bytes into a long
 MARK = 0xFF
 FOLDS, HELD_OUT_FOLD = 7, 2
+MERGE_ROWS, OUT_ROWS = 200_000, 50_000      # entries held before a merge; rows of an output batch
 LN10 = float(np.log(10.0))
 
 
@@ -82,11 +83,23 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[index])])
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of a first occurrence, sum) of each distinct key, by key."""
+    if not len(keys):
+        return np.zeros(0, np.int64), counts
+    order = np.argsort(keys, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    return order[edge], np.add.reduceat(counts[order], edge)
+
+
 class BlockCounts:
-    """Distinct words and grams of one block with their training counts."""
+    """Distinct words and grams of one block with their training counts. What chunks add
+    is merged whenever it has doubled, so memory follows the distinct entries."""
 
     def __init__(self, block: int):
-        self.block, self.grams, self.words = block, [], []
+        self.block, self.held, self.limit = block, [], MERGE_ROWS
+        self.grams, self.gram_counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.hashes, self.word_counts, self.words = np.zeros(0, U64), np.zeros(0, np.int64), pa.array([], pa.large_binary())
 
     def add(self, batch: pa.RecordBatch) -> None:
         trained = np.array(batch.column("trained").to_pylist(), dtype=bool)
@@ -95,33 +108,38 @@ class BlockCounts:
             if len(offsets) < 2:
                 continue
             g, n = distinct(grams(data, offsets)[0])
-            self.grams.append((g, n * flag))
             data = LOWER[data]
             starts, ends, _ = words(data, offsets)
             h = span_hashes(data, starts, ends)
-            order = np.argsort(h)
-            edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, int)
-            first = order[edge]
-            self.words.append((h[first], np.diff(np.append(edge, len(h))) * flag, gather(data, starts[first], ends[first])))
+            first, count = summed(h, np.ones(len(h), np.int64))
+            self.held.append((g, n * flag, h[first], count * flag, gather(data, starts[first], ends[first])))
+        if sum(len(x[0]) + len(x[2]) for x in self.held) > self.limit:
+            self.merge()
+
+    def merge(self) -> None:
+        g, gn, h, hn, w = zip((self.grams, self.gram_counts, self.hashes, self.word_counts, self.words), *self.held)
+        self.held = []
+        g, h = np.concatenate(g), np.concatenate(h)
+        first, self.gram_counts = summed(g, np.concatenate(gn))
+        self.grams = g[first]
+        first, self.word_counts = summed(h, np.concatenate(hn))
+        self.hashes = h[first]
+        self.words = pa.concat_arrays([x.cast(pa.large_binary()) for x in w]).take(pa.array(first))
+        self.limit = max(MERGE_ROWS, len(self.grams) + len(self.hashes))
+        pa.default_memory_pool().release_unused()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        def merged(keys: list, counts: list):
-            key, count = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(key, kind="stable")
-            edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, int)
-            return order[edge], np.add.reduceat(count[order], edge) if len(edge) else count[:0]
-
-        if not self.grams:
-            return
-        first, count = merged([g for g, _ in self.grams], [n for _, n in self.grams])
-        gram = np.concatenate([g for g, _ in self.grams])[first].view(np.int64)
-        yield self.batch(pa.array(gram), pa.nulls(len(gram), pa.large_binary()), count)
-        first, count = merged([h for h, _, _ in self.words], [n for _, n, _ in self.words])
-        word = pa.chunked_array([w for *_, w in self.words], pa.large_binary()).combine_chunks().take(pa.array(first))
-        yield self.batch(pa.nulls(len(word), pa.int64()), word, count)
+        self.merge()
+        for at in range(0, len(self.grams), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            gram = pa.array(self.grams[part].view(np.int64))
+            yield self.batch(gram, pa.nulls(len(gram), pa.binary()), self.gram_counts[part])
+        for at in range(0, len(self.hashes), OUT_ROWS):
+            word = self.words.slice(at, OUT_ROWS).cast(pa.binary())
+            yield self.batch(pa.nulls(len(word), pa.int64()), word, self.word_counts[at:at + OUT_ROWS])
 
     def batch(self, gram: pa.Array, word: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(count), self.block)), gram, word.cast(pa.binary()), pa.array(count.astype(np.int64))],
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(count), self.block, np.int64)), gram, word, pa.array(count.astype(np.int64))],
                                           names=["block", "gram", "word", "n"])
 
 
@@ -267,8 +285,8 @@ class Lookup:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
         self.bits = max(int(len(keys)).bit_length() + 2, 4)
-        self.slot_of = np.zeros(1 << self.bits, np.int64)
-        self.slot_of[self.slots(self.keys)] = np.arange(len(keys))
+        self.slot_of = np.zeros(1 << self.bits, np.int32)
+        self.slot_of[self.slots(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
@@ -276,7 +294,7 @@ class Lookup:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(keys):
             return self.values[:0]
-        at = self.slot_of[self.slots(keys)]
+        at = self.slot_of[self.slots(keys)].astype(np.int64)
         other = np.flatnonzero(self.keys[at] != keys)
         at[other] = np.searchsorted(self.keys, keys[other])
         return self.values[at]
@@ -305,6 +323,7 @@ def score_block(docs: pa.Table, known: pa.Table, total: int, distinct_tokens: in
         base = np.bincount(text, weights=np.log10(c + 1.0) - log_total, minlength=n)
         out["base_score"].append(base + np.log10(ends + 1.0) - log_total)
         out["n_bytes"].append(np.diff(offsets))
+    pa.default_memory_pool().release_unused()
     result = {k: np.concatenate(v) for k, v in out.items()}
     bits = -result["score"] * (LN10 / np.log(2.0)) / (result.pop("n_bytes") + 1)
     return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": result["n_tokens"],

@@ -26,14 +26,16 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null counts as empty."""
+    """(bytes, offsets) of a string column, without a copy; a null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null(b"")
+        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
