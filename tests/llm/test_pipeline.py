@@ -1,7 +1,7 @@
 import corpus_pipeline as cp
 from pagetext.llm import quality
 
-from .helpers import DOCS, frame, odd_documents, prose
+from .helpers import frame, odd_documents, prose
 
 
 def tables(spark, tmp_path, docs, labels, items):
