@@ -4,7 +4,6 @@ import struct
 import tempfile
 import zlib
 
-from pyspark.sql import functions as F
 
 from pagetext.operators import evaluate
 from pagetext.sources import files, readers
