@@ -204,30 +204,46 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     return left.join(right, "a").where(both * 100 >= either * PERCENT).select("a", "b").distinct()
 
 
+def star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step of star contraction: every node hands its neighbours (large: the larger
+    ones, small: the smaller ones and itself) to its smallest neighbour."""
+    e = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else \
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    j = e.join(least, "a")
+    if large:
+        return j.where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a != b").distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    return stored(star(star(edges, True), False), "stars")
+
+
+def all_stars(edges: DataFrame) -> bool:
+    """No node points to two, and none to a node that points on."""
+    forked = edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo != hi")
+    on = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    return forked.isEmpty() and on.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable, for each node with a link.
     Alternating large-star and small-star steps (Kiveris et al. 2014)."""
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        e = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else \
-            edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        j = e.join(least, "a")
-        out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else \
-            j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a != b").distinct()
-
-    def state(edges: DataFrame):
-        return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    edges = stored(links.select("a", "b"), "links")
-    before = None
-    while (now := state(edges)) != before:
-        before = now
-        edges = stored(star(stored(star(edges, True), "large-star"), False), "small-star")
+    edges = contracted(links.select("a", "b"))
+    while not all_stars(edges):
+        edges = contracted(edges)
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def known_connections(links: DataFrame) -> DataFrame:
+    """(node, component) after one contraction: equal labels are connected, though not
+    all that is connected has equal labels yet."""
+    return contracted(links).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
 def shared_counts(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of rows with cols. Shingles of one set only count for
     nothing; the others are multiplied out in slices of bounded width."""
@@ -313,10 +329,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     star = star.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
     star = star.where(estimate("r_a", "r_b", "n_a", "n_b") >= ESTIMATE_CUT).select("a", "b").distinct()
     links = stored(confirmed(docs, stored(star, "star-pairs"), shingle), "star-links")
-    comps = stored(components(links), "components")
 
-    # buckets whose members lie in several components, one of those with equal members
-    m = members.where("size > 2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # buckets whose members are not known to be connected, one of those with equal members
+    m = members.where("size > 2").join(stored(known_connections(links), "known-connections"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = (m.groupBy("band", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
              .where("lo != hi").groupBy("size", "who").agg(F.min("band").alias("band")).select("band"))
@@ -325,8 +340,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
     sets = shingle_sets(ids.withColumn("own", F.col("doc_id")), shingle, "own").select(F.col("doc_id").alias("node"), "shingles")
     more = stored(links_between_components(m.join(sets, "node")), "more-links")
-    if not more.isEmpty():
-        comps = stored(components(links.unionByName(more)), "components")
+    comps = stored(components(links.unionByName(more)), "components")
 
     c = classes.join(comps, "node", "left").select(*[F.col(x).alias(f"c_{x}") for x in prints],
                                                    F.coalesce("component", "node").alias("root"))
