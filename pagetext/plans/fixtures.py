@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Sentence templates of the language fixture.
 ID_SENTENCE = "Halo apa kabar kamu sedang di mana"
 EN_SENTENCE = "Please pay this invoice within seven days"
@@ -34,7 +36,7 @@ def line_score(doc_id: Column, line: Column) -> Column:
 
 # ------------------------------------------------------------------ text lines
 def fx_lines(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return (d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
             .withColumn("score", line_score(F.col("doc_id"), F.col("line"))))
 
