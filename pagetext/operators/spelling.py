@@ -71,16 +71,16 @@ def edit_distance_upto2(a: Column, b: Column) -> Column:
     """0, 1 or 2 when ``b`` is within that many edits of ``a`` (adjacent swaps
     count as one edit), else NULL."""
     near = lambda x, y, k: F.levenshtein(x, y, k) >= 0
-    # A swap counts 2 in the plain distance. So two edits have a plain distance of 4 only
-    # if both are swaps, of 3 only if one is; at 2 one swap may explain it.
+    # A swap counts 2 at most in the plain distance. So two edits have a plain distance of
+    # 4 only if both are swaps, of 3 only if one is or both are; at 2 one swap may explain it.
     plain = F.levenshtein(a, b, 4)
     sa, sb = _swaps(a), _swaps(b)
     same_length = F.length(a) == F.length(b)
     swap_and_edit = F.exists(sa, lambda x: near(x, b, 1)) | F.exists(sb, lambda x: near(a, x, 1))
     return (F.when(plain < 0, F.lit(None).cast("int")).when(plain <= 1, plain)
             .when(plain == 2, F.when(same_length & F.array_contains(sa, b), 1).otherwise(2))
-            .when(plain == 4, F.when(same_length & F.arrays_overlap(sa, sb), 2))
-            .when((F.abs(F.length(a) - F.length(b)) <= 1) & swap_and_edit, 2))
+            .when(same_length & F.arrays_overlap(sa, sb), 2)
+            .when((plain == 3) & (F.abs(F.length(a) - F.length(b)) <= 1) & swap_and_edit, 2))
 
 
 def word_totals(lexicon: DataFrame) -> DataFrame:
