@@ -11,17 +11,18 @@ bytes and an end mark; 0xFF, which UTF-8 never uses, is that mark and stands
 for the bytes before the text. The score is the log10 probability of the whole
 text, the code length per byte its bits over the symbols.
 
-How it runs: a block is one split of the input files. A pass over the blocks
-emits, per block, the distinct words and (context, byte) grams with their
+How it runs: the rows are written once, numbered into blocks of ``BLOCK_BYTES``
+of text; both passes read that table, so a row keeps its block however the
+scans are split. A pass over the blocks emits, per block, the distinct words and (context, byte) grams with their
 training counts. Totals come from a shuffle on the word or gram; the tree is
 computed per pair of preceding bytes (a group has at most 2^24 grams whatever
 the input) and above that on one row per byte and node. Each block then gets
 back the counts and probabilities of its own words and grams and scores its
-texts. No table of the whole model goes to any task or to the driver.
+texts; a word or gram that is not among them is an error. No table of the whole
+model goes to any task or to the driver.
 
 Nulls: a null text is empty (one end mark); a null doc_id counts as the empty
 id. Repeated rows are scored (and learned) each. Only doc_id and text are read.
-``docs`` must be a DataFrame read from files.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from .tables import stored
 DEPTH = 4            # bytes of context; a gram packs DEPTH + 1 bytes into a long
 MARK = 0xFF
 FOLDS, HELD_OUT_FOLD = 7, 2
+BLOCK_BYTES, ROW_BYTES = 96 << 20, 16       # text of a block (plus at most one text); added for each row
 MERGE_ROWS, OUT_ROWS = 200_000, 50_000      # entries held before a merge; rows of an output batch
 LN10 = float(np.log(10.0))
 
@@ -48,6 +50,27 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(FOLDS)) == HELD_OUT_FOLD
 
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, text, held_out, block: rows numbered into blocks of at most ``BLOCK_BYTES``
+    and one text. The numbers follow the partitions of this scan: store before use."""
+    size = BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, offsets = flat(b.column("text"))
+            at = seen + offsets + ROW_BYTES * np.arange(len(offsets))
+            block = (b.column("part").to_numpy().astype(np.int64) << 32) + at[:-1] // size
+            seen = int(at[-1])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "text", "held_out")], pa.array(block)],
+                                             names=["doc_id", "text", "held_out", "block"])
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out(F.col("doc_id")).alias("held_out"),
+                    F.spark_partition_id().alias("part"))
+    return d.mapInArrow(run, "doc_id long, text string, held_out boolean, block long")
+
+
 # ------------------------------------------------------------------ symbols of a chunk
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(gram, text number) of each byte and end mark, in order; the last byte of a
@@ -279,7 +302,8 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ scoring
 class Lookup:
-    """Values by 64-bit key: a direct-mapped table, with binary search for keys that share a slot."""
+    """Values by 64-bit key: a direct-mapped table, with binary search for keys that share a slot.
+    A key that is not there raises."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
@@ -294,9 +318,13 @@ class Lookup:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(keys):
             return self.values[:0]
+        if not len(self.keys):
+            raise KeyError("keys looked up in an empty table")
         at = self.slot_of[self.slots(keys)].astype(np.int64)
         other = np.flatnonzero(self.keys[at] != keys)
-        at[other] = np.searchsorted(self.keys, keys[other])
+        at[other] = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+        if (self.keys[at[other]] != keys[other]).any():
+            raise KeyError("a word or gram of a block is missing from its table")
         return self.values[at]
 
 
@@ -332,15 +360,13 @@ def score_block(docs: pa.Table, known: pa.Table, total: int, distinct_tokens: in
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (read from files): doc_id, held_out, n_tokens, n_known,
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10 probabilities), bits_per_byte."""
-    block = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"),
-                    is_held_out(F.col("doc_id")).alias("held_out"))
+    d = stored(in_blocks(docs), "ctw-texts", "zstd")
     held = stored(block_counts(d.withColumn("trained", ~F.col("held_out"))), "ctw-blocks")
 
     by_word = held.where("word is not null")
-    # a word has at most one row per block, so its window partition is short
+    # a word has one row per block (more only where a split cuts one), so its window partition is short
     word_values = by_word.select("block", F.lit(None).cast("long").alias("gram"), "word",
                                  F.sum("n").over(Window.partitionBy("word")).cast("double").alias("value"))
     by_gram = held.where("gram is not null")

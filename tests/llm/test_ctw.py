@@ -118,3 +118,42 @@ def test_lookup_resolves_shared_slots():
     keys = np.arange(1, 5000, dtype=np.uint64) * np.uint64(1 << 40)
     table = ctw.Lookup(keys, np.arange(4999.0))
     assert (table(keys[::-1]) == np.arange(4999.0)[::-1]).all()
+
+
+def test_lookup_raises_for_a_missing_key():
+    keys = np.arange(1, 500, dtype=np.uint64) * np.uint64(1 << 40)
+    table = ctw.Lookup(keys, np.arange(499.0))
+    for missing in (0, 7, 2 ** 64 - 1):
+        with pytest.raises(KeyError):
+            table(np.array([1 << 40, missing], dtype=np.uint64))
+    with pytest.raises(KeyError):
+        ctw.Lookup(keys[:0], np.zeros(0))(keys)
+
+
+def test_scores_stay_when_file_splits_change_between_the_scans(spark, tmp_path, monkeypatch):
+    df = on_disk(spark, tmp_path, frame(spark, odd_documents(n=40)), "docs")
+    rows = lambda: sorted(map(str, ctw.score_texts(df).select("doc_id", "n_tokens", "n_known", "base_score", "bits_per_byte").collect()))
+    want, plain = rows(), ctw.gram_scores
+
+    def resized(counts):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        return plain(counts)
+    monkeypatch.setattr(ctw, "gram_scores", resized)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_blocks_are_bounded_and_do_not_change_the_scores(spark, tmp_path, monkeypatch):
+    rows = odd_documents(n=40)
+    df = frame(spark, rows).coalesce(1)
+    score = lambda: sorted((str(r["doc_id"]), r["n_known"], round(r["score"], 6)) for r in ctw.score_texts(df).collect())
+    want = score()
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 1000)
+    sizes = Counter()
+    for r in ctw.in_blocks(df).collect():
+        sizes[r["block"]] += len((r["text"] or "").encode()) + ctw.ROW_BYTES
+    longest = max(len((t or "").encode()) for _, t, *_ in rows)
+    assert len(sizes) > 10 and max(sizes.values()) <= 1000 + longest + ctw.ROW_BYTES and score() == want
