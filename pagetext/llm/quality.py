@@ -3,8 +3,10 @@
 Two generative models over hashed n-grams (Xie et al. 2023, data selection via
 importance resampling): a bag-of-features model of the target, documents
 labelled good, and one of the raw corpus, all documents. A document's log
-importance weight is the sum over its features of ln(target / raw). Selection
-is Gumbel top-k: weight plus seeded Gumbel noise, the ``k`` largest stay.
+importance weight is the sum over its features of ln(target / raw). Documents
+compete with excerpts of equal size: beyond ``EXCERPT`` features the weight
+counts as the mean over so many, whatever the document's length. Selection is
+Gumbel top-k: that weight plus seeded Gumbel noise, the ``k`` largest stay.
 
 Features: runs of word bytes (letters, digits, non-ASCII) and runs of other
 visible bytes, A-Z lower-cased, and pairs of neighbours, hashed into
@@ -12,9 +14,11 @@ visible bytes, A-Z lower-cased, and pairs of neighbours, hashed into
 
 Parameters. ``LABELLED``: at most so many labelled documents are used, those of
 smallest hash; one half makes the target model, the other sets ``k`` when it is
-not given: the number of documents whose weight reaches the level that all but
-``CLEAN_LOSS`` of the held-back good documents reach, less ``MARGIN`` nats for
-the noise. The raw model, the weights and the selection cover all documents.
+not given: the number of documents whose key reaches the level that parts the
+held-back good documents from the bad ones at the least cost, a share of good
+ones lost counting ``GOOD_COST`` times a share of bad ones kept. Without bad
+ones it is the level that all but ``CLEAN_LOSS`` of the good ones reach, less
+``MARGIN`` nats. The raw model, the weights and the selection cover all documents.
 
 A null or empty text has weight 0. Equal rows share their noise; documents tied
 with the k-th key all stay. A doc_id with several labels counts as good only if
@@ -38,6 +42,8 @@ BUCKETS = 10_000
 LABELLED = 20_000
 CLEAN_LOSS = 0.002
 MARGIN = 3.0
+GOOD_COST = 10.0
+EXCERPT = 64
 SEED = 23
 SMOOTHING = 1.0
 
@@ -103,7 +109,8 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             bucket, text = features(*flat(b.column("text")))
             weight = np.bincount(text, weights=ratios[bucket], minlength=b.num_rows).astype(float)
             u = (mix(b.column("dice").to_numpy().view(U64)) >> U64(12)).astype(float) / 2.0 ** 52 + 2.0 ** -53
-            key = weight - np.log(-np.log(u))
+            size = np.bincount(text, minlength=b.num_rows)
+            key = weight * (EXCERPT / np.maximum(size, EXCERPT)) - np.log(-np.log(u))
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in ("doc_id", "text_hash", "good", "calibrates")], pa.array(weight), pa.array(key), pa.array(sortable(key))],
                 names=["doc_id", "text_hash", "good", "calibrates", "log_weight", "gumbel_key", "key_order"])
@@ -131,12 +138,25 @@ def kth_largest(values: DataFrame, column: str, k: int) -> int | None:
     return ((prefix ^ (1 << 63)) + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
+def parting_level(good: np.ndarray, bad: np.ndarray, clean_loss: float, margin: float) -> float:
+    """The key from which documents stay, half way to the next labelled document below it."""
+    if not len(bad):
+        return float(np.quantile(good, clean_loss)) - margin
+    good, bad = np.sort(good), np.sort(bad)
+    levels = np.unique(np.concatenate([good, bad]))
+    cost = GOOD_COST * np.searchsorted(good, levels) / len(good) + 1 - np.searchsorted(bad, levels) / len(bad)
+    at = int(np.argmin(cost))
+    return float((levels[at - 1] + levels[at]) / 2 if at else levels[at] - margin)
+
+
 def calibrated_count(scored: DataFrame, clean_loss: float = CLEAN_LOSS, margin: float = MARGIN) -> int:
-    """How many documents reach the level of the held-back good ones (at most LABELLED rows come to the driver)."""
-    good = [r["log_weight"] for r in scored.where("good and calibrates").select("log_weight").limit(LABELLED).collect()]
-    if not good:
+    """How many documents reach the level of the held-back labelled ones (at most LABELLED rows come to the driver)."""
+    held = scored.where("calibrates").select("good", "gumbel_key").limit(LABELLED).collect()
+    good = np.array([r["gumbel_key"] for r in held if r["good"]])
+    if not len(good):
         return scored.count()
-    return scored.where(F.col("log_weight") >= float(np.quantile(good, clean_loss)) - margin).count()
+    level = parting_level(good, np.array([r["gumbel_key"] for r in held if not r["good"]]), clean_loss, margin)
+    return scored.where(F.col("gumbel_key") >= level).count()
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:

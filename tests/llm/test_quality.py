@@ -82,3 +82,26 @@ def test_odd_rows_ties_and_no_labels(spark):
     assert len(got) == len(rows) and len(set(twice)) == 1
     assert quality.resample(frame(spark, [], DOCS), frame(spark, [], LABELS)).count() == 0
     assert quality.resample(df, frame(spark, [], LABELS), k=0).where("selected").count() == 0
+
+
+def test_few_labels_and_long_documents(spark):
+    """Good documents of 1 to 10,000 words, some on a topic that few labelled ones share;
+    300 labels, a sixth of them bad."""
+    rng, docs, labels = random.Random(11), [], []
+    for i in range(600):
+        good, topic = i % 6 != 0, "x" if i % 10 == 1 else ""
+        n = max(1, round(10 ** (4 * (i % 97) / 96))) if good else rng.randint(20, 400)
+        text = " ".join(w + topic for w in prose(rng, n).split(" "))
+        docs.append((i, text if good else " ".join(w + "$$$ %%%" for w in text.split(" ")), "en", "s", 0))
+        if i < 300:
+            labels.append((i, int(good), 0))
+    got = {r["doc_id"]: r["selected"] for r in quality.resample(frame(spark, docs), frame(spark, labels, LABELS)).collect()}
+    assert np.mean([got[i] for i in got if i % 6]) > 0.98
+    assert np.mean([got[i] for i in got if i % 6 == 0]) < 0.03
+
+
+def test_level_parts_good_from_bad():
+    good, bad = np.array([-5.0, 1.0, 2.0, 3.0]), np.array([-60.0, -45.0, 2.5])
+    assert quality.parting_level(good, bad, 0.002, 3.0) == -25.0
+    assert quality.parting_level(good, bad[:0], 0.0, 3.0) == -8.0
+    assert quality.parting_level(good, np.array([9.0]), 0.002, 3.0) == -8.0
