@@ -23,7 +23,7 @@ from ..operators import spelling, votes
 from ..params import Params, alias_columns
 from ..session import new_table_path, spread
 from ..sources import files
-from ..sources.readers import read_eval_sets, read_lexicon, word_freq, write_results
+from ..sources.readers import read_eval_lines, read_lexicon, word_freq, write_results
 from ..streaming.ingest import read_store, stream_ingest
 from ..streaming.metrics import read_metrics, stream_metrics, windowed_metrics
 from . import fixtures as fx
@@ -543,14 +543,12 @@ def q_write_results(spark, sf):
 
 
 def q_read_eval_sets(spark, sf):
-    """Predictions as one JSON array and truths as JSON lines, written and read back."""
+    """Predictions and truths as folders of JSON lines, written and read back."""
     c = fx.fx_wer(spark, sf)
     preds, truths = new_table_path(spark, "predictions"), new_table_path(spark, "truths")
-    ordered = c.orderBy("doc_id").coalesce(1)      # one array is one file
-    one = ordered.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hyp"))), lambda x: F.struct(x["hyp"].alias("text")))).alias("value"))
-    one.write.text(preds)
-    ordered.select(F.to_json(F.struct(F.col("ref").alias("text"))).alias("value")).write.text(truths)
-    p, t = read_eval_sets(spark, preds, truths)
+    for text, path in (("hyp", preds), ("ref", truths)):      # part files are in the order of the sort
+        c.orderBy("doc_id", "ref", "hyp").select(F.to_json(F.struct(F.col(text).alias("text"))).alias("value")).write.text(path)
+    p, t = read_eval_lines(spark, preds, truths)
     pairs = evaluate.pair_eval(p, t)
     return pairs.select(big("row_id").alias("row_id"), "ref", "hyp")
 

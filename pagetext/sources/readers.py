@@ -39,13 +39,22 @@ def line_numbers(lines: DataFrame) -> DataFrame:
 
 def read_eval_sets(spark: SparkSession, predictions_path: str, truth_path: str) -> tuple[DataFrame, DataFrame]:
     """predictions = one JSON array of responses; truth = JSON lines. Both need
-    ``text``; the row id is the place in the array, the line number in the file."""
+    ``text``; the row id is the place in the array, the line number in the file. The
+    array is one value of one task: for small files, else ``read_eval_lines``."""
     array = spark.read.text(predictions_path, wholetext=True).select(F.from_json("value", "array<struct<text:string>>").alias("a"))
     preds = array.select(F.posexplode("a").alias("row_id", "r")).select(F.col("row_id").cast("long").alias("row_id"), "r.text")
     truth = line_numbers(spark.read.text(truth_path)).select("row_id", F.get_json_object("value", "$.text").alias("text"))
     return preds, truth
 
 
+def read_eval_lines(spark: SparkSession, predictions_path: str, truth_path: str) -> tuple[DataFrame, DataFrame]:
+    """S9 at any size: predictions and truth both JSON lines, in one file or a folder of
+    part files; the row id is the line number over the files in order."""
+    def side(path: str) -> DataFrame:
+        return line_numbers(spark.read.text(path)).select("row_id", F.get_json_object("value", "$.text").alias("text"))
+    return side(predictions_path), side(truth_path)
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
     """K1: responses as UTF-8 JSON lines (or Parquet); folders are created."""
     df.write.mode("overwrite").format(fmt).save(path)

@@ -77,3 +77,21 @@ def test_size_guard(spark):
     df = spark.createDataFrame([("a", 20 * 1024 * 1024), ("b", 20 * 1024 * 1024 + 1)], "path string, length long")
     got = {r.path: (r.accepted, r.reason) for r in files.size_guard(df, Params()).collect()}
     assert got == {"a": (True, None), "b": (False, "File too large")}
+
+
+def test_eval_sets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The query's predictions and truths are folders of part files, paired by line number."""
+    from pagetext.plans import catalog
+    n = 200
+    rows = [((7 * i) % n, f"ref {i}\nnext", "" if i % 50 == 0 else f"hyp {i}") for i in range(n)]
+    monkeypatch.setattr(catalog.fx, "fx_wer", lambda spark, sf: spark.createDataFrame(rows, "doc_id long, ref string, hyp string"))
+    monkeypatch.setattr(catalog, "new_table_path", lambda spark, name: str(tmp_path / name))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = [tuple(r) for r in catalog.q_read_eval_sets(spark, "").orderBy("row_id").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(i, r, h) for i, r, h in sorted(rows)]
+    assert all(len(list((tmp_path / name).glob("part-*"))) > 1 for name in ("predictions", "truths"))
