@@ -12,7 +12,8 @@ cue words before the span, shape of the separators, clean borders.
 Expectation-maximisation (Dawid and Skene 1979) over the counts of vote
 patterns estimates each labeler's reliability per kind; a logistic span
 classifier is trained on the resulting probabilities, and a candidate that
-reaches ``THRESHOLD`` and touches no base span is added.
+reaches ``THRESHOLD`` and touches no base span is added; of added ones that
+overlap, the more probable stays.
 
 Counts cover all documents. The driver gets at most 4 * 3^6 * 2^3 pattern
 counts, however large the input. Texts are read once, whole; the candidates
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,7 @@ DIGIT = re.compile("[0-9]")
 # Wider patterns that propose candidates.
 SPELT_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", re.I)
 IP_SIX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+SPELT_AT = re.compile(r"\(at\)|\[at\]", re.I)
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])")
 
 # Gazetteers: fixed values.
@@ -106,12 +109,12 @@ def passes(kind: int, found: str) -> bool:
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, further candidates), each (kind, start, end)."""
+    """(base spans, further candidates), each (kind, start, end); candidates may overlap each other."""
     base, more = [], []
     if "@" in text:
         for start, end, dotted in email_matches(text):
             (base if dotted else more).append((EMAIL, start, end))
-    if "(at)" in text or "[at]" in text:
+    if SPELT_AT.search(text):
         more += [(EMAIL, m.start(), m.end()) for m in SPELT_EMAIL.finditer(text)]
     if text.count(":") >= 7:
         more += [(IP, m.start(), m.end()) for m in IP_SIX.finditer(text)]
@@ -133,11 +136,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     def free(s: int, e: int) -> bool:
         i = int(np.searchsorted(starts, e))     # base spans that begin before e
         return i == 0 or reach[i - 1] <= s
-    kept = []
-    for kind, s, e in sorted(set(more), key=lambda x: (x[1], -x[2], x[0])):
-        if free(s, e) and (not kept or kept[-1][2] <= s):
-            kept.append((kind, s, e))
-    return sorted(base), sorted(kept)
+    return sorted(base), sorted(c for c in set(more) if free(*c[1:]))
 
 
 def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int, int]:
@@ -173,6 +172,8 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 
 DETECTED = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
             "spans array<struct<kind:int,start:long,end:long,base:boolean,votes:int,bits:int>>")
+FOUND = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+         "found array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -247,29 +248,47 @@ def train(patterns: np.ndarray) -> dict[int, np.ndarray]:
     return model
 
 
-def accepted(patterns: np.ndarray, model: dict[int, np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """The (kind, votes, bits) patterns that the classifier takes for personal data."""
-    good = []
+def accepted(patterns: np.ndarray, model: dict[int, np.ndarray], threshold: float = THRESHOLD) -> dict[tuple[int, int, int], float]:
+    """The (kind, votes, bits) patterns that the classifier takes for personal data, with their probability."""
+    good = {}
     for kind, code, bits, _ in patterns:
         x = classifier_inputs(vote_matrix(np.array([code])), np.array([bits]))
-        if 1 / (1 + np.exp(-np.clip(x @ model[int(kind)], -30, 30)))[0] >= threshold:
-            good.append((int(kind), int(code), int(bits)))
+        p = float(1 / (1 + np.exp(-np.clip(x @ model[int(kind)], -30, 30)))[0])
+        if p >= threshold:
+            good[int(kind), int(code), int(bits)] = p
     return good
 
 
+def resolved(candidates: list[dict], chance: dict[tuple[int, int, int], float]) -> list[dict]:
+    """The spans of a document that stay: base ones, and accepted ones that no more probable
+    (then earlier, then longer) accepted one overlaps; by kind and start."""
+    rated = sorted((-chance[key], s["start"], -s["end"], s["kind"]) for s in candidates
+                   if not s["base"] and (key := (s["kind"], s["votes"], s["bits"])) in chance)
+    out, starts, ends = [(s["kind"], s["start"], s["end"], True) for s in candidates if s["base"]], [], []
+    for _, start, end, kind in rated:
+        end = -end
+        at = bisect(starts, start)
+        if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or end <= starts[at]):
+            starts.insert(at, start)
+            ends.insert(at, end)
+            out.append((kind, start, end, False))
+    return [dict(zip(("kind", "start", "end", "base"), (KINDS[k], *rest))) for k, *rest in sorted(out)]
+
+
 def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, counts and digest of the base spans, ``found``: all
     spans (kind name, start, end, base), by kind and start."""
     d = stored(detect(docs), "pii-candidates")
     patterns = pattern_counts(d)
-    good = accepted(patterns, train(patterns), threshold)
-    key = lambda s: s["kind"] * (3 ** LABELERS * 8) + s["votes"] * 8 + s["bits"]
-    taken = F.array(*[F.lit(k * (3 ** LABELERS * 8) + c * 8 + b) for k, c, b in good]) if good else F.array().cast("array<int>")
-    keep = F.filter("spans", lambda s: s["base"] | F.array_contains(taken, key(s)))
-    order = F.array_sort(F.transform(keep, lambda s: F.struct(s["kind"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))))
-    names = F.array(*[F.lit(k) for k in KINDS])
-    found = F.transform(order, lambda s: F.struct(F.element_at(names, s["k"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", found.alias("found"))
+    chance = accepted(patterns, train(patterns), threshold)
+    plain = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+        for b in batches:
+            found = [resolved(c, chance) for c in b.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in plain], pa.array(found, kind)], names=[*plain, "found"])
+    return d.mapInArrow(run, FOUND)
 
 
 def masked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -88,3 +88,29 @@ def test_masking(spark):
 @pytest.mark.parametrize("schema", [DOCS])
 def test_empty_table(spark, schema):
     assert pii.personal_data(frame(spark, [], schema)).count() == 0
+
+
+def test_rejected_candidates_hide_no_others(spark):
+    """A failed card run over a phone number, and an upper-case spelt address."""
+    rng = random.Random(6)
+    head = ["2024 ", "2024-01-15 "]
+
+    def number():
+        """A phone number that does not end a valid card number."""
+        n = f"555-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        return number() if any(pii.luhn(pii.digits(h + n)) for h in head) else n
+    rows = [(i, f"tel: {head[i % 2]}{number()} or", "", "", 0) for i in range(20)]
+    rows += [(100 + i, f"tel: {number()} or", "", "", 0) for i in range(200)]
+    rows += [(400 + i, f"mail joe{i} {'(AT)' if i % 2 else '[At]'} example (DOT) org", "", "", 0) for i in range(10)]
+    rows += [(500 + i, f"contact a.b{i}@mail.example.com today", "", "", 0) for i in range(100)]
+    assert all((pii.PHONE, t.index("555"), t.index("555") + 12) in pii.spans(t)[1] for _, t, *_ in rows[:20])
+    assert all(pii.spans(t)[1] == [(pii.EMAIL, 5, len(t))] for i, t, *_ in rows if 400 <= i < 500)
+    got = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["found"]] for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert all(got[i] == [("phone", rows[i][1].index("555"))] for i in range(20))
+
+
+def test_overlaps_go_to_the_more_probable():
+    span = lambda kind, start, end, votes, base=False: dict(kind=kind, start=start, end=end, base=base, votes=votes, bits=0)
+    found = pii.resolved([span(0, 90, 95, 0, True), span(2, 0, 20, 1), span(3, 5, 17, 2), span(3, 20, 30, 1), span(3, 28, 40, 9)],
+                         {(2, 1, 0): 0.91, (3, 2, 0): 0.99, (3, 1, 0): 0.95})
+    assert [(s["kind"], s["start"], s["end"]) for s in found] == [("email", 90, 95), ("phone", 5, 17), ("phone", 20, 30)]
