@@ -63,4 +63,31 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id::BIGINT AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id::BIGINT AS component_id,
   c.component_id = d.doc_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op4_decontaminate": OP4, "op6_topk": OP6, "op7_neardup": OP7}
+OP12 = """
+WITH own AS (SELECT conv_id::BIGINT AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+  md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+  length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT DISTINCT c, flatten(list_transform(string_split(c::VARCHAR, ''),
+  lambda ch: list_transform(range(8), lambda i: (ascii(ch) >> i) & 1))) AS b FROM own),
+h AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda crc, bit:
+  xor(crc >> 1, CASE WHEN (xor(crc, bit) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) % 6 AS h FROM bits),
+rebuilt AS (SELECT h.c, o.pos, 0 AS own, o.k, o.chars FROM h JOIN own o ON o.c = h.base AND o.pos < h.h
+  UNION ALL SELECT h.c, o.pos, 1, o.k, o.chars FROM h JOIN own o ON o.c = h.c AND o.pos >= h.h),
+turn AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS depth, k, chars FROM rebuilt),
+path AS (SELECT c, depth, chars, string_agg(k, '') OVER (PARTITION BY c ORDER BY depth) AS p FROM turn
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+lengths AS (SELECT c, max(depth) AS n FROM path GROUP BY c),
+node AS (SELECT p, depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM path JOIN lengths USING (c) GROUP BY p, depth),
+kids AS (SELECT left(p, length(p) - 32) AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+worth AS (SELECT a.*, (a.n_convs - 1) * a.chars AS saved, coalesce(n_children, 0) AS n_children FROM node a LEFT JOIN kids USING (p)),
+under AS (SELECT up.p, sum(w.saved) AS saved_tokens, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves
+  FROM worth w JOIN path up ON up.c = w.conv_id AND up.depth <= w.depth GROUP BY up.p)
+SELECT w.conv_id, w.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs,
+  w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM worth w JOIN under USING (p) LEFT JOIN worth above ON w.depth > 0 AND above.p = left(w.p, length(w.p) - 32)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op4_decontaminate": OP4, "op6_topk": OP6, "op7_neardup": OP7,
+                              "op12_prefix_trie": OP12}
