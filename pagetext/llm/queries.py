@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, mixing, neardup, pii, prefixtrie, quality, sharding, tokens, toolcalls, topk
+from . import ctw, decontaminate, mixing, neardup, pii, prefixtrie, quality, sharding, tokenfile, tokens, toolcalls, topk
 from .tables import table, text_or_empty
 
 
@@ -68,6 +68,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -80,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ctw": op9_ctw,
     "op10_quality": op10_quality,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_file": op13_token_file,
 }
