@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, mixing, neardup, pii, prefixtrie, quality, sharding, tokenfile, tokens, toolcalls, topk
+from . import alignment, ctw, decontaminate, mixing, neardup, pii, prefixtrie, quality, sharding, tokenfile, tokens, toolcalls, topk
 from .tables import table, text_or_empty
 
 
@@ -64,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_calls": op8_tool_calls,
     "op9_ctw": op9_ctw,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_token_file": op13_token_file,
 }
