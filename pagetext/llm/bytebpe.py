@@ -3,15 +3,16 @@
 The file is read by the public ``tokenizers`` library, whose model merges each
 word; a worker keeps the ids of words it has seen (at most ``MEMORY`` bytes of
 them, words of at most ``KEPT`` characters). Words are cut by the published
-pattern of that kind of file. The pattern's classes are those of the Unicode
-version the library was built with, so a text with characters unassigned
-there goes whole through the library.
+pattern of that kind of file, for texts of characters up to U+024F with its
+classes spelt out. Beyond, the classes are those of the Unicode version the
+library was built with, so a text with characters that are unassigned in
+Python's goes whole through the library.
 """
 
 from __future__ import annotations
 
 import json
-import sys
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-MEMORY = 64 << 20
+MEMORY = 96 << 20
 KEPT = 64
 ENTRY = 160           # bytes of a kept word besides its text, about
 
@@ -33,18 +34,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> regex.Pattern:
-    """A character without a category in this Python's Unicode version."""
-    runs, start = [], None
-    for c in range(sys.maxunicode + 2):
-        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if none and start is None:
-            start = c
-        elif not none and start is not None:
-            runs.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return regex.compile(f"[{''.join(runs)}]")
+# Fixed classes of the characters up to U+024F, which all Unicode versions share.
+SPACE, LETTER, NUMBER = "\t-\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+NEAR_WORDS = re.compile(f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+FAR = re.compile("[^\x00-ɏ]")
 
 
 class ByteBpe(dict):
@@ -79,9 +72,9 @@ class ByteBpe(dict):
         for piece, i in vocabulary.items():
             self.bytes_of[i] = piece.encode() if piece in added else bytes(byte_of[c] for c in piece)
         self.special = {s: self.packed([t["id"]]) for s, t in added.items()} if specials else {}
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = unassigned().search
+        self.assigned: dict[str, bool] = {}
         self.used = 0
 
     def packed(self, ids) -> bytes:
@@ -101,13 +94,23 @@ class ByteBpe(dict):
         """The text's ids, packed."""
         if not text:
             return b""
-        if self.odd(text):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        words = NEAR_WORDS.findall
+        if FAR.search(text):
+            words = self.words
+            if not all(map(self.is_assigned, set(FAR.findall(text)))):
+                return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.cut is None or not self.cut.search(text):
-            return b"".join(map(self.__getitem__, self.words(text)))
-        return b"".join(self.special[p] if p in self.special else b"".join(map(self.__getitem__, self.words(p)))
+            return b"".join(map(self.__getitem__, words(text)))
+        return b"".join(self.special[p] if p in self.special else b"".join(map(self.__getitem__, words(p)))
                         for p in self.cut.split(text))
 
+    def is_assigned(self, character: str) -> bool:
+        """Whether the character has a category in this Python's Unicode version."""
+        known = self.assigned.get(character)
+        if known is None:
+            known = self.assigned[character] = unicodedata.category(character) != "Cn"
+        return known
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, specials: bool) -> ByteBpe:
