@@ -8,6 +8,8 @@ is tried.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,66 +20,108 @@ INNER_BOX_KEYS = ("bbox", "box", "points", "polygon", "poly")
 TEXT_KEYS = ("text", "value", "content", "label", "transcription")
 SCORE_KEYS = ("score", "confidence", "prob", "probability")
 INNER_SCORE_KEYS = ("text", "confidence", "prob", "probability")
-# JSON forms that count as not given.
-NOT_GIVEN = ("null", "false", "0", "0.0", '""', "[]", "{}")
+PATH = re.compile(r"try_variant_get\(([\w.]+), '\$([^']*)', 'variant'\)")
+# Kinds of a value, as ``kind`` tells them.
+LIST, OBJECT, STRING, NULL, TRUTH, NUMBERS = "AR", "OB", "ST", "VO", "BO", ("BI", "DE", "DO", "FL")
 
 
+def get(v: str, path: str, kind: str = "variant") -> str:
+    """What ``v`` holds at ``path``; paths into paths are written as one, so expressions stay short."""
+    inner = PATH.fullmatch(v)
+    base, start = inner.groups() if inner else (v, "")
+    return f"try_variant_get({base}, '${start}{path}', '{kind}')"
 
 
-def member(v: str, key: str) -> str:
-    return f"try_variant_get({v}, '$.{key}', 'variant')"
+def member(v: str, *keys: str) -> str:
+    return get(v, "".join(f".{k}" for k in keys))
 
 
 def item(v: str, i: int) -> str:
-    return f"try_variant_get({v}, '$[{i}]', 'variant')"
+    return get(v, f"[{i}]")
+
+
+def is_object(v: str) -> str:
+    """A cast to a struct looks up its fields only, however large the object is."""
+    return f"({get(v, '', 'struct<line:variant>')} IS NOT NULL)"
+
 
+def is_container(v: str) -> str:
+    """An object or a list with elements."""
+    return f"({item(v, 0)} IS NOT NULL OR {is_object(v)})"
 
-def mark(v: str) -> str:
-    """First character of the JSON form: { [ " t f n, or that of a number."""
-    return f"substring(to_json({v}), 1, 1)"
+
+def kind(v: str) -> str:
+    """Two letters for the kind of a value; no container is read further than its first element."""
+    return f"CASE WHEN {item(v, 0)} IS NOT NULL THEN '{LIST}' WHEN {is_object(v)} THEN '{OBJECT}' ELSE substring(schema_of_variant({v}), 1, 2) END"
 
 
 def is_number(v: str) -> str:
-    return f"coalesce({mark(v)} rlike '[-0-9]', false)"
+    return f"coalesce({kind(v)} IN {NUMBERS}, false)"
 
 
-def is_kind(v: str, sign: str) -> str:
-    return f"coalesce({mark(v)} = '{sign}', false)"
+def is_string(v: str) -> str:
+    return f"coalesce({kind(v)} = '{STRING}', false)"
 
 
-def given(v: str) -> str:
-    empty = ", ".join(f"'{x}'" for x in NOT_GIVEN)
-    return f"CASE WHEN to_json({v}) NOT IN ({empty}) THEN {v} END"
+def is_given(v: str) -> str:
+    """Null, false, zero, '', [] and {} are not given."""
+    return (f"CASE {kind(v)} WHEN '{STRING}' THEN {get(v, '', 'string')} <> '' WHEN '{LIST}' THEN {item(v, 0)} IS NOT NULL "
+            f"WHEN '{OBJECT}' THEN size({get(v, '', 'map<string,variant>')}) > 0 WHEN '{NULL}' THEN false "
+            f"WHEN '{TRUTH}' THEN {get(v, '', 'boolean')} ELSE {get(v, '', 'double')} <> 0 END")
 
 
-def first_of(values: list[str]) -> str:
-    return f"coalesce({', '.join(values)})"
+def listed(v: str, keys: tuple[str, ...]) -> str:
+    return f"array({', '.join(member(v, k) for k in keys)})"
 
 
 def first_given(v: str, keys: tuple[str, ...]) -> str:
-    return first_of([given(member(v, k)) for k in keys])
+    return f"get(filter({listed(v, keys)}, m -> coalesce({is_given('m')}, false)), 0)"
+
+
+def any_given(v: str, keys: tuple[str, ...]) -> str:
+    return f"exists({listed(v, keys)}, m -> coalesce({is_given('m')}, false))"
 
 
 def as_text(v: str) -> str:
     """Strings as they are, other values in JSON form."""
-    return f"""CASE WHEN {is_kind(v, '"')} THEN try_variant_get({v}, '$', 'string') ELSE to_json({v}) END"""
+    return f"""CASE WHEN {is_string(v)} THEN {get(v, '', 'string')} ELSE to_json({v}) END"""
 
 
 def has_box_and_text(v: str) -> str:
-    return f"({first_given(v, BOX_KEYS)} IS NOT NULL AND {first_given(v, TEXT_KEYS)} IS NOT NULL)"
+    return f"({any_given(v, BOX_KEYS)} AND {any_given(v, TEXT_KEYS)})"
 
 
 def is_pair(v: str) -> str:
     """``[points, info, ...]``: points start with a number or a point, info holds a text."""
     point, info = item(item(v, 0), 0), item(v, 1)
     points = f"({is_number(point)} OR {is_number(item(point, 0))})"
-    text = " OR ".join((is_kind(info, '"'), is_kind(item(info, 0), '"'), f"{member(info, 'text')} IS NOT NULL", f"{member(info, 'value')} IS NOT NULL"))
-    return f"({points} AND ({text}))"
+    text = " OR ".join((is_string(info), is_string(item(info, 0)), f"{member(info, 'text')} IS NOT NULL", f"{member(info, 'value')} IS NOT NULL"))
+    return f"({item(v, 1)} IS NOT NULL AND {points} AND ({text}))"
+
+
+WRAPS = 4             # wrapping ``line`` objects that one expression looks through
+
+
+def wrapped(v: str, times: int) -> str:
+    return member(v, *["line"] * times)
+
+
+def is_entry(v: str, of_kind: str) -> str:
+    """Whether the value is an entry or an object that wraps one in ``line``; ``of_kind``: its kind.
+    An object that wraps more than ``WRAPS`` times counts as one, and its innermost value decides."""
+    lines = f"array({', '.join(wrapped(v, n) for n in range(1, WRAPS + 1))})"
+    inner = f"exists({lines}, w -> w IS NOT NULL AND ({has_box_and_text('w')} OR {is_pair('w')}))"
+    return (f"CASE {of_kind} WHEN '{LIST}' THEN {is_pair(v)} WHEN '{OBJECT}' THEN {has_box_and_text(v)} OR "
+            f"({wrapped(v, 1)} IS NOT NULL AND ({inner} OR {is_container(wrapped(v, WRAPS + 1))})) ELSE false END")
 
 
-def is_entry(v: str) -> str:
-    line = member(v, "line")
-    return f"({has_box_and_text(v)} OR {has_box_and_text(line)} OR {is_pair(line)} OR {is_pair(v)})"
+def parses(v: str) -> str:
+    """Whether an entry has what makes it one: an object a box, a list a second part."""
+    def usable(key: str) -> str:
+        box = member(v, key)
+        return f"WHEN {is_given(box)} THEN NOT {is_object(box)} OR {any_given(box, INNER_BOX_KEYS)}"
+    return (f"coalesce(CASE WHEN {is_object(v)} THEN (CASE {' '.join(map(usable, BOX_KEYS[:2]))} ELSE false END) OR {any_given(v, BOX_KEYS[2:])} "
+            f"ELSE {item(v, 1)} IS NOT NULL END, false)")
 
 
 # ------------------------------------------------------------------ entry -> box, text, score
@@ -88,43 +132,42 @@ def once(**columns: str) -> Column:
 
 
 def number_or_one(v: str) -> str:
-    return f"coalesce(CASE WHEN {is_number(v)} THEN try_variant_get({v}, '$', 'double') END, 1.0D)"
+    return f"coalesce(CASE WHEN {is_number(v)} THEN {get(v, '', 'double')} END, 1.0D)"
 
 
 def info_fields(info: str) -> tuple[str, str]:
     """(text, score) of the info part of a pair: a list, an object or a string."""
     of_list = f"coalesce({as_text(item(info, 0))}, '')"
-    named = first_of([given(member(info, "text")), given(member(info, "value"))])
-    raw = f"coalesce(CASE WHEN {mark(member(info, 'score'))} <> 'n' THEN {member(info, 'score')} END, {member(info, 'confidence')})"
-    text = (f"CASE WHEN {is_kind(info, '[')} THEN {of_list} WHEN {is_kind(info, '{')} THEN coalesce({as_text(named)}, '') "
-            f"""WHEN {is_kind(info, '"')} THEN try_variant_get({info}, '$', 'string') ELSE '' END""")
-    score = f"CASE WHEN {is_kind(info, '[')} THEN {number_or_one(item(info, 1))} WHEN {is_kind(info, '{')} THEN {number_or_one(raw)} ELSE 1.0D END"
+    named = first_given(info, ("text", "value"))
+    raw = f"coalesce(CASE WHEN {kind(member(info, 'score'))} <> '{NULL}' THEN {member(info, 'score')} END, {member(info, 'confidence')})"
+    text = (f"CASE {kind(info)} WHEN '{LIST}' THEN {of_list} WHEN '{OBJECT}' THEN coalesce({as_text(named)}, '') "
+            f"WHEN '{STRING}' THEN try_variant_get({info}, '$', 'string') ELSE '' END")
+    score = f"CASE {kind(info)} WHEN '{LIST}' THEN {number_or_one(item(info, 1))} WHEN '{OBJECT}' THEN {number_or_one(raw)} ELSE 1.0D END"
     return text, score
 
 
 def with_fields(rows: DataFrame) -> DataFrame:
     """Adds ``fields``: text, score and box of the entry ``v``; text is NULL where it is none."""
-    named = {f"m_{k}": given(member("v", k)) for k in dict.fromkeys((*BOX_KEYS, *TEXT_KEYS, *SCORE_KEYS))}
-    rows = rows.withColumn("f", once(is_object=is_kind("v", "{"), points=item("v", 0), info=item("v", 1), more=item("v", 2), **named))
-    m = lambda keys: first_of([f"f.m_{k}" for k in keys])
-    rows = rows.withColumn("g", once(box=m(BOX_KEYS[:2]), score=m(SCORE_KEYS), text=m(TEXT_KEYS)))
-    (text1, score1), (text2, score2) = info_fields("f.info"), info_fields("f.more")
-    box = f"CASE WHEN {is_kind('g.box', '{')} THEN {first_given('g.box', INNER_BOX_KEYS)} ELSE g.box END"
-    score = f"CASE WHEN {is_kind('g.score', '{')} THEN {first_given('g.score', INNER_SCORE_KEYS)} ELSE g.score END"
-    either = lambda a, b: f"CASE WHEN f.is_object THEN {a} ELSE {b} END"
-    rows = rows.withColumn("h", once(box=either(f"coalesce({box}, {m(BOX_KEYS[2:])})", "f.points"), score=either(score, "NULL"),
+    rows = rows.withColumn("g", once(is_object=is_object("v"), points=item("v", 0), info=item("v", 1), more=item("v", 2),
+                                     box=first_given("v", BOX_KEYS[:2]), other=first_given("v", BOX_KEYS[2:]),
+                                     score=first_given("v", SCORE_KEYS), text=first_given("v", TEXT_KEYS)))
+    (text1, score1), (text2, score2) = info_fields("g.info"), info_fields("g.more")
+    box = f"CASE WHEN {is_object('g.box')} THEN {first_given('g.box', INNER_BOX_KEYS)} ELSE g.box END"
+    score = f"CASE WHEN {is_object('g.score')} THEN {first_given('g.score', INNER_SCORE_KEYS)} ELSE g.score END"
+    either = lambda a, b: f"CASE WHEN g.is_object THEN {a} ELSE {b} END"
+    rows = rows.withColumn("h", once(box=either(f"coalesce({box}, g.other)", "g.points"), score=either(score, "NULL"),
                                      text=either(f"coalesce({as_text('g.text')}, '')", text1), pair_score=either("NULL", score1),
                                      text2=either("''", text2), score2=either("1.0D", score2)))
     number = number_or_one("coalesce(try_variant_get(h.score, '$[0]', 'variant'), h.score)")
     second = "(h.text = '' AND h.text2 <> '')"
     fields = (f"named_struct('text', CASE WHEN {second} THEN h.text2 ELSE h.text END, "
-              f"'score', CASE WHEN {second} THEN h.score2 WHEN f.is_object THEN {number} ELSE h.pair_score END, 'bbox', {flat_box('h.box')})")
-    known = "CASE WHEN f.is_object THEN h.box IS NOT NULL ELSE f.info IS NOT NULL END"
-    return rows.withColumn("fields", F.expr(f"CASE WHEN {known} THEN {fields} END")).drop("f", "g", "h")
+              f"'score', CASE WHEN {second} THEN h.score2 WHEN g.is_object THEN {number} ELSE h.pair_score END, 'bbox', {flat_box('h.box')})")
+    known = "CASE WHEN g.is_object THEN h.box IS NOT NULL ELSE g.info IS NOT NULL END"
+    return rows.withColumn("fields", F.expr(f"CASE WHEN {known} THEN {fields} END")).drop("g", "h")
 
 
 def flat_box(box: str) -> str:
     """Numbers of a list of points (or of numbers), in order; NULL where a part is no number."""
-    part = f"CASE WHEN {is_kind('p', '[')} THEN try_variant_get(p, '$', 'array<double>') ELSE array(try_variant_get(p, '$', 'double')) END"
+    part = "CASE WHEN try_variant_get(p, '$', 'array<variant>') IS NOT NULL THEN try_variant_get(p, '$', 'array<double>') ELSE array(try_variant_get(p, '$', 'double')) END"
     numbers = f"flatten(transform(try_variant_get({box}, '$', 'array<variant>'), p -> {part}))"      # NULL where a part is NULL
     return f"CASE WHEN NOT exists({numbers}, x -> x IS NULL) THEN {numbers} END"

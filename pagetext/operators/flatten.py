@@ -1,18 +1,20 @@
 """Raw recognition payloads (JSON) -> line records -> page text.
 
-Payloads are Variant values and the walk is a walk of rows: a frontier of
-(payload, path, value) rows is exploded one nesting level at a time, entries
-leave it as lines, containers go on, until no row is left. Every level is
-written below the shared folder, so plans stay small however deep a payload
-is. A payload that is no JSON, or that nests below ``max_levels``, comes out
-as a reject row with its reason and gives no lines.
-
-Page walk (N1): an array whose first element is an entry is a page, its
-elements are the lines; other elements that are entries are pages of one line;
-of an object the container keys with a non-empty list are followed, in
-priority order. Fallback (N5), only for payloads without a surviving page
-line: every value is followed, each entry is a block of its own, in order of
-depth and path. Objects are walked in Variant order, that is by key.
+Payloads are Variant values and the walk is a walk of rows: a row is a value
+with its path and a tag of its kind. ``FUSED`` nesting levels are one narrow plan:
+a container is exploded into its members, an entry passes through. What is left
+open is written below the shared folder and goes on, so plans stay small however
+deep a payload is. A payload that is no JSON, or that nests below ``max_levels``,
+comes out as a reject row with its reason and gives no lines.
+
+One walk serves both readings of a payload. Page walk (N1): an array whose first
+element is an entry is a page, its elements are the lines; other elements that
+are entries are pages of one line; of an object the container keys with a
+non-empty list are followed, in priority order. Fallback (N5), only for payloads
+without a surviving page line: every value is followed, each entry is a block of
+its own, in order of depth and path. A row knows whether the page walk reaches
+it (``on_pages``), with its place there (``page``, ``pos``) and among all values
+(``path``). Objects are walked in Variant order, that is by key.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from ..functions import variants as vr
 from ..session import new_table_path
 
 MAX_LEVELS = 64
+FUSED = 6             # nesting levels of one plan
 INVALID, TOO_DEEP = "invalid payload", "nesting too deep"
-LINE = ("page", "pos", "text", "score", "bbox")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,79 +44,95 @@ def parse_payloads(df: DataFrame, key: str = "doc_id", payload: str = "j") -> Da
 
 
 def top_kind(v: str = "v") -> Column:
-    return F.expr(f"CASE substring(to_json({v}), 1, 1) WHEN '[' THEN 'array' WHEN '{{' THEN 'object' ELSE if({v} IS NULL, 'invalid', 'scalar') END")
+    return F.expr(f"CASE WHEN {v} IS NULL THEN 'invalid' ELSE CASE {vr.kind(v)} WHEN '{vr.LIST}' THEN 'array' WHEN '{vr.OBJECT}' THEN 'object' ELSE 'scalar' END END")
 
 
 # ------------------------------------------------------------------ walking
-def exploded(frontier: DataFrame) -> DataFrame:
-    """One row per member of each value: ``n`` its place, ``child`` its value."""
-    return frontier.sparkSession.sql("SELECT f.*, e.pos AS n, e.value AS child FROM {f} f, LATERAL variant_explode(f.v) e", f=frontier)
-
-
-def is_container(v: str) -> Column:
-    return F.expr(f"coalesce({vr.mark(v)} IN ('[', '{{'), false)")
-
-
-def classified(rows: DataFrame) -> DataFrame:
-    """Adds the first sign of the value's JSON form, whether it is an entry, and a list that is a page."""
-    return rows.select("*", F.expr(f"{vr.mark('v')} AS sign"), F.expr(f"{vr.is_entry('v')} AS entry"),
-                       F.expr(f"{vr.is_entry(vr.item('v', 0))} AS page_list"))
-
-
-def page_children(frontier: DataFrame) -> DataFrame:
-    """The next values of the page walk: all elements of a list, the container lists of an object."""
-    lists = exploded(frontier.where("sign = '['")).select(
-        "key", F.when(F.col("page_list"), F.col("path")).otherwise(F.array_append("path", F.col("n"))).alias("path"),
-        F.when(F.col("page_list"), F.col("n")).otherwise(F.lit(0)).alias("pos"), F.col("page_list").alias("line"), F.col("child").alias("v"))
-    followed = ", ".join(f"named_struct('n', {i}, 'child', CASE WHEN {vr.item(vr.member('v', k), 0)} IS NOT NULL THEN {vr.member('v', k)} END)"
-                         for i, k in enumerate(vr.CONTAINER_KEYS))
-    objects = (frontier.where("sign = '{'").select("key", "path", F.expr(f"inline(array({followed}))")).where("child IS NOT NULL")
-               .select("key", F.array_append("path", F.col("n")).alias("path"), F.lit(0).alias("pos"), F.lit(False).alias("line"), F.col("child").alias("v")))
-    return lists.unionByName(objects)
-
-
-def all_children(frontier: DataFrame) -> DataFrame:
-    return exploded(frontier).select("key", F.array_append("path", F.col("n")).alias("path"), F.lit(0).alias("pos"),
-                                     F.lit(False).alias("line"), F.col("child").alias("v"))
-
-
-def walk(roots: DataFrame, children, max_levels: int) -> tuple[DataFrame, DataFrame]:
-    """(entry rows key, path, pos, v; keys that nest too deep) of the payloads (key, v)."""
-    start = roots.select("key", F.array().cast("array<int>").alias("path"), F.lit(0).alias("pos"), F.lit(False).alias("line"), "v")
-    level, found = stored(classified(start), "walk"), []
-    for _ in range(max_levels):
-        is_line = F.col("line") | F.col("entry")
-        found.append(level.where(is_line).select("key", "path", "pos", "v"))
-        frontier = level.where(~is_line & F.col("sign").isin("[", "{"))
-        if frontier.isEmpty():
-            frontier = None
+CONTAINERS = "array(" + ", ".join(f"'{k}'" for k in vr.CONTAINER_KEYS) + ")"
+
+
+def looked_at(values: str) -> str:
+    """An array of (n, name, child) with the kind of each child and whether it is an entry."""
+    known = f"transform({values}, x -> named_struct('n', x.n, 'name', x.name, 'child', x.child, 'kind', {vr.kind('x.child')}))"
+    return (f"transform({known}, x -> named_struct('n', x.n, 'name', x.name, 'child', x.child, 'kind', x.kind, "
+            f"'entry', coalesce({vr.is_entry('x.child', 'x.kind')}, false)))")
+
+
+def expanded(rows: DataFrame) -> DataFrame:
+    """One nesting level further: open values give way to their members, found ones
+    stay. A page line that is no entry stays as a line, and its members are followed for the fallback only. Values
+    that are neither found nor a container have no members and are gone after the next level."""
+    itself = "named_struct('n', CAST(NULL AS INT), 'name', CAST(NULL AS STRING), 'child', v, 'kind', kind, 'entry', false)"
+    of_list = "transform(try_variant_get(v, '$', 'array<variant>'), (x, i) -> named_struct('n', i, 'name', CAST(NULL AS STRING), 'child', x))"
+    of_object = "transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), (x, i) -> named_struct('n', i, 'name', x.key, 'child', x.value))"
+    members = looked_at(f"CASE WHEN found THEN NULL WHEN kind = '{vr.LIST}' THEN {of_list} ELSE {of_object} END")
+    step = f"CASE WHEN found THEN array({itself}) WHEN line THEN concat(array({itself}), coalesce(members, array())) ELSE members END"
+    is_list = f"outer_kind = '{vr.LIST}'"
+    followed = f"array_position({CONTAINERS}, name) - 1"
+    on_pages = f"coalesce(on_pages AND NOT line AND ({is_list} OR ({followed} >= 0 AND {vr.item('child', 0)} IS NOT NULL)), false)"
+    return rows.sparkSession.sql(f"""
+      SELECT key, IF(n IS NULL, path, array_append(path, n)) AS path,
+        CASE WHEN n IS NULL OR ({is_list} AND page_list) THEN page WHEN {is_list} THEN array_append(page, n)
+          WHEN {followed} >= 0 THEN array_append(page, CAST({followed} AS INT)) ELSE page END AS page,
+        CASE WHEN n IS NULL THEN pos WHEN {is_list} AND page_list THEN n ELSE 0 END AS pos,
+        IF(n IS NULL, on_pages, {on_pages}) AS on_pages, IF(n IS NULL, line, {on_pages} AND {is_list} AND page_list) AS line,
+        n IS NULL OR entry OR ({on_pages} AND {is_list} AND page_list AND NOT {vr.is_container('child')}) AS found,
+        IF(n IS NULL, any, entry) AS any, kind, child AS v
+      FROM (SELECT key, path, page, pos, on_pages, line, any, kind AS outer_kind, coalesce(members[0].entry, false) AS page_list, inline({step})
+        FROM (SELECT r.*, m.members FROM {{rows}} r LATERAL VIEW explode(array(named_struct('members', {members}))) AS m))""", rows=rows)
+
+
+def walk(roots: DataFrame, max_levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """(found rows with what ``line_values`` reads of them; key and on_pages of what nests
+    too deep, None if nothing does) of the payloads (key, v)."""
+    root = looked_at("array(named_struct('n', 0, 'name', '', 'child', v))")
+    none = "CAST(array() AS array<int>)"
+    rows = roots.selectExpr("key", f"inline({root})").selectExpr(
+        "key", f"{none} AS path", f"{none} AS page", "0 AS pos", "true AS on_pages", "false AS line", "entry AS found", "entry AS any", "kind", "child AS v")
+    found, left = [], max_levels - 1
+    while True:
+        for _ in range(min(FUSED, left)):
+            rows = expanded(rows)
+        left -= min(FUSED, left)
+        rows = rows.selectExpr("*", f"(NOT found AND {vr.is_container('v')}) AS open").where("found OR open")
+        level = stored(line_values(rows, "open OR more"), "walk")
+        rest = level.where("open")
+        found.append(level.where("found" if left else "found OR line"))
+        whole = rest.isEmpty()
+        if not left or whole:
             break
-        level = stored(classified(children(frontier)), "walk")
-    none = level.select("key").limit(0)
-    return reduce(DataFrame.unionByName, found), none if frontier is None else frontier.select("key").distinct()
+        rows = rest.select("key", "path", "page", "pos", "on_pages", "line", "found", "any", "kind", "v")
+    deep = None if whole else rest.select("key", "on_pages").distinct()
+    return reduce(DataFrame.unionByName, found), deep
 
 
 # ------------------------------------------------------------------ entries
-def line_values(entries: DataFrame) -> DataFrame:
-    """``key, page, pos, text, score, bbox``; text is NULL where the value is no entry.
+def line_values(entries: DataFrame, kept: str = "more") -> DataFrame:
+    """Adds ``text, score, bbox`` of the value ``v`` where it is found; text is NULL where it is no entry.
 
     An object may wrap the entry in ``line``, any number of times: the innermost
-    value that parses counts."""
-    rows = entries.select("key", "path", "pos", F.lit(0).alias("depth"), "v")
-    chain, last = [rows], rows
-    while True:
-        inner = vr.member("v", "line")
-        last = last.where(is_container(inner)).select("key", "path", "pos", (F.col("depth") + 1).alias("depth"), F.expr(inner).alias("v"))
-        if last.isEmpty():
-            break
-        last = stored(last, "line-values")
-        chain.append(last)
-    values = vr.with_fields(reduce(DataFrame.unionByName, chain)).select("key", F.col("path").alias("page"), "pos", "depth", "fields.*")
-    if len(chain) == 1:
-        return values.drop("depth")
-    inmost = F.when(F.col("text").isNotNull(), F.col("depth")).otherwise(F.lit(-1))
-    best = values.groupBy("key", "page", "pos").agg(F.max_by(F.struct("text", "score", "bbox"), inmost).alias("r"))
-    return best.select("key", "page", "pos", "r.text", "r.score", "r.bbox")
+    value that parses counts. ``more``: it is wrapped deeper than one plan looks.
+    ``v`` stays only where the condition ``kept`` holds."""
+    wraps = [vr.wrapped("v", n) for n in range(1, vr.WRAPS + 2)]
+    inmost = f"get(filter(array({', '.join(reversed(wraps[:-1]))}), w -> {vr.is_container('w')} AND {vr.parses('w')}), 0)"
+    plain = [c for c in entries.columns if c != "v"]
+    picked = entries.select(*plain, F.col("v").alias("whole"),
+                            vr.once(v=f"CASE WHEN found THEN coalesce({inmost}, v) END", more=f"coalesce(found AND {vr.is_container(wraps[-1])}, false)").alias("w"))
+    lines = vr.with_fields(picked.select(*plain, "whole", "w.v", "w.more"))
+    return lines.select(*plain, "more", F.expr(f"CASE WHEN {kept} THEN whole END").alias("v"), "fields.*")
+
+
+def unwrapped(found: DataFrame) -> DataFrame:
+    """Found rows whose entries are wrapped deeper than one plan looks, with the values of the innermost that parses."""
+    deeper = found.where("more")
+    if deeper.isEmpty():
+        return found
+    below = deeper.select("key", "path", "on_pages", "found", F.expr(vr.wrapped("v", vr.WRAPS + 1)).alias("v"))
+    below = unwrapped(stored(line_values(below), "line-values")).where("text IS NOT NULL")
+    joined = found.join(below.select("key", "path", "on_pages", F.struct("text", "score", "bbox").alias("r")), ["key", "path", "on_pages"], "left")
+    values = ("text", "score", "bbox")
+    return joined.select(*[c for c in found.columns if c not in values],
+                         *[F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
 def survives(min_confidence: float) -> Column:
@@ -130,19 +148,22 @@ class Walked:
         roots = stored(parse_payloads(payloads, key), "payloads")
         self.keys = roots.select(F.col("key").alias(key))
         valid = roots.where(F.col("v").isNotNull())
-        entries, deep = walk(valid, page_children, max_levels)
-        deep = stored(deep, "too-deep")
-        lines = stored(line_values(entries).join(deep, "key", "left_anti"), "page-lines")
-        paged = lines.where(survives(min_confidence)).select("key").distinct()
-        rest = valid.where(F.expr(vr.given("v")).isNotNull()).join(paged, "key", "left_anti").join(deep, "key", "left_anti")
-        entries, deeper = walk(rest, all_children, max_levels)
-        deeper = stored(deeper, "too-deep")
-        fallback = line_values(entries).where(F.col("text").isNotNull()).join(deeper, "key", "left_anti")
-        self.fallback_lines = stored(fallback, "fallback-lines").withColumnRenamed("key", key)
-        bad = (roots.where(F.col("v").isNull()).select("key", F.lit(INVALID).alias("reason"))
-               .unionByName(deep.unionByName(deeper).select("key", F.lit(TOO_DEEP).alias("reason"))))
-        self.rejects = stored(bad, "rejects").withColumnRenamed("key", key)
-        self.page_lines = lines.withColumnRenamed("key", key)
+        found, deep = walk(valid, max_levels)
+        lines = unwrapped(found)
+        pages = lines.where("on_pages").select("key", "page", "pos", "text", "score", "bbox")
+        if deep is not None:
+            deep = stored(deep, "too-deep")
+            pages = pages.join(deep.where("on_pages").select("key"), "key", "left_anti")
+        paged = pages.where(survives(min_confidence)).select("key").distinct()
+        fallback = lines.where("any AND text IS NOT NULL").join(paged, "key", "left_anti")
+        bad = roots.where(F.col("v").isNull()).select("key", F.lit(INVALID).alias("reason"))
+        if deep is not None:
+            fallback = fallback.join(deep.select("key"), "key", "left_anti")
+            too_deep = deep.where("on_pages").select("key").unionByName(deep.where("NOT on_pages").select("key").join(paged, "key", "left_anti"))
+            bad = bad.unionByName(too_deep.distinct().select("key", F.lit(TOO_DEEP).alias("reason")))
+        self.fallback_lines = fallback.select(F.col("key").alias(key), F.col("path").alias("page"), F.lit(0).alias("pos"), "text", "score", "bbox")
+        self.rejects = bad.withColumnRenamed("key", key)
+        self.page_lines = pages.withColumnRenamed("key", key)
 
     def lines(self) -> DataFrame:
         """N4 + F1: ``key, block_id, line_id, text, confidence, bbox, mode``.

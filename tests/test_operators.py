@@ -187,3 +187,26 @@ def test_cluster_session_needs_a_shared_folder():
             getCheckpointDir = staticmethod(lambda: None)
     with pytest.raises(ValueError):
         shared_dir(Cluster())
+
+
+def test_one_walk_serves_pages_and_fallback(spark):
+    """Shapes mixed within one payload, wrappers several deep, container keys beside each other, a page line that is no entry."""
+    entry = lambda t, s=0.9: {"bbox": QUAD, "text": t, "score": s}
+    mixed = {"pages": [[QUAD, ["b", 0.9]]], "res": [{"line": {"line": {"line": entry("a")}}}, {"box": QUAD}], "other": [entry("only in the fallback")]}
+    w = walked(spark, [[mixed, [[entry("c")], entry("d")]], [[[QUAD, ["low", 0.1]], [[entry("inside")]]]], {"x": {"y": [entry("z")]}}])
+    lines = {(r["doc_id"], r["block_id"], r["line_id"]): (r["text"], r["mode"]) for r in w.lines().collect()}
+    assert {t for (d, _, _), t in lines.items() if d == 0} == {("a", "pages"), ("b", "pages"), ("c", "pages"), ("d", "pages")}
+    assert [lines[0, b, 0][0] for b in range(3)] == ["a", "b", "c"]
+    assert {t for (d, _, _), t in lines.items() if d == 1} == {("inside", "fallback")}
+    assert {t for (d, _, _), t in lines.items() if d == 2} == {("z", "fallback")}
+
+
+def test_levels_and_wrappers_beyond_one_plan(spark):
+    deep, wrapped = {"bbox": QUAD, "text": "x"}, {"bbox": QUAD, "text": "w"}
+    for _ in range(20):
+        deep = [[deep]]
+    for _ in range(9):
+        wrapped = {"line": wrapped}   # the page's first element, so the list beside it is a line without text
+    w = walked(spark, [deep, [wrapped, [{"bbox": QUAD, "text": "v"}]]], max_levels=65)
+    assert sorted((r["doc_id"], r["text"], r["mode"]) for r in w.lines().collect()) == [(0, "x", "pages"), (1, "w", "pages")]
+    assert walked(spark, [deep], max_levels=10).rejects.count() == 1
