@@ -4,7 +4,7 @@ The cache is a Parquet table ``(key, text, language, engine_name, created_at)``
 with one row per key, keyed by the SHA-256 of the input content. Lookups are
 joins, replacement keeps the newest row of a key, and every write goes to a new
 version folder under the shared checkpoint folder (never over the path being
-read).
+read). ``VersionedTable`` names the current one.
 
 Aggregations carry fixed-width values only (a row's stamp, the smallest id), so
 they run as hash aggregations with partial sums and a key held by very many
@@ -13,11 +13,14 @@ rows is not gathered; texts are joined last, by the row that won.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DUMMY_TEXT
 from ..session import new_table_path
+from .guard import required
 
 
 def content_key(content: Column) -> Column:
@@ -33,13 +36,14 @@ def latest_per_key(cache: DataFrame, key: str = "key", ts: str = "created_at") -
     """One row per key: the newest, of equally new ones that with the largest row
     hash (the same whatever the order of the rows)."""
     others = [c for c in cache.columns if c != key]
-    # newest first, then the hash: one number of fixed width
-    stamp = (F.unix_micros(F.col(ts)).cast("decimal(17,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+    # newest first (no time is oldest), then the hash: one number of fixed width
+    stamp = (F.coalesce(F.unix_micros(F.col(ts)).cast("decimal(17,0)"), F.lit("-" + "9" * 17).cast("decimal(17,0)")) * F.lit(str(1 << 64)).cast("decimal(20,0)")
              + F.xxhash64(*others).cast("decimal(20,0)")).cast("decimal(38,0)")
-    rows = cache.distinct().withColumn("stamp", stamp)
+    rows = cache.withColumn("stamp", stamp)
     best = rows.groupBy(F.col(key).alias("best_key")).agg(F.max("stamp").alias("best"))
     won = rows.join(best, F.col(key).eqNullSafe(F.col("best_key")) & F.col("stamp").eqNullSafe(F.col("best")))
-    return won.select(*cache.columns)
+    # what is left twice are equal rows, already together by key
+    return won.dropDuplicates([key, "stamp"]).select(*cache.columns)
 
 
 def evict_dummy(cache: DataFrame) -> DataFrame:
@@ -122,10 +126,9 @@ def warm_cache(results: DataFrame, key: str = "key") -> DataFrame:
 
 
 def process_batch(results: DataFrame, order: str = "doc_id", key: str = "key") -> DataFrame:
-    """All or nothing: a failed row aborts the job. Ordered by id."""
-    failed = F.raise_error(F.concat(F.lit("batch item failed: "), F.col("error"))).cast("string")
-    checked = F.when(F.col("error").isNotNull(), failed).otherwise(F.col("result_language"))
-    return results.withColumn("result_language", checked).orderBy(key, order)
+    """All or nothing: a failed row aborts the job, whatever is read of the result. Ordered by id."""
+    whole = required(results, F.col("error").isNull(), F.concat(F.lit("batch item failed: "), F.col("error")))
+    return whole.orderBy(key, order)
 
 
 def write_version(df: DataFrame, name: str = "cache") -> str:
@@ -133,3 +136,70 @@ def write_version(df: DataFrame, name: str = "cache") -> str:
     path = new_table_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+class StaleWrite(RuntimeError):
+    """Another writer has replaced the version this one started from."""
+
+
+class VersionedTable:
+    """A table that is replaced as a whole (C3): immutable version folders and a
+    numbered manifest for each that became current. The highest number names the
+    current version. A manifest appears by a rename that fails if its name is taken,
+    so of two writers who start from one version the later gets ``StaleWrite``, and a
+    reader sees the old version or the new one whole. Superseded folders stay for
+    readers that hold them."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.jvm = spark.sparkContext._jvm
+        self.files = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def current(self) -> int:
+        """Number of the current version; 0 before the first."""
+        manifests = self.path("manifests")
+        if not self.files.exists(manifests):
+            return 0
+        names = [s.getPath().getName() for s in self.files.listStatus(manifests)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version (the current one)."""
+        version = self.current() if version is None else version
+        if not version:
+            raise FileNotFoundError(f"no version of {self.folder} yet")
+        data = self.spark.read.text(f"{self.folder}/manifests/{version:012d}").first()[0]
+        return self.spark.read.parquet(f"{self.folder}/{data}")
+
+    def replace(self, rows: DataFrame, started_from: int) -> int:
+        """Write ``rows`` as the version after ``started_from``; its number."""
+        data = f"version-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{data}")
+        if self.current() != started_from:
+            raise StaleWrite(f"{self.folder} is no longer at version {started_from}")
+        self.files.mkdirs(self.path("manifests"))
+        draft = self.path(f"draft-{data}")
+        out = self.files.create(draft, False)
+        out.write(bytearray(data.encode()))
+        out.close()
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            draft.toUri() if draft.toUri().getScheme() else self.files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(self.files.makeQualified(draft), self.files.makeQualified(self.path(f"manifests/{started_from + 1:012d}")), options)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise StaleWrite(f"{self.folder} is no longer at version {started_from}") from None
+            raise
+        return started_from + 1
+
+    def upsert(self, new_rows: DataFrame, key: str = "key", ts: str = "created_at") -> int:
+        """C3 on the current version."""
+        version = self.current()
+        rows = cache_upsert(self.read(version), new_rows, key, ts) if version else latest_per_key(evict_dummy(new_rows), key, ts)
+        return self.replace(rows, version)

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.edit_distance import cer, wer
+from .guard import required
 
 
 def pair_eval(preds: DataFrame, truths: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Positional pairing by an explicit row id. Unequal counts abort the
-    job (a row without partner raises inside the job, no driver-side count)."""
-    p = preds.select(F.col(row_id), F.col("text").alias("hyp"))
-    t = truths.select(F.col(row_id), F.col("text").alias("ref"))
+    """Positional pairing by an explicit row id. Unequal counts abort the job: a
+    row without partner raises, whatever is read of the result (no driver-side count).
+    A null text is a text that is missing, not a missing partner."""
+    p = preds.select(F.col(row_id), F.col("text").alias("hyp"), F.lit(True).alias("has_hyp"))
+    t = truths.select(F.col(row_id), F.col("text").alias("ref"), F.lit(True).alias("has_ref"))
     j = p.join(t, row_id, "full_outer")
-    checked = F.when(F.col("hyp").isNull() & F.col("ref").isNull(), F.col("ref")).when(
-        F.col("hyp").isNull() | F.col("ref").isNull(),
-        F.raise_error(F.lit("a prediction or a truth has no partner")).cast("string"))
-    return j.select(row_id, F.coalesce(checked, F.col("ref")).alias("ref"), "hyp")
+    paired = required(j, F.col("has_hyp") & F.col("has_ref"), F.lit("a prediction or a truth has no partner"))
+    return paired.select(row_id, "ref", "hyp")
 
 
 def score_pairs(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
