@@ -11,7 +11,8 @@ Method (HyperMinHash, Yu and Weber 2017):
    smallest value as a register of leading-zero count and ten mantissa bits. An
    empty bucket borrows from the first non-empty one in its own fixed probe
    order, so small sets fill all registers consistently.
-2. Documents with equal sets form a class; only its smallest doc_id goes on.
+2. A node is a row, by the hash of its doc_id and text; rows with equal sets form a
+   class, and one of them goes on.
 3. Forty bands of five registers are join keys. A linked pair (similarity 0.8)
    meets in no band with probability (1 - 0.8^5)^40 = 1.2e-7.
 4. In each bucket every member is paired with the smallest one. Pairs pass a
@@ -23,8 +24,10 @@ Method (HyperMinHash, Yu and Weber 2017):
    is connected or has been compared, and copies are never expanded into pairs.
 
 Shingles are compared by 64-bit hashes. Repeated rows are equal sets. Rows that
-share a doc_id count as one document. A row whose doc_id is null takes no part:
-its component is null and it is kept. Only doc_id and text are read.
+share a doc_id are one document to ``near_duplicates``, whatever their texts: each
+keeps its links, and they share a component. ``drop_near_duplicates`` judges each row
+by its own text, so unlike rows of one doc_id stay. A row whose doc_id is null takes
+no part: its component is null and it is kept. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +55,7 @@ IDS_BROADCAST = 1_000_000   # rows of two long columns at most: 16 MB
 SALT_A, SALT_B = U64(0x8CB92BA72F3D8DD7), U64(0xA0761D6478BD642F)
 EMPTY = np.iinfo(np.uint64).max
 
-SKETCH = "doc_id long, n_shingles long, print_a long, print_b long, registers binary, bands array<long>"
+SKETCH = "doc_id long, uid long, n_shingles long, print_a long, print_b long, registers binary, bands array<long>"
 
 
 # ------------------------------------------------------------------ sets and sketches
@@ -128,6 +131,16 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return acc
 
 
+def row_uid() -> Column:
+    """What names a row: a hash of doc_id and text; null without doc_id."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id, F.col("text").cast("string")))
+
+
+def with_uid(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_uid().alias("uid"), F.col("text").cast("string").alias("text"))
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """One row per document: set size, two set fingerprints, registers, band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +156,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 prints.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
             keys = band_keys(regs).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
+                [b.column("doc_id"), b.column("uid"), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
                  pa.array([r.tobytes() for r in regs], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
-                names=["doc_id", "n_shingles", "print_a", "print_b", "registers", "bands"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+                names=["doc_id", "uid", "n_shingles", "print_a", "print_b", "registers", "bands"])
+    return with_uid(docs).mapInArrow(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, carry: str) -> DataFrame:
@@ -306,18 +319,21 @@ def links_between_components(members: DataFrame) -> DataFrame:
     return m.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+PRINTS = ["print_a", "print_b", "n_shingles"]
+
+
+def linked_classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches of all rows; classes: prints, node, least (doc_id, uid); links between nodes)."""
+    keyed = with_uid(docs).select(F.col("uid").alias("doc_id"), "text")
     sk = stored(sketches(docs, shingle), "sketches")
-    prints = ["print_a", "print_b", "n_shingles"]
-    classes = sk.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("node"))
+    classes = sk.where("n_shingles > 0 and uid is not null").groupBy(*PRINTS).agg(
+        F.min("uid").alias("node"), F.min(F.struct("doc_id", "uid")).alias("least"))
     classes = stored(classes, "classes")
-    # a class's sketch is that of its smallest document
-    nodes = sk.join(classes.select("node", *[F.col(c).alias(f"c_{c}") for c in prints]),
-                    (F.col("doc_id") == F.col("node")) & (F.col("print_a") == F.col("c_print_a"))
+    # a class's sketch is that of its node
+    nodes = sk.join(classes.select("node", *[F.col(c).alias(f"c_{c}") for c in PRINTS]),
+                    (F.col("uid") == F.col("node")) & (F.col("print_a") == F.col("c_print_a"))
                     & (F.col("print_b") == F.col("c_print_b")) & (F.col("n_shingles") == F.col("c_n_shingles")), "left_semi")
-    nodes = stored(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands").dropDuplicates(["node", "n_shingles"]),
-                   "nodes")
+    nodes = stored(nodes.select(F.col("uid").alias("node"), "n_shingles", "registers", "bands").dropDuplicates(["node"]), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
     members = stored(bands.join(buckets, "band").distinct(), "bucket-members")
@@ -328,7 +344,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     star = star.join(side("b"), "b").join(side("a"), "a")
     star = star.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
     star = star.where(estimate("r_a", "r_b", "n_a", "n_b") >= ESTIMATE_CUT).select("a", "b").distinct()
-    links = stored(confirmed(docs, stored(star, "star-pairs"), shingle), "star-links")
+    links = stored(confirmed(keyed, stored(star, "star-pairs"), shingle), "star-links")
 
     # buckets whose members are not known to be connected, one of those with equal members
     m = members.where("size > 2").join(stored(known_connections(links), "known-connections"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -337,28 +353,57 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
              .where("lo != hi").groupBy("size", "who").agg(F.min("band").alias("band")).select("band"))
     m = stored(m.join(stored(apart, "open-buckets"), "band").select("band", "size", "node", "component"), "open-members")
     wanted = small_side(stored(m.select(F.col("node").alias("doc_id")).distinct(), "open-nodes"), IDS_BROADCAST)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    ids = keyed.join(wanted, "doc_id")
     sets = shingle_sets(ids.withColumn("own", F.col("doc_id")), shingle, "own").select(F.col("doc_id").alias("node"), "shingles")
     more = stored(links_between_components(m.join(sets, "node")), "more-links")
-    comps = stored(components(links.unionByName(more)), "components")
+    return sk, classes, links.unionByName(more)
 
-    c = classes.join(comps, "node", "left").select(*[F.col(x).alias(f"c_{x}") for x in prints],
-                                                   F.coalesce("component", "node").alias("root"))
-    out = sk.drop("registers", "bands").join(c, [F.col(x) == F.col(f"c_{x}") for x in prints] + [F.col("doc_id").isNotNull()], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+
+def class_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with the smallest (doc_id, uid) of their component as ``least``."""
+    comps = components(links)
+    c = stored(classes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "class-roots")
+    least = c.groupBy("root").agg(F.min("least").alias("least"))
+    return stored(c.drop("least").join(least, "root"), "class-components")
+
+
+def of_rows(sk: DataFrame, c: DataFrame) -> DataFrame:
+    """Each row with ``least`` of its class; null for rows without words or doc_id."""
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in PRINTS], "least")
+    return sk.select("doc_id", "uid", *PRINTS).join(c, [F.col(x) == F.col(f"c_{x}") for x in PRINTS] + [F.col("uid").isNotNull()], "left")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    sk, classes, links = linked_classes(docs, shingle)
+    # rows of one doc_id are one document: their classes are linked with the smallest of them
+    several = stored(sk.where("uid is not null").groupBy("doc_id").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+                     .where("lo != hi").select(F.col("doc_id").alias("shared")), "shared-ids")
+    shared = sk.join(small_side(several, IDS_BROADCAST), F.col("doc_id") == F.col("shared")).where("n_shingles > 0")
+    of_class = classes.select("node", *[F.col(x).alias(f"c_{x}") for x in PRINTS])
+    shared = stored(shared.join(of_class, [F.col(x) == F.col(f"c_{x}") for x in PRINTS]).select("doc_id", "node").distinct(), "shared-classes")
+    hub = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
+    same = shared.join(hub, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+    c = class_components(classes, links.unionByName(same))
+    # a row without words goes with the other rows of its doc_id
+    wordless = (shared.select("doc_id", "node").join(c.select("node", F.col("least.doc_id").alias("with")), "node")
+                .groupBy(F.col("doc_id").alias("shared")).agg(F.min("with").alias("with")))
+    out = of_rows(sk, c).join(small_side(stored(wordless, "wordless"), IDS_BROADCAST), F.col("doc_id") == F.col("shared"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "with", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each component (the smallest doc_id) left; same columns.
-    Of repeated rows one stays; rows without doc_id or words all stay."""
-    found = stored(near_duplicates(docs, shingle), "near-duplicates")
-    drop = small_side(stored(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "dropped"), IDS_BROADCAST)
-    often = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    often = small_side(stored(often.select(F.col("doc_id").alias("often")), "repeated"), IDS_BROADCAST)
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("whole_row"))
-    left = packed.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
-    once = left.join(often, F.col("doc_id") == F.col("often"), "left_anti")
-    again = left.join(often, F.col("doc_id") == F.col("often"), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component (the smallest doc_id) left; same columns. Each
+    row counts by its own text; of repeated rows one stays; rows without doc_id or words all stay."""
+    sk, classes, links = linked_classes(docs, shingle)
+    found = stored(of_rows(sk, class_components(classes, links)).where("least is not null").select("uid", F.col("least.uid").alias("stays")), "near-duplicates")
+    drop = small_side(stored(found.where("uid != stays").select(F.col("uid").alias("gone")).distinct(), "dropped"), IDS_BROADCAST)
+    often = found.where("uid = stays").groupBy("uid").count().where("count > 1")
+    often = small_side(stored(often.select(F.col("uid").alias("often")), "repeated"), IDS_BROADCAST)
+    packed = docs.select(row_uid().alias("uid"), F.struct(*docs.columns).alias("whole_row"))
+    left = packed.join(drop, F.col("uid") == F.col("gone"), "left_anti")
+    once = left.join(often, F.col("uid") == F.col("often"), "left_anti")
+    again = left.join(often, F.col("uid") == F.col("often"), "left_semi").dropDuplicates(["uid"])
     return once.unionByName(again).select("whole_row.*")

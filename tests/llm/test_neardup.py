@@ -113,3 +113,18 @@ def test_drop_keeps_one_of_each_group(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     df = on_disk(spark, tmp_path, frame(spark, [], DOCS), "none")
     assert neardup.near_duplicates(df).count() == 0 and neardup.drop_near_duplicates(df).count() == 0
+
+
+def test_unlike_texts_under_one_id(spark, tmp_path):
+    """Each text keeps its links, whether the sets are of equal or unequal size."""
+    rng = random.Random(11)
+    for other in (300, 180):
+        a, b = prose(rng, 300), prose(rng, other)
+        near = lambda t, w: t.replace(t.split(" ")[7], w, 1)
+        rows = [(1, a), (1, b), (2, near(a, "x")), (3, near(b, "y")), (0, near(b, "z")), (4, prose(rng, 50)), (4, ""), (5, a)]
+        (tmp_path / str(other)).mkdir()
+        got = run(spark, tmp_path / str(other), rows, 2)
+        assert got == by_hand(rows, 2) and {r[0]: r[2] for r in got}[2] == 0
+        df = frame(spark, [(d, t, "", "", 0) for d, t in rows[:-1] if d != 0])
+        left = neardup.drop_near_duplicates(on_disk(spark, tmp_path / str(other), df, "stage"), 2).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in left) == sorted([(1, a), (1, b), (4, rows[5][1]), (4, "")])
