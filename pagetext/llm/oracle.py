@@ -2,7 +2,8 @@
 
 The others are tested against brute force in ``tests/llm``: token counts (a
 Viterbi path), personal data (match offsets, EM), sharding (CRC-32, seeded
-shuffle), tool calls (JSON schemas), context-tree weighting, resampling.
+shuffle), tool calls (JSON schemas), context-tree weighting, resampling,
+tokenizer alignment and token files (public tokenizer libraries).
 """
 
 from __future__ import annotations
