@@ -70,3 +70,56 @@ def test_derived_messages_cover_the_table(spark):
 
 def test_empty_table(spark):
     assert linked(spark, []) == {}
+
+
+def test_both_parsers_agree():
+    good = ['{"a": [1, -2.50, 1e3, {"b": null, "": "x\\u00e9\\n"}], "a2": true}', "[]", "{}", '[[], {}, [{}], ""]', ' [0, -0.0, 1E400] ', '"s"', "12", '{"a":1,"a":2}']
+    for text in good:
+        assert tc.parsed_deep(text) == tc.parsed(text), text
+    bad = ["", "[", "[1,]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "[1]]", "nul", "01", '"\n"', "[}", '{"a":1]', "NaN", "[Infinity]", ",", ":"]
+    for text in bad:
+        assert tc.parsed(text) is None
+        try:
+            tc.parsed_deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)
+
+
+def test_numbers_keep_every_digit():
+    for text, want in (("0.1234567890123456789012345678901", None), ("1234567890123456789012345678901234567890", None), ("1.50", "1.5"),
+                       ("-0.0", "0"), ("0E5", "0"), ("25e-1", "2.5"), ("9" * 5000, None), ("12000e-3", "12")):
+        assert tc.canonical(tc.parsed(text)) == (want or text)
+    assert tc.parsed('{"a": 1e9999999999999999999}') is None
+    assert tc.problem(tc.parsed("9" * 5000), {"type": "integer", "minimum": 1}) is None
+    assert tc.problem(tc.parsed("1.5"), {"type": "integer"}) == "$: not of type integer"
+
+
+def test_deep_odd_and_large_values(spark):
+    deep = "[" * 10_000 + "]" * 10_000
+    big = 2 ** 60 + 1
+    rows = [(big, 1, call(one("a"))), (None, None, call(one("a"))), (big, 2, '{"tool_call_id": "a", "content": %s}' % deep),
+            (5, 1, '{"tool_calls": [{"id": "\\ud800", "name": "\\udfff", "arguments": {"\\ud800": 1}}, {"id": "s", "name": "search", "arguments": {"query": "q", "\\ud800": 1}}]}'),
+            (6, 1, '{"tool_call_id": %d, "content": "%s"}' % (big, "long " * 400_000))]
+    got = linked(spark, rows)
+    assert set(got) == {(big, "a", 1, 0), (None, "a", None, 0), (5, '"\\ud800"', 1, 0), (5, "s", 1, 1), (6, str(big), 1, 0)}
+    assert got[big, "a", 1, 0]["json"] == '{"arguments":{"query":"x"},"id":"a","name":"search","result":' + deep + "}"
+    assert got[5, '"\\ud800"', 1, 0]["json"] == '{"arguments":{"\\ud800":1},"id":"\\ud800","name":"\\udfff"}'
+    assert got[5, "s", 1, 1]["problem"] == "$.\\ud800: not expected"
+    assert len(got[6, str(big), 1, 0]["json"]) > 2_000_000
+
+
+def test_a_long_chain_is_ordered_in_one_pass_and_in_rounds_alike(spark):
+    rows = [(c, t, call(one(f"c{t}", after=[f"c{t - 1}"] if t else []))) for c in (1, None) for t in range(200)]
+    got = linked(spark, rows)
+    assert all(r["level"] == r["turn"] for r in got.values()) and len(got) == 400
+    calls = spark.createDataFrame([(c, i) for c in (1, 2, None) for i in "abcdef"], "conv_id long, call_id string")
+    edges = [(1, "b", "a"), (1, "c", "b"), (1, "c", "a"), (1, "e", "f"), (1, "f", "e"), (1, "d", "f"), (None, "a", "b"), (2, "a", "a")]
+    edges = spark.createDataFrame(edges, "conv_id long, call_id string, needs string")
+    plain = sorted(map(repr, tc.call_levels(edges, calls).collect()))
+    assert plain == sorted(map(repr, tc.call_levels(edges, calls, local_rows=7).collect())) == sorted(map(repr, tc.levels(edges, calls).collect()))
+
+
+def test_extra_columns_are_not_read(spark):
+    df = spark.createDataFrame([(1, 1, "", call(one("a")), "x", 7)], MESSAGES + ", label string, level long").withColumnRenamed("role", "json")
+    assert [r["status"] for r in tc.link_calls(df).collect()] == ["no_result"]
