@@ -41,7 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-BASE_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match always begins with a run of digits and no run gives digits back: each run is tried once
+BASE_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 BASE_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 BASE_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -155,7 +156,7 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
         shape = int(re.fullmatch(r"[0-9]{13,19}|([0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", found) is not None)
     else:
         known = int(d.startswith(CALLING)) if found.startswith("+") else -1
-        shape = int(re.search(r"[ .()-]{3}|\([^)]*$", found) is None and len(d) >= 9)
+        shape = int(re.search(r"[ .()-]{3}", found) is None and found.rfind("(") <= found.rfind(")") and len(d) >= 9)
     cue = 1 if CUES[kind].search(text, max(0, start - CUE_REACH), start) else -1
     left, right = text[start - 1:start], text[end:end + 1]
     border = int(not left.isalnum() and not right.isalnum())

@@ -114,3 +114,17 @@ def test_overlaps_go_to_the_more_probable():
     found = pii.resolved([span(0, 90, 95, 0, True), span(2, 0, 20, 1), span(3, 5, 17, 2), span(3, 20, 30, 1), span(3, 28, 40, 9)],
                          {(2, 1, 0): 0.91, (3, 2, 0): 0.99, (3, 1, 0): 0.95})
     assert [(s["kind"], s["start"], s["end"]) for s in found] == [("email", 90, 95), ("phone", 5, 17), ("phone", 20, 30)]
+
+
+def test_address_search_is_linear_and_leftmost():
+    import random
+    import re
+    import time
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123..  x") for _ in range(rng.randint(1, 40)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in pii.BASE_IP.finditer(text)]
+    t = time.perf_counter()
+    pii.spans("7" * 1_000_000)
+    assert time.perf_counter() - t < 2
