@@ -15,7 +15,7 @@ piece starts earliest wins, a character that is no piece costs the lowest score
 less 10 and counts one token per UTF-8 byte (byte fallback).
 
 Counting is per document and narrow: one scan, no shuffle. Workers keep the
-counts of parts seen, at most ``MEMORY`` of them. A null or empty text has no
+counts of parts seen, at most ``MEMORY`` of at most ``MEMORY_PART`` characters. A null or empty text has no
 tokens. Equal rows get equal counts. Only doc_id and text are read.
 """
 
@@ -36,6 +36,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMORY = 1 << 19
+MEMORY_PART = 64      # characters; longer parts (scripts without blanks) hardly come again
 PART = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -85,6 +86,8 @@ class Counter(dict):
         return count[n], best[n]
 
     def __missing__(self, part: str) -> int:
+        if len(part) > MEMORY_PART:
+            return self.viterbi(part)[0]
         if len(self) >= MEMORY:
             self.clear()
         n = self[part] = self.viterbi(part)[0]

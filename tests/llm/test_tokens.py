@@ -44,3 +44,10 @@ def test_a_piece_across_a_cut_is_refused():
 
 def test_empty_table(spark):
     assert tokens.token_counts(frame(spark, [], DOCS)).count() == 0
+
+
+def test_long_parts_are_not_kept():
+    from pagetext.llm import tokens
+    c = tokens.Counter(tokens.vocabulary())
+    assert c.count("語" * 5000) > 0 and c.count("plain words") > 0
+    assert c and max(map(len, c)) <= tokens.MEMORY_PART
