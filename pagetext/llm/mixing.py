@@ -4,17 +4,21 @@ Tokens (words) are summed per source; each source gets a share of all words by
 weight, at most ``cap`` times its own size, the excess going to the others by
 weight. The repetition rate of a source is target over size; a document is
 emitted floor(rate) times, plus once more with probability equal to the
-fraction, decided by a seeded hash of its doc_id, so reruns agree.
+fraction, decided by a seeded hash of its doc_id, its text and its number among
+the rows that share both and the source: rows that share an id (or have none)
+decide apart from each other, and reruns agree.
 
 Sources are ordered by code point with null (a source like any other) last;
-weights repeat along that order. A null or empty text has size 0. Equal rows
-share their decision. A source without words has target and rate 0. Columns of
+weights repeat along that order. A null or empty text has size 0; equal rows
+without words share their decision. A source without words has target and rate 0. Columns of
 the input named like an added one (any case) are replaced; an empty table gives
 an empty result.
 
 A hot source costs nothing extra: sums are pre-aggregated before the shuffle
 and the table of sources, whose row count is checked, is broadcast; beyond the
-bound it is joined by shuffle (AQE splits a hot source).
+bound it is joined by shuffle (AQE splits a hot source). The targets order all
+sources in one window, a row each. Repeated rows are counted by a digest of the
+text; where there are any, they alone are numbered (in chunks, see ``tables``).
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import small_side, stored, text_or_empty, unused, without
+from .tables import numbered_repeats, small_side, stored, text_or_empty, unused, without
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
@@ -55,22 +59,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
     return s.select("source", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def uniform(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in [0, 1) from the first 52 bits of a seeded MD5 of the id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(doc_id: Column, number: Column, digest: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) from the first 52 bits of a seeded MD5 of id, number and text digest."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), number.cast("string"), digest)
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target and copies (0 to ``cap``)."""
     docs = without(docs, "size", "source_size", "target", "copies")
-    rate, of = unused(docs, "rate"), unused(docs, "of_source")
-    targets = stored(source_targets(docs.select("source", word_count().alias("size")), weights, cap), "mix-targets")
+    rate, of, digest, number = (unused(docs, n) for n in ("rate", "of_source", "text_digest", "number"))
+    sized = docs.withColumns({"size": word_count(), digest: F.md5(text_or_empty())})
+    counted = stored(sized.groupBy("doc_id", "source", digest).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "mix-counts")
+    targets = stored(source_targets(counted, weights, cap), "mix-targets")
     targets = small_side(targets.withColumnsRenamed({"source": of, "rate": rate}))
+    repeats = counted.where("n > 1 and size > 0").select("doc_id", "source", digest, "n")
+    joined = numbered_repeats(sized, repeats, ["doc_id", "source", digest], number)
+    joined = joined.join(targets, F.col("source").eqNullSafe(F.col(of)), "left")
     whole = F.floor(F.col(rate))
-    extra = (uniform(F.col("doc_id"), seed) < F.col(rate) - whole).cast("long")
-    joined = docs.withColumn("size", word_count()).join(targets, F.col("source").eqNullSafe(F.col(of)), "left")
-    return joined.withColumn("copies", whole + extra).drop(rate, of)
+    extra = (uniform(F.col("doc_id"), F.col(number), F.col(digest), seed) < F.col(rate) - whole).cast("long")
+    return joined.withColumn("copies", whole + extra).drop(rate, of, digest, number)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:

@@ -13,7 +13,8 @@ BLANK_WORD = r"'[^\x20\x09-\x0D]+'"
 TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {BLANK_WORD}))::BIGINT AS size FROM documents),
+WITH d0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {BLANK_WORD}))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
+d AS (SELECT *, CASE WHEN size > 0 THEN row_number() OVER (PARTITION BY doc_id, source, digest) - 1 ELSE 0 END AS number FROM d0),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, [5::DOUBLE, 2::DOUBLE, 1::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
   source_size * 3::DOUBLE AS most FROM s),
@@ -23,7 +24,7 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE
 t AS (SELECT source, source_size, least(most, max(level) OVER () * weight) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(3::DOUBLE, target / source_size) ELSE 0::DOUBLE END AS rate FROM t),
 c AS (SELECT d.doc_id, d.size, r.source_size, r.target, (floor(rate) + CASE WHEN
-  ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496::DOUBLE < rate - floor(rate)
+  ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.number || ':' || d.digest), 1, 13))::BIGINT / 4503599627370496::DOUBLE < rate - floor(rate)
   THEN 1 ELSE 0 END)::BIGINT AS copies FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id::BIGINT AS doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c"""
 

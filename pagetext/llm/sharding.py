@@ -8,7 +8,9 @@ A shard is the sequence of its buckets.
 Law ``key``: doc_id and the number of shards alone decide the shard, by
 rendezvous hashing (highest random weight): one more shard takes rows only into
 itself. A third of the rows may share a doc_id (or have none): they share a
-shard, which then has more buckets, over which the row hash spreads them.
+shard, which then has more buckets, over which the row hash spreads them. Wholly
+equal rows of more than a bucket's bytes are numbered first, and the number
+spreads them.
 
 Nulls: a null text has no bytes; a null doc_id is a key like any other. Equal
 rows keep their own slots. An empty table gives an empty result. A column of
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import quoted, row_hash, text_or_empty, unused, without
+from .tables import numbered_repeats, quoted, row_hash, stored, text_or_empty, unused, without
 
 SHARDS = 40
 BUCKET_BYTES = 16 << 20
@@ -50,21 +52,26 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = SHARDS, *, bucket_bytes
     """All rows of ``docs`` with ``shard``, ``slot`` (gapless from 0 in each shard)
     and ``grown_shard`` (the shard if there were one more)."""
     docs = without(docs, "shard", "slot", "grown_shard")
-    bucket, tie, first = (unused(docs, n) for n in ("bucket", "row_tie", "first_slot"))
+    bucket, tie, first, copy = (unused(docs, n) for n in ("bucket", "row_tie", "first_slot", "copy_number"))
     shard, grown = shard_key(F.col("doc_id"), n_shards, seed)
     placed = docs.withColumns({tie: row_hash(docs), "shard": shard, "grown_shard": grown})
 
+    equal = placed.groupBy("doc_id", tie, "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(row_size()).alias("row_bytes"))
+    equal = stored(equal, "shard-equal-rows")
     # one row per shard, a number set by a parameter: safe on the driver
-    sizes = placed.groupBy("shard").agg(F.sum(row_size()).alias("n")).collect()
+    sizes = equal.groupBy("shard").agg(F.sum("row_bytes").alias("n")).collect()
     buckets = [1] * n_shards
     for r in sizes:
         buckets[r["shard"]] = max(1, -(-int(r["n"]) // bucket_bytes))
     of_shard = F.element_at(F.array(*[F.lit(b) for b in buckets]), F.col("shard") + 1)
-    placed = placed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col(quoted(tie))),
-                                              of_shard).cast("int"))
+    heavy = equal.where((F.col("n") > 1) & (F.col("row_bytes") > bucket_bytes)).select("doc_id", tie, "n")
+    placed = numbered_repeats(placed, heavy, ["doc_id", tie], copy)
+    placed = placed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col(quoted(tie)), F.col(copy)),
+                                              of_shard).cast("int")).drop(copy)
     counts = placed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", bucket, F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias(first))
+    starts = counts.select(F.col("shard").alias("of_shard"), F.col(bucket).alias("of_bucket"),
+                           F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias(first))
 
     kept = [*docs.columns]
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()),
@@ -83,7 +90,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = SHARDS, *, bucket_bytes
             out = out.append_column(name, values)
         return out
 
-    return (placed.groupBy("shard", bucket).cogroup(starts.groupBy("shard", bucket))
+    return (placed.groupBy("shard", bucket).cogroup(starts.groupBy("of_shard", "of_bucket"))
             .applyInArrow(fisher_yates, schema))
 
 

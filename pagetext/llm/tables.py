@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,8 @@ from ..session import new_table_path
 
 # A side is broadcast only when a count of its rows stays within this bound.
 BROADCAST_ROWS = 50_000
+# Rows of one key that are numbered in one sort, about.
+NUMBERED_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +60,30 @@ def row_hash(df: DataFrame) -> Column:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def numbered_repeats(df: DataFrame, repeats: DataFrame, key: list[str], number: str) -> DataFrame:
+    """``df`` with ``number``: the place (from 0) of a row among those of its key where the key
+    is in ``repeats`` (a stored table of the key columns and ``n``, how many rows have it), else 0.
+
+    Which of a key's rows gets which number is left open, so call it for rows that are equal
+    in what matters. Rows of repeated keys are stored first, so that every job sees the same
+    numbers; a key of many rows is numbered in chunks, whose offsets are running sums."""
+    if not repeats.limit(1).count():
+        return df.withColumn(number, F.lit(0).cast("long"))
+    of_key, times, place, chunk, first = (unused(df, n) for n in ("of_key", "times", "place", "chunk", "first"))
+    hot = repeats.select(F.struct(*[F.col(quoted(c)) for c in key]).alias(of_key), F.col("n").alias(times))
+    hot = small_side(stored(hot, "repeated-keys"))
+    here = F.struct(*[F.col(quoted(c)) for c in key])
+    once = df.join(hot, here.eqNullSafe(F.col(of_key)), "left_anti").withColumn(number, F.lit(0).cast("long"))
+    again = df.join(hot, here.eqNullSafe(F.col(of_key))).withColumn(place, F.monotonically_increasing_id())
+    chunks = F.ceil(F.col(times) / F.lit(NUMBERED_ROWS)).cast("long")
+    again = stored(again.withColumn(chunk, F.pmod(F.xxhash64(place), chunks)), "repeated-rows")
+    sizes = again.groupBy(of_key, chunk).agg(F.count(F.lit(1)).alias(times))
+    before = Window.partitionBy(of_key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = small_side(stored(sizes.select(F.col(of_key).alias("k"), F.col(chunk).alias("c"), F.coalesce(F.sum(times).over(before), F.lit(0)).alias(first)),
+                              "repeated-chunks"))
+    row = F.row_number().over(Window.partitionBy(of_key, chunk).orderBy(place))
+    again = again.withColumn(number, row - 1).join(sizes, F.col(of_key).eqNullSafe(F.col("k")) & (F.col(chunk) == F.col("c")))
+    again = again.withColumn(number, (F.col(number) + F.col(first)).cast("long"))
+    return once.unionByName(again.select(*[F.col(quoted(c)) for c in df.columns], number))

@@ -98,3 +98,39 @@ def test_row_sizes_count_bytes(spark):
     for r in got:
         b = (r["text"] or "").encode()
         assert (r["n"], r["c"]) == (len(b) + 16, zlib.crc32(b))
+
+
+def test_rows_that_share_an_id_decide_apart(spark):
+    # two thirds without an id; unlike texts, and one text a thousand times
+    rows = [(None if i % 3 else i, f"a b c d e{i}", "en", f"s{i % 2}", 0) for i in range(6000)] + [(7, "v w x y z", "en", "s0", 0)] * 3000
+    df = frame(spark, rows)
+    plan = mixing.mixing_plan(df)
+    for r in plan.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect():
+        assert abs(r["n"] / r["t"] - 1) < 0.05
+    columns = ["doc_id", "source", "text", "copies"]
+    again = mixing.mixing_plan(df.repartition(5)).select(*columns)
+    assert Counter(map(tuple, plan.select(*columns).collect())) == Counter(map(tuple, again.collect()))
+
+
+def test_repeats_are_numbered_in_chunks(spark, monkeypatch):
+    from pagetext.llm import tables
+    monkeypatch.setattr(tables, "NUMBERED_ROWS", 10)
+    df = spark.createDataFrame([(1, None)] * 57 + [(None, "x")] * 23 + [(2, "y")], "a long, b string")
+    repeats = df.groupBy("a", "b").count().where("count > 1").withColumnRenamed("count", "n")
+    got = defaultdict(list)
+    for r in tables.numbered_repeats(df, repeats, ["a", "b"], "number").collect():
+        got[r["a"], r["b"]].append(r["number"])
+    assert {k: sorted(v) for k, v in got.items()} == {(1, None): [*range(57)], (None, "x"): [*range(23)], (2, "y"): [0]}
+
+
+def test_equal_rows_fill_several_buckets(spark):
+    rows = [(None, "same text", "en", "s", 0)] * 400 + [(i, f"text {i}", "en", "s", 0) for i in range(50)]
+    df = frame(spark, rows)
+    got = sharding.shuffle_into_shards(df, 3, bucket_bytes=1000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = sharding.shuffle_into_shards(df.repartition(7), 3, bucket_bytes=1000).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
