@@ -3,10 +3,11 @@
 Two generative models over hashed n-grams (Xie et al. 2023, data selection via
 importance resampling): a bag-of-features model of the target, documents
 labelled good, and one of the raw corpus, all documents. A document's log
-importance weight is the sum over its features of ln(target / raw). Documents
-compete with excerpts of equal size: beyond ``EXCERPT`` features the weight
-counts as the mean over so many, whatever the document's length. Selection is
-Gumbel top-k: that weight plus seeded Gumbel noise, the ``k`` largest stay.
+importance weight is the sum over its n features of ln(target / raw), times
+``EXCERPT`` / (``EXCERPT`` + n): one rule for all lengths, under which long
+documents compete by their mean and do not win or lose by length alone.
+Selection is Gumbel top-k: that weight plus seeded Gumbel noise, the ``k``
+largest stay.
 
 Features: runs of word bytes (letters, digits, non-ASCII) and runs of other
 visible bytes, A-Z lower-cased, and pairs of neighbours, hashed into
@@ -20,7 +21,8 @@ ones lost counting ``GOOD_COST`` times a share of bad ones kept. Without bad
 ones it is the level that all but ``CLEAN_LOSS`` of the good ones reach, less
 ``MARGIN`` nats. The raw model, the weights and the selection cover all documents.
 
-A null or empty text has weight 0. Equal rows share their noise; documents tied
+A document labelled good but toxic is neither target nor held back. A null or
+empty text has weight 0. Equal rows share their noise; documents tied
 with the k-th key all stay. A doc_id with several labels counts as good only if
 all say so. Without good labels nothing is rejected. Only doc_id and text are
 read; a column of docs named like an added one cannot clash.
@@ -65,7 +67,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """(doc_id, good, calibrates): at most ``limit`` labelled documents."""
     known = (labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-             .agg((F.min("quality") > 0).alias("good")))
+             .agg((F.min("quality") > 0).alias("good"), F.coalesce(F.max("toxic") > 0, F.lit(False)).alias("toxic"))
+             .where("not (good and toxic)").drop("toxic"))
     dice = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     return known.orderBy(dice, "doc_id").limit(limit).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.lit(2)) == 1)
 
@@ -110,7 +113,8 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             weight = np.bincount(text, weights=ratios[bucket], minlength=b.num_rows).astype(float)
             u = (mix(b.column("dice").to_numpy().view(U64)) >> U64(12)).astype(float) / 2.0 ** 52 + 2.0 ** -53
             size = np.bincount(text, minlength=b.num_rows)
-            key = weight * (EXCERPT / np.maximum(size, EXCERPT)) - np.log(-np.log(u))
+            weight *= EXCERPT / (EXCERPT + size)
+            key = weight - np.log(-np.log(u))
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in ("doc_id", "text_hash", "good", "calibrates")], pa.array(weight), pa.array(key), pa.array(sortable(key))],
                 names=["doc_id", "text_hash", "good", "calibrates", "log_weight", "gumbel_key", "key_order"])
@@ -151,7 +155,8 @@ def parting_level(good: np.ndarray, bad: np.ndarray, clean_loss: float, margin:
 
 def calibrated_count(scored: DataFrame, clean_loss: float = CLEAN_LOSS, margin: float = MARGIN) -> int:
     """How many documents reach the level of the held-back labelled ones (at most LABELLED rows come to the driver)."""
-    held = scored.where("calibrates").select("good", "gumbel_key").limit(LABELLED).collect()
+    dice = F.xxhash64(F.lit(SEED + 2), F.col("doc_id"), F.col("text_hash"))      # repeated ids can make more rows than labels
+    held = scored.where("calibrates").orderBy(dice, "gumbel_key").limit(LABELLED).select("good", "gumbel_key").collect()
     good = np.array([r["gumbel_key"] for r in held if r["good"]])
     if not len(good):
         return scored.count()

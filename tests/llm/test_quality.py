@@ -48,6 +48,7 @@ def test_weights_equal_a_plain_count(spark):
     got = quality.resample(frame(spark, docs), frame(spark, labels, LABELS), k=50).collect()
     for r in got:
         want = sum(c * (math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw)) for b, c in feats[r["doc_id"]].items())
+        want *= quality.EXCERPT / (quality.EXCERPT + sum(feats[r["doc_id"]].values()))
         assert r["log_weight"] == pytest.approx(want, abs=1e-9)
     keys = sorted((r["gumbel_key"] for r in got), reverse=True)
     assert sum(r["selected"] for r in got) == 50 and all(r["selected"] == (r["gumbel_key"] >= keys[49]) for r in got)
@@ -105,3 +106,9 @@ def test_level_parts_good_from_bad():
     assert quality.parting_level(good, bad, 0.002, 3.0) == -25.0
     assert quality.parting_level(good, bad[:0], 0.0, 3.0) == -8.0
     assert quality.parting_level(good, np.array([9.0]), 0.002, 3.0) == -8.0
+
+
+def test_toxic_documents_are_no_target(spark):
+    labels = [(1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 1, None), (5, 1, 0), (5, 1, 1)]
+    got = {r["doc_id"]: r["good"] for r in quality.labelled_sample(frame(spark, labels, LABELS)).collect()}
+    assert got == {1: True, 3: False, 4: True}
