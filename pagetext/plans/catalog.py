@@ -25,7 +25,7 @@ from ..session import new_table_path, spread
 from ..sources import files
 from ..sources.readers import read_eval_lines, read_lexicon, word_freq, write_results
 from ..streaming.ingest import read_store, stream_ingest
-from ..streaming.metrics import read_metrics, stream_metrics, windowed_metrics
+from ..streaming.metrics import read_metrics, read_windows, stream_metrics, stream_windows, windowed_metrics
 from . import fixtures as fx
 
 PARAMS = Params()
@@ -572,10 +572,20 @@ def q_stream_metrics(spark, sf):
     return _metrics_out(read_metrics(spark, out))
 
 
+def _windows_out(w):
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "endpoint", big("count").alias("count"), r6("sum").alias("sum"))
+
+
 def q_windowed_metrics(spark, sf):
     """The windowed form over the events table (a watermark does nothing in batch)."""
-    w = windowed_metrics(fx.fx_requests(spark, sf))
-    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "endpoint", big("count").alias("count"), r6("sum").alias("sum"))
+    return _windows_out(windowed_metrics(fx.fx_requests(spark, sf)))
+
+
+def q_stream_windows(spark, sf):
+    """The windowed form as a stream: the windows that the watermark has closed."""
+    out = new_table_path(spark, "stream-windows")
+    stream_windows(spark, *_event_stream(spark, sf), out, new_table_path(spark, "stream-windows-ckpt"))
+    return _windows_out(read_windows(spark, out))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -614,6 +624,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "warm_cache": q_warm_cache, "process_batch": q_process_batch,
     # streaming
     "stream_ingest": q_stream_ingest, "stream_metrics": q_stream_metrics, "windowed_metrics": q_windowed_metrics,
+    "stream_windows": q_stream_windows,
     # engines
     "run_engine": q_run_engine, "dummy_engine": q_dummy_engine,
 }

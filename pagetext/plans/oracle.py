@@ -454,6 +454,9 @@ ORACLE_SQL: dict[str, str] = {
     "stream_metrics": METRICS_SQL,
     "windowed_metrics": """SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS endpoint,
         count(*)::BIGINT AS count, round(sum(value / 100.0), 6) AS sum FROM events GROUP BY ALL""",
+    "stream_windows": """SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS endpoint,
+        count(*)::BIGINT AS count, round(sum(value / 100.0), 6) AS sum FROM events
+      WHERE time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY ALL""",
     # ---------------------------------------------------------------- engines
     "run_engine": with_fx("fx_lines") + f"""SELECT d.doc_id::VARCHAR AS key, 'replay' AS engine_name,
         CASE WHEN d.doc_id % 97 <> 96 THEN length(coalesce(t.text, '')) END::BIGINT AS text_chars,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import new_table_path
+
 
 def read_lexicon(spark: SparkSession, folder: str, languages: tuple[str, ...] | None = None) -> DataFrame:
     """``<folder>/<lang>.txt``, one token per line -> ``(lang, word, freq)``.
@@ -27,10 +29,13 @@ def word_freq(words: DataFrame) -> DataFrame:
 
 def line_numbers(lines: DataFrame) -> DataFrame:
     """``(row_id, value)`` of a text scan (``spark.read.text``): 0-based line numbers in
-    file order. Rows are numbered within their file split; the splits' offsets are
-    running sums over one small row per split."""
+    file order. Rows are numbered within their file split and stored, since another scan may
+    be split otherwise; the splits' offsets are running sums over one small row per split."""
     rows = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"),
                         F.monotonically_increasing_id().alias("i"), "value")
+    path = new_table_path(lines.sparkSession, "line-rows")
+    rows.write.parquet(path)
+    rows = lines.sparkSession.read.schema(rows.schema).parquet(path)
     splits = rows.groupBy("f", "s").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("f", "s", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
