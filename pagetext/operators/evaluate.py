@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit_distance import cer, wer
+from ..functions.edit_distance import py_split
 from .guard import required
+from .long_pairs import with_distance
 
 
 def pair_eval(preds: DataFrame, truths: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -20,12 +21,15 @@ def pair_eval(preds: DataFrame, truths: DataFrame, row_id: str = "row_id") -> Da
     return paired.select(row_id, "ref", "hyp")
 
 
-def score_pairs(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Per pair: CER over characters, WER over whitespace tokens."""
-    return pairs.withColumns({
-        "cer": cer(F.col(ref), F.col(hyp)),
-        "wer": wer(F.col(ref), F.col(hyp)),
-    })
+def score_pairs(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", rates: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
+    """Per pair: CER over characters, WER over whitespace tokens, for texts of any length
+    (a pair too long for one task is cut into cells). Empty truths count as one."""
+    out = pairs
+    for rate in rates:
+        size = F.length(ref) if rate == "cer" else F.size(py_split(F.col(ref)))
+        out = with_distance(out, ref, hyp, rate, tokens=rate == "wer")
+        out = out.withColumn(rate, F.col(rate) / F.greatest(F.lit(1), size))
+    return out
 
 
 def mean_cer_wer(scored: DataFrame) -> DataFrame:

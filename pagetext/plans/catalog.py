@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions import normalize as norm
-from ..functions.edit_distance import cer as cer_col
-from ..functions.edit_distance import wer as wer_col
 from ..operators import assemble, attempts, boxes, cache, engine, evaluate, flatten, metrics, pages, raster
 from ..operators import spelling, votes
 from ..params import Params, alias_columns
@@ -306,12 +304,17 @@ def q_pair_eval(spark, sf):
 
 def q_cer(spark, sf):
     c = spread(fx.fx_cer(spark, sf))
-    return c.select(big("doc_id").alias("doc_id"), r6(cer_col(F.col("ref"), F.col("hyp"))).alias("cer"))
+    return evaluate.score_pairs(c, rates=("cer",)).select(big("doc_id").alias("doc_id"), r6("cer").alias("cer"))
 
 
 def q_wer(spark, sf):
     w = spread(fx.fx_wer(spark, sf))
-    return w.select(big("doc_id").alias("doc_id"), r6(wer_col(F.col("ref"), F.col("hyp"))).alias("wer"))
+    return evaluate.score_pairs(w, rates=("wer",)).select(big("doc_id").alias("doc_id"), r6("wer").alias("wer"))
+
+
+def q_wer_documents(spark, sf):
+    w = spread(fx.fx_wer_documents(spark, sf))
+    return evaluate.score_pairs(w, rates=("wer",)).select(big("doc_id").alias("doc_id"), r6("wer").alias("wer"))
 
 
 def q_mean_cer_wer(spark, sf):
@@ -618,7 +621,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_emails": q_extract_emails, "extract_urls": q_extract_urls, "normalize_text": q_normalize_text,
     "spell_correct": q_spell_correct, "language_heuristic": q_language_heuristic,
     "resolve_engine_language": q_resolve_engine_language, "primary_language": q_primary_language,
-    "cer": q_cer, "wer": q_wer, "content_key": q_content_key, "grayscale": q_grayscale, "invert": q_invert,
+    "cer": q_cer, "wer": q_wer, "wer_documents": q_wer_documents, "content_key": q_content_key, "grayscale": q_grayscale, "invert": q_invert,
     # cache
     "cache_get_or_set": q_cache_get_or_set, "cache_upsert": q_cache_upsert, "cache_evict_dummy": q_cache_evict_dummy,
     "warm_cache": q_warm_cache, "process_batch": q_process_batch,

@@ -154,13 +154,21 @@ def fx_cer(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", ref.alias("ref"), F.translate(ref, "oil", "011").alias("hyp"))
 
 
-def fx_wer(spark, sf_dir) -> DataFrame:
-    """Conversation turns and the same with every 7th token left out and long tokens misread."""
-    d = table(spark, sf_dir, "conversations")
-    ref = ascii_text(F.coalesce("text", F.lit("")))
+def _misread(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    ref = ascii_text(text)
     kept = F.filter(py_split(ref), lambda t, i: i % 7 != 6)
     hyp = F.transform(kept, lambda t: F.when(F.length(t) > 6, F.translate(t, "oil", "011")).otherwise(t))
-    return d.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), ref.alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+    return df.select(key.alias("doc_id"), ref.alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+
+
+def fx_wer(spark, sf_dir) -> DataFrame:
+    """Conversation turns and the same with every 7th token left out and long tokens misread."""
+    return _misread(table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), F.coalesce("text", F.lit("")))
+
+
+def fx_wer_documents(spark, sf_dir) -> DataFrame:
+    """The same of whole documents."""
+    return _misread(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
 
 
 # ------------------------------------------------------------------ attempts / requests
