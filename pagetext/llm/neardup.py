@@ -15,7 +15,9 @@ Method (HyperMinHash, Yu and Weber 2017):
    class, and one of them goes on.
 3. Forty bands of five registers are join keys. A linked pair (similarity 0.8)
    meets in no band with probability (1 - 0.8^5)^40 = 1.2e-7.
-4. In each bucket every member is paired with the smallest one. Pairs pass a
+4. In each bucket every member is paired with the smallest one, the pivot; a pivot's
+   pairs are dealt over slices by their number, each with a copy of its sketch and set,
+   so no key grows with a group. Pairs pass a
    collision-corrected estimate of the similarity (cut five standard errors
    below 0.8), then are confirmed on the full sets.
 5. Buckets whose members still lie in several components are searched whole, on
@@ -51,6 +53,8 @@ PERCENT = 80
 ESTIMATE_CUT = 0.65       # 0.8 less five standard errors of 200 registers
 BLOCK = 512               # members of a bucket compared at once
 SLICE = 8192              # shingles multiplied out at once
+SLICE_PAIRS = 256         # pairs of a pivot that meet in one slice, about
+PIVOT = ["a", "slices", "slice"]
 IDS_BROADCAST = 1_000_000   # rows of two long columns at most: 16 MB
 SALT_A, SALT_B = U64(0x8CB92BA72F3D8DD7), U64(0xA0761D6478BD642F)
 EMPTY = np.iinfo(np.uint64).max
@@ -204,17 +208,33 @@ def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.S
 
 
 # ------------------------------------------------------------------ links and components
+def slices_of(size: Column) -> Column:
+    """Parts, a power of two, that the pairs of a pivot in a bucket are dealt over."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(size / SLICE_PAIRS)))).cast("long")
+
+
+def sliced(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")))
+
+
+def copied(pivots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pivots`` (a and what it carries) once for each slice of its pairs."""
+    of = pairs.select("a", "slices").distinct()
+    return pivots.join(of, "a").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b, slices) whose full sets are similar enough."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with_b = small_side(pairs.withColumnRenamed("b", "doc_id"), IDS_BROADCAST)
+    with_b = small_side(sliced(pairs).select(F.col("b").alias("doc_id"), F.struct(*PIVOT).alias("pivot")), IDS_BROADCAST)
     with_a = small_side(stored(pairs.select(F.col("a").alias("doc_id")).distinct(), "pivots"), IDS_BROADCAST)
-    left = shingle_sets(ids.join(with_b, "doc_id"), shingle, "a").select("a", F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    left = (shingle_sets(ids.join(with_b, "doc_id"), shingle, "pivot")
+            .select("pivot.*", F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")))
     right = (shingle_sets(ids.join(with_a, "doc_id").withColumn("own", F.col("doc_id")), shingle, "own")
              .select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")))
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    return left.join(right, "a").where(both * 100 >= either * PERCENT).select("a", "b").distinct()
+    return left.join(copied(right, pairs), PIVOT).where(both * 100 >= either * PERCENT).select("a", "b").distinct()
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -336,14 +356,17 @@ def linked_classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame,
     nodes = stored(nodes.select(F.col("uid").alias("node"), "n_shingles", "registers", "bands").dropDuplicates(["node"]), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    buckets = buckets.withColumn("slices", slices_of(F.col("size")))
     members = stored(bands.join(buckets, "band").distinct(), "bucket-members")
 
     info = nodes.select("node", "n_shingles", "registers")
     side = lambda c: info.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    star = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(side("b"), "b").join(side("a"), "a")
+    # a pivot meets its many near copies in slices, each with a copy of its sketch
+    star = members.where("node != pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("slices").alias("slices"))
+    star = stored(star, "star-candidates")
+    star = sliced(star).join(side("b"), "b").join(copied(side("a"), star), PIVOT)
     star = star.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    star = star.where(estimate("r_a", "r_b", "n_a", "n_b") >= ESTIMATE_CUT).select("a", "b").distinct()
+    star = star.where(estimate("r_a", "r_b", "n_a", "n_b") >= ESTIMATE_CUT).select("a", "b", "slices")
     links = stored(confirmed(keyed, stored(star, "star-pairs"), shingle), "star-links")
 
     # buckets whose members are not known to be connected, one of those with equal members

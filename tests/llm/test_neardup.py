@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagetext.llm import neardup
 
@@ -72,6 +73,24 @@ def test_chains_and_short_texts(spark, tmp_path, monkeypatch):
     assert run(spark, tmp_path, rows, 2) == by_hand(rows, 2)
 
 
+def test_pivot_pairs_are_dealt_over_slices(spark, tmp_path, monkeypatch):
+    """One large group of near copies: same result, no key with more than about its share."""
+    monkeypatch.setattr(neardup, "SLICE_PAIRS", 4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i % 60] + [f"x{i}"] + base[i % 60 + 1:])) for i in range(1, 120)]
+    rows = [(0, " ".join(base))] + rows + [(500, "something else entirely"), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 2).collect()}
+    assert got == {i: 0 if i < 500 else i for i, _ in rows}
+    pairs = spark.createDataFrame([(0, b, 32) for b in range(1, 120)], "a long, b long, slices long")
+    dealt = neardup.sliced(pairs).groupBy(*neardup.PIVOT).count()
+    assert dealt.count() > 20 and dealt.agg({"count": "max"}).first()[0] < 16
+    whole = neardup.copied(spark.createDataFrame([(0, "set")], "a long, carried string"), pairs)
+    assert whole.count() == 32
+    sizes = spark.createDataFrame([(s,) for s in (2, 4, 5, 1000)], "size long").select(neardup.slices_of(F.col("size")).alias("n"))
+    assert [r.n for r in sizes.collect()] == [1, 1, 2, 256]
+
+
 def test_recall_at_the_limit():
     """Pairs of similarity 0.8 share a band and pass the estimate."""
     rng = np.random.default_rng(5)
