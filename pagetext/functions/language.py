@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,16 +41,24 @@ def _count_chars(s: Column, chars: str) -> Column:
     return F.length(s) - F.length(F.translate(s, chars, ""))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def language_heuristic(text: Column, default: str = "mix") -> Column:
     """L1: token/letter scores on stripped, lower-cased text."""
-    s = F.lower(strip_ws(text))
-    id_score = sum((_count_sub(s, t) for t in ID_TOKENS), F.lit(0)) * 5 + _count_chars(s, ID_CHARS)
-    en_score = sum((_count_sub(s, t) for t in EN_TOKENS), F.lit(0)) * 5 + _count_chars(s, EN_CHARS)
-    return (F.when(text.isNull() | (s == ""), F.lit(default))
-            .when((id_score == 0) & (en_score == 0), F.lit(default))
-            .when(F.abs(id_score - en_score) <= 2, F.lit("mix"))
-            .when(id_score > en_score, F.lit("id"))
-            .otherwise(F.lit("en")))
+    def scores(s: Column) -> Column:
+        score = lambda tokens, chars: sum((_count_sub(s, t) for t in tokens), F.lit(0)) * 5 + _count_chars(s, chars)
+        return F.struct((s == "").alias("blank"), score(ID_TOKENS, ID_CHARS).alias("id"), score(EN_TOKENS, EN_CHARS).alias("en"))
+
+    def chosen(x: Column) -> Column:
+        return (F.when(x["blank"], F.lit(default))
+                .when((x["id"] == 0) & (x["en"] == 0), F.lit(default))
+                .when(F.abs(x["id"] - x["en"]) <= 2, F.lit("mix"))
+                .when(x["id"] > x["en"], F.lit("id"))
+                .otherwise(F.lit("en")))
+    return F.when(text.isNull(), F.lit(default)).otherwise(_once(_once(F.lower(strip_ws(text)), scores), chosen))
 
 
 def _map_lookup(mapping: dict[str, str], key: Column) -> Column:

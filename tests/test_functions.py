@@ -160,3 +160,32 @@ def test_normalise_without_matches_is_unchanged(spark):
     for value in ("plain words only", "", None, "A@B.CO and a@b.co twice A@B.CO"):
         out = one(spark, norm.normalize_columns(F.col("s"))["text"], value)
         assert out == (value.lower().replace("a@b.co", "a@b.co") if value and "@" in value else value)
+
+
+def test_spelling_joins_only_marked_keys(spark):
+    """Keys of tokens that no word has are left out before the join."""
+    import numpy as np
+    from pagetext.operators import spelling
+    words = spark.createDataFrame([("invoice", 3), ("uncharacteristically", 1)], "word string, freq long")
+    toks = spark.createDataFrame([("invocie",), ("qqqqqqqqqq",), ("uncharacteristicaly",), ("",)], "tok string")
+    keys = spelling._keyed(words, "word", spelling._word_keys)
+    bits = spelling._key_bitmap(keys)
+    assert 0 < int(np.unpackbits(bits).sum()) <= keys.select("k").distinct().count()
+    marked = spark.sparkContext.broadcast(bits)
+    found = spelling._keyed(toks, "tok", spelling._token_keys, marked).groupBy("tok").count().collect()
+    assert {r["tok"] for r in found} == {"invocie", "uncharacteristicaly"}
+
+
+def test_texts_that_share_a_key_are_corrected_as_one(spark):
+    from pagetext.operators import spelling
+    lex = spark.createDataFrame([("en", "date", 3)], "lang string, word string, freq long")
+    docs = spark.createDataFrame([(1, "dat zz"), (1, "yyy"), (None, "dat")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in spelling.spell_correct(docs, lex).collect())
+    assert got == [("1", "date yyy zz"), ("1", "date yyy zz"), ("None", "")]
+
+
+def test_language_computes_its_scores_once(spark):
+    """The text is lowered once, not once for each place that reads a score."""
+    from pagetext.functions import language as lang
+    df = spark.createDataFrame([("x",)], "s string").select(lang.language_heuristic(F.col("s")).alias("l"))
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1
