@@ -77,3 +77,15 @@ def test_wer_of_whole_documents(spark):
     got = {r.doc_id: r.wer for r in catalog.QUERIES["wer_documents"](spark, sf).collect()}
     assert len(got) == fixtures.fx_wer_documents(spark, sf).count() and len(want) > 10
     assert all(abs(got[i] - w) < 1e-6 for i, w in want.items())
+
+
+def test_misread_characters_need_no_sweep(monkeypatch):
+    """Hamming's distance that is also a lower bound is the distance; other pairs are swept."""
+    from pagetext.functions import edit_distance as ed
+    swept = []
+    banded = ed.banded
+    monkeypatch.setattr(ed, "banded", lambda pairs, bound: (swept.append(len(pairs)), banded(pairs, bound))[1])
+    assert ed.levenshtein("oil on soil " * 500, "0i1 0n s0i1 " * 500) == 2500 and not swept
+    assert ed.levenshtein("abcabcabc", "bcabcabca") == 2 and swept
+    far = chr(0x1F600)
+    assert ed.levenshtein("a" + far, "b" + far) == 1 and ed.levenshtein(far + "ab", "x" + "ba") == 3
