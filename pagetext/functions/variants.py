@@ -45,14 +45,20 @@ def is_object(v: str) -> str:
     return f"({get(v, '', 'struct<line:variant>')} IS NOT NULL)"
 
 
+def is_list(v: str) -> str:
+    """A list with elements. A path that leads nowhere is an exception inside Spark and costs microseconds;
+    this cast looks at the kind of each element only."""
+    return f"coalesce(size({get(v, '', 'array<struct<_:int>>')}) > 0, false)"
+
+
 def is_container(v: str) -> str:
     """An object or a list with elements."""
-    return f"({item(v, 0)} IS NOT NULL OR {is_object(v)})"
+    return f"({is_object(v)} OR {is_list(v)})"
 
 
 def kind(v: str) -> str:
-    """Two letters for the kind of a value; no container is read further than its first element."""
-    return f"CASE WHEN {item(v, 0)} IS NOT NULL THEN '{LIST}' WHEN {is_object(v)} THEN '{OBJECT}' ELSE substring(schema_of_variant({v}), 1, 2) END"
+    """Two letters for the kind of a value; containers are not read below their elements."""
+    return f"CASE WHEN {is_object(v)} THEN '{OBJECT}' WHEN {is_list(v)} THEN '{LIST}' ELSE substring(schema_of_variant({v}), 1, 2) END"
 
 
 def is_number(v: str) -> str:
@@ -64,22 +70,33 @@ def is_string(v: str) -> str:
 
 
 def is_given(v: str) -> str:
-    """Null, false, zero, '', [] and {} are not given."""
-    return (f"CASE {kind(v)} WHEN '{STRING}' THEN {get(v, '', 'string')} <> '' WHEN '{LIST}' THEN {item(v, 0)} IS NOT NULL "
-            f"WHEN '{OBJECT}' THEN size({get(v, '', 'map<string,variant>')}) > 0 WHEN '{NULL}' THEN false "
-            f"WHEN '{TRUTH}' THEN {get(v, '', 'boolean')} ELSE {get(v, '', 'double')} <> 0 END")
+    """Null, false, zero, '', [] and {} are not given. Tests in turn: ``CASE kind WHEN`` would tell the kind anew for each branch."""
+    return (f"CASE WHEN {is_list(v)} THEN true WHEN {is_object(v)} THEN size({get(v, '', 'map<string,variant>')}) > 0 "
+            f"WHEN substring(schema_of_variant({v}), 1, 2) = '{STRING}' THEN {get(v, '', 'string')} <> '' "
+            f"ELSE coalesce({get(v, '', 'double')} <> 0, {get(v, '', 'boolean')}) END")
+
+
+FIELDS = tuple(dict.fromkeys((*BOX_KEYS, *TEXT_KEYS, *SCORE_KEYS, "line")))
+
+
+def fields_of(v: str) -> str:
+    """A struct with what an object holds under each known key; NULL where ``v`` is no object.
+    One pass over its members instead of a search per key. Where ``v`` is of that form, say ``x.fields``,
+    ``listed`` and what builds on it take it instead of a value."""
+    return get(v, "", f"struct<{','.join(f'{k}:variant' for k in FIELDS)}>")
 
 
 def listed(v: str, keys: tuple[str, ...]) -> str:
-    return f"array({', '.join(member(v, k) for k in keys)})"
+    named = (f"{v}.{k}" for k in keys) if v.endswith("fields") else (member(v, k) for k in keys)
+    return f"array({', '.join(named)})"
 
 
 def first_given(v: str, keys: tuple[str, ...]) -> str:
-    return f"get(filter({listed(v, keys)}, m -> coalesce({is_given('m')}, false)), 0)"
+    return f"get(filter({listed(v, keys)}, m -> m IS NOT NULL AND coalesce({is_given('m')}, false)), 0)"
 
 
 def any_given(v: str, keys: tuple[str, ...]) -> str:
-    return f"exists({listed(v, keys)}, m -> coalesce({is_given('m')}, false))"
+    return f"exists({listed(v, keys)}, m -> m IS NOT NULL AND coalesce({is_given('m')}, false))"
 
 
 def as_text(v: str) -> str:
@@ -106,13 +123,13 @@ def wrapped(v: str, times: int) -> str:
     return member(v, *["line"] * times)
 
 
-def is_entry(v: str, of_kind: str) -> str:
-    """Whether the value is an entry or an object that wraps one in ``line``; ``of_kind``: its kind.
+def is_entry(v: str, of_kind: str, fields: str) -> str:
+    """Whether the value is an entry or an object that wraps one in ``line``; ``of_kind``: its kind, ``fields``: its ``fields_of``.
     An object that wraps more than ``WRAPS`` times counts as one, and its innermost value decides."""
     lines = f"array({', '.join(wrapped(v, n) for n in range(1, WRAPS + 1))})"
     inner = f"exists({lines}, w -> w IS NOT NULL AND ({has_box_and_text('w')} OR {is_pair('w')}))"
-    return (f"CASE {of_kind} WHEN '{LIST}' THEN {is_pair(v)} WHEN '{OBJECT}' THEN {has_box_and_text(v)} OR "
-            f"({wrapped(v, 1)} IS NOT NULL AND ({inner} OR {is_container(wrapped(v, WRAPS + 1))})) ELSE false END")
+    return (f"CASE {of_kind} WHEN '{LIST}' THEN {is_pair(v)} WHEN '{OBJECT}' THEN {has_box_and_text(fields)} OR "
+            f"({fields}.line IS NOT NULL AND ({inner} OR {is_container(wrapped(v, WRAPS + 1))})) ELSE false END")
 
 
 def parses(v: str) -> str:
@@ -140,17 +157,19 @@ def info_fields(info: str) -> tuple[str, str]:
     of_list = f"coalesce({as_text(item(info, 0))}, '')"
     named = first_given(info, ("text", "value"))
     raw = f"coalesce(CASE WHEN {kind(member(info, 'score'))} <> '{NULL}' THEN {member(info, 'score')} END, {member(info, 'confidence')})"
-    text = (f"CASE {kind(info)} WHEN '{LIST}' THEN {of_list} WHEN '{OBJECT}' THEN coalesce({as_text(named)}, '') "
-            f"WHEN '{STRING}' THEN try_variant_get({info}, '$', 'string') ELSE '' END")
-    score = f"CASE {kind(info)} WHEN '{LIST}' THEN {number_or_one(item(info, 1))} WHEN '{OBJECT}' THEN {number_or_one(raw)} ELSE 1.0D END"
+    listed_parts, named_parts = is_list(info), is_object(info)
+    text = (f"CASE WHEN {listed_parts} THEN {of_list} WHEN {named_parts} THEN coalesce({as_text(named)}, '') "
+            f"ELSE coalesce(CASE WHEN {is_string(info)} THEN try_variant_get({info}, '$', 'string') END, '') END")
+    score = f"CASE WHEN {listed_parts} THEN {number_or_one(item(info, 1))} WHEN {named_parts} THEN {number_or_one(raw)} ELSE 1.0D END"
     return text, score
 
 
 def with_fields(rows: DataFrame) -> DataFrame:
     """Adds ``fields``: text, score and box of the entry ``v``; text is NULL where it is none."""
-    rows = rows.withColumn("g", once(is_object=is_object("v"), points=item("v", 0), info=item("v", 1), more=item("v", 2),
-                                     box=first_given("v", BOX_KEYS[:2]), other=first_given("v", BOX_KEYS[2:]),
-                                     score=first_given("v", SCORE_KEYS), text=first_given("v", TEXT_KEYS)))
+    rows = rows.withColumn("fields", once(fields=fields_of("v"))).withColumn("fields", F.col("fields.fields"))
+    rows = rows.withColumn("g", once(is_object="fields IS NOT NULL", **{n: f"CASE WHEN fields IS NULL THEN {item('v', i)} END" for i, n in enumerate(("points", "info", "more"))},
+                                     box=first_given("fields", BOX_KEYS[:2]), other=first_given("fields", BOX_KEYS[2:]),
+                                     score=first_given("fields", SCORE_KEYS), text=first_given("fields", TEXT_KEYS)))
     (text1, score1), (text2, score2) = info_fields("g.info"), info_fields("g.more")
     box = f"CASE WHEN {is_object('g.box')} THEN {first_given('g.box', INNER_BOX_KEYS)} ELSE g.box END"
     score = f"CASE WHEN {is_object('g.score')} THEN {first_given('g.score', INNER_SCORE_KEYS)} ELSE g.score END"
@@ -158,7 +177,7 @@ def with_fields(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("h", once(box=either(f"coalesce({box}, g.other)", "g.points"), score=either(score, "NULL"),
                                      text=either(f"coalesce({as_text('g.text')}, '')", text1), pair_score=either("NULL", score1),
                                      text2=either("''", text2), score2=either("1.0D", score2)))
-    number = number_or_one("coalesce(try_variant_get(h.score, '$[0]', 'variant'), h.score)")
+    number = number_or_one(f"CASE WHEN {is_list('h.score')} THEN try_variant_get(h.score, '$[0]', 'variant') ELSE h.score END")
     second = "(h.text = '' AND h.text2 <> '')"
     fields = (f"named_struct('text', CASE WHEN {second} THEN h.text2 ELSE h.text END, "
               f"'score', CASE WHEN {second} THEN h.score2 WHEN g.is_object THEN {number} ELSE h.pair_score END, 'bbox', {flat_box('h.box')})")

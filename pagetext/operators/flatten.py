@@ -53,9 +53,9 @@ CONTAINERS = "array(" + ", ".join(f"'{k}'" for k in vr.CONTAINER_KEYS) + ")"
 
 def looked_at(values: str) -> str:
     """An array of (n, name, child) with the kind of each child and whether it is an entry."""
-    known = f"transform({values}, x -> named_struct('n', x.n, 'name', x.name, 'child', x.child, 'kind', {vr.kind('x.child')}))"
+    known = f"transform({values}, x -> named_struct('n', x.n, 'name', x.name, 'child', x.child, 'kind', {vr.kind('x.child')}, 'fields', {vr.fields_of('x.child')}))"
     return (f"transform({known}, x -> named_struct('n', x.n, 'name', x.name, 'child', x.child, 'kind', x.kind, "
-            f"'entry', coalesce({vr.is_entry('x.child', 'x.kind')}, false)))")
+            f"'entry', coalesce({vr.is_entry('x.child', 'x.kind', 'x.fields')}, false)))")
 
 
 def expanded(rows: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def expanded(rows: DataFrame) -> DataFrame:
     step = f"CASE WHEN found THEN array({itself}) WHEN line THEN concat(array({itself}), coalesce(members, array())) ELSE members END"
     is_list = f"outer_kind = '{vr.LIST}'"
     followed = f"array_position({CONTAINERS}, name) - 1"
-    on_pages = f"coalesce(on_pages AND NOT line AND ({is_list} OR ({followed} >= 0 AND {vr.item('child', 0)} IS NOT NULL)), false)"
+    on_pages = f"coalesce(on_pages AND NOT line AND ({is_list} OR ({followed} >= 0 AND {vr.is_list('child')})), false)"
     return rows.sparkSession.sql(f"""
       SELECT key, IF(n IS NULL, path, array_append(path, n)) AS path,
         CASE WHEN n IS NULL OR ({is_list} AND page_list) THEN page WHEN {is_list} THEN array_append(page, n)
@@ -115,9 +115,11 @@ def line_values(entries: DataFrame, kept: str = "more") -> DataFrame:
     ``v`` stays only where the condition ``kept`` holds."""
     wraps = [vr.wrapped("v", n) for n in range(1, vr.WRAPS + 2)]
     inmost = f"get(filter(array({', '.join(reversed(wraps[:-1]))}), w -> {vr.is_container('w')} AND {vr.parses('w')}), 0)"
+    wrapping = "found AND try_variant_get(v, '$', 'struct<line:variant>').line IS NOT NULL"
     plain = [c for c in entries.columns if c != "v"]
     picked = entries.select(*plain, F.col("v").alias("whole"),
-                            vr.once(v=f"CASE WHEN found THEN coalesce({inmost}, v) END", more=f"coalesce(found AND {vr.is_container(wraps[-1])}, false)").alias("w"))
+                            vr.once(v=f"CASE WHEN {wrapping} THEN coalesce({inmost}, v) WHEN found THEN v END",
+                                    more=f"coalesce({wrapping} AND {vr.is_container(wraps[-1])}, false)").alias("w"))
     lines = vr.with_fields(picked.select(*plain, "whole", "w.v", "w.more"))
     return lines.select(*plain, "more", F.expr(f"CASE WHEN {kept} THEN whole END").alias("v"), "fields.*")
 

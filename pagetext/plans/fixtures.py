@@ -83,13 +83,17 @@ def fx_engine_json(spark, sf_dir) -> DataFrame:
     lines = fx_lines(spark, sf_dir)
     entry = _entry_json(shape, k, F.col("text"), F.col("score"), F.col("line"))
 
-    def joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-        in_order = F.array_sort(F.collect_list(F.struct(order, "e")))
-        return rows.groupBy(*keys).agg(F.array_join(F.transform(in_order, lambda x: x["e"]), ",").alias("e"))
-    whole = shape.isin(0, 5)       # these shapes have no pages
-    paged = joined(lines.select("doc_id", F.floor(F.col("line") / LINES_PER_PAGE).alias("page"), "line", entry.alias("e")), ["doc_id", "page"], "line")
-    page = F.when(whole, F.col("e")).when(shape == 4, F.concat(F.lit('{"res":['), F.col("e"), F.lit("]}"))).otherwise(F.concat(F.lit("["), F.col("e"), F.lit("]")))
-    d = joined(paged.withColumn("e", page), ["doc_id"], "page")
+    # one shuffle of entries; the pages are cut from the sorted lines of the document
+    rows = lines.select("doc_id", F.col("line").cast("int").alias("line"), entry.alias("e"))
+    d = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "e"))).alias("l"))
+    last = F.element_at("l", -1)["line"]
+    listed = lambda l: F.array_join(F.transform(l, lambda x: x["e"]), ",")
+    numbers = F.sequence(F.lit(0), F.floor(last / LINES_PER_PAGE).cast("int"))
+    # texts that share a doc_id are merged line by line, so their pages hold more than four entries
+    paged = F.when(F.size("l") == last + 1, F.transform(numbers, lambda p: listed(F.slice("l", p * LINES_PER_PAGE + 1, LINES_PER_PAGE)))).otherwise(
+        F.filter(F.transform(numbers, lambda p: listed(F.filter("l", lambda x: F.floor(x["line"] / LINES_PER_PAGE) == p))), lambda e: e != ""))
+    page = lambda e: F.when(shape == 4, F.concat(F.lit('{"res":['), e, F.lit("]}"))).otherwise(F.concat(F.lit("["), e, F.lit("]")))
+    d = d.select("doc_id", F.when(shape.isin(0, 5), listed(F.col("l"))).otherwise(F.array_join(F.transform(paged, page), ",")).alias("e"))      # 0 and 5 have no pages
     payload = (F.when(shape == 0, F.concat(F.lit('{"data":['), F.col("e"), F.lit("]}")))
                .when(shape == 5, F.concat(F.lit('{"output":{"lines":['), F.col("e"), F.lit("]}}")))
                .otherwise(F.concat(F.lit("["), F.col("e"), F.lit("]"))))
