@@ -55,10 +55,14 @@ def valid_cache(cache: DataFrame) -> DataFrame:
     return latest_per_key(evict_dummy(cache))
 
 
-def dedupe_content(inputs: DataFrame, key: str = "key", order: str = "doc_id") -> DataFrame:
+def least_per_key(inputs: DataFrame, key: str = "key", order: str = "doc_id") -> DataFrame:
+    return inputs.groupBy(F.col(key).alias("least_key")).agg(F.min(order).alias("least"))
+
+
+def dedupe_content(inputs: DataFrame, key: str = "key", order: str = "doc_id", least: DataFrame | None = None) -> DataFrame:
     """One row per distinct content key (processed once, fanned out later): the
-    row with the smallest ``order`` value, which names a row."""
-    least = inputs.groupBy(F.col(key).alias("least_key")).agg(F.min(order).alias("least"))
+    row with the smallest ``order`` value, which names a row. ``least``: only of these keys."""
+    least = least if least is not None else least_per_key(inputs, key, order)
     return inputs.join(least, (F.col(key) == F.col("least_key")) & (F.col(order) == F.col("least")), "left_semi")
 
 

@@ -6,7 +6,8 @@ normalises the rest and appends them to the store. The store and the checkpoint
 are the caller's folders: a second start goes on where the first ended. Replaying
 a micro-batch after a failure is harmless, since the anti-join with the stored
 keys makes the write idempotent by key. The store is partitioned by the first
-two hex digits of the key and a micro-batch reads only the partitions it needs.
+two hex digits of the key; a micro-batch reads only the partitions it needs and adds
+at most one file to each.
 A stored result of the dummy engine does not count (C4).
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.language import language_heuristic
 from ..functions.normalize import normalize_frame
-from ..operators.cache import content_key, dedupe_content, evict_dummy
+from ..operators.cache import content_key, dedupe_content, evict_dummy, least_per_key
 
 STORE_SCHEMA = "key string, text string, language string, engine_name string, doc_id long, prefix string"
 
@@ -28,12 +29,16 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
 def _process(batch: DataFrame, store: str) -> None:
     spark = batch.sparkSession
-    fresh = dedupe_content(batch.select("doc_id", "text", content_key(F.col("text")).alias("key")))
-    fresh = fresh.withColumn("prefix", F.substring("key", 1, 2))
-    prefixes = [r["prefix"] for r in fresh.select("prefix").distinct().collect()]     # 256 at most
+    rows = batch.select("doc_id", "text", content_key(F.col("text")).alias("key"))
+    prefix = F.substring("key", 1, 2).alias("prefix")
+    prefixes = [r["prefix"] for r in rows.where("key IS NOT NULL").select(prefix).distinct().collect()]     # 256 at most
     known = evict_dummy(read_store(spark, store).where(F.col("prefix").isin(prefixes))).select("key")
-    out = normalize_frame(fresh.join(known, "key", "left_anti").withColumn("language", language_heuristic(F.col("text"))))
-    (out.select("key", "text", "language", F.lit("stream").alias("engine_name"), "doc_id", "prefix")
+    # which row stands for a key is settled on (key, doc_id); the texts move to it once
+    fresh = rows.select("key", "doc_id").join(known, "key", "left_anti")
+    fresh = dedupe_content(rows, least=least_per_key(fresh))
+    out = normalize_frame(fresh.withColumn("language", language_heuristic(F.col("text"))))
+    # a prefix is written by one task: one file, not one from each task
+    (out.select("key", "text", "language", F.lit("stream").alias("engine_name"), "doc_id", prefix).repartition("prefix")
      .write.mode("append").partitionBy("prefix").parquet(store))
 
 

@@ -210,3 +210,28 @@ def test_levels_and_wrappers_beyond_one_plan(spark):
     w = walked(spark, [deep, [wrapped, [{"bbox": QUAD, "text": "v"}]]], max_levels=65)
     assert sorted((r["doc_id"], r["text"], r["mode"]) for r in w.lines().collect()) == [(0, "x", "pages"), (1, "w", "pages")]
     assert walked(spark, [deep], max_levels=10).rejects.count() == 1
+
+
+def test_ingest_writes_one_file_a_prefix(spark, tmp_path):
+    from pagetext.streaming.ingest import stream_ingest
+    src, store = str(tmp_path / "src"), tmp_path / "store"
+    spark.range(600).selectExpr("id AS doc_id", "concat('text ', id % 300) AS text").repartition(4).write.parquet(src)
+    stream_ingest(spark, src, "doc_id long, text string", str(store), str(tmp_path / "ckpt"))
+    files = [len(list(p.glob("*.parquet"))) for p in store.glob("prefix=*")]
+    assert files and max(files) == 1
+    rows = spark.read.parquet(str(store)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(300))
+
+
+def test_payload_fixture_merges_rows_of_one_document(spark, tmp_path):
+    from pagetext.plans import fixtures as fx
+    rows = [(3, "a\nb\nc\nd\ne", "en"), (9, "a\nb", "en"), (9, "c", "en"), (4, "", "en"), (8, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = fx.fx_engine_json(spark, str(tmp_path))
+    got = {r["doc_id"]: r["j"] for r in df.collect()}
+    import json
+    texts = lambda p: [next(v for k, v in e.items() if k in fx.TEXT_SPELLINGS) for e in p]
+    assert [texts(p) for p in json.loads(got[3])] == [["a", "b", "c", "d"], ["e"]]
+    assert [texts(p) for p in json.loads(got[9])] == [["a", "c", "b"]]
+    assert set(got) == {3, 4, 9}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
