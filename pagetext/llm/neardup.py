@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packed import LOWER, U64, chunks, flat, mix, span_hashes, words
-from .tables import small_side, stored
+from .tables import shuffle_files_removed, small_side, stored
 
 REGISTERS, BANDS = 200, 40
 MANTISSA_BITS = 10
@@ -398,6 +398,11 @@ def of_rows(sk: DataFrame, c: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    with shuffle_files_removed(docs.sparkSession):
+        return document_components(docs, shingle)
+
+
+def document_components(docs: DataFrame, shingle: int) -> DataFrame:
     sk, classes, links = linked_classes(docs, shingle)
     # rows of one doc_id are one document: their classes are linked with the smallest of them
     several = stored(sk.where("uid is not null").groupBy("doc_id").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"))
@@ -420,6 +425,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each component (the smallest doc_id) left; same columns. Each
     row counts by its own text; of repeated rows one stays; rows without doc_id or words all stay."""
+    with shuffle_files_removed(docs.sparkSession):
+        return without_repeats(docs, shingle)
+
+
+def without_repeats(docs: DataFrame, shingle: int) -> DataFrame:
     sk, classes, links = linked_classes(docs, shingle)
     found = stored(of_rows(sk, class_components(classes, links)).where("least is not null").select("uid", F.col("least.uid").alias("stays")), "near-duplicates")
     drop = small_side(stored(found.where("uid != stays").select(F.col("uid").alias("gone")).distinct(), "dropped"), IDS_BROADCAST)

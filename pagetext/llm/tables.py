@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from ..session import new_table_path
 
 # A side is broadcast only when a count of its rows stays within this bound.
 BROADCAST_ROWS = 50_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Rows of one key that are numbered in one sort, about.
 NUMBERED_ROWS = 100_000
 
@@ -26,6 +29,17 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffle_files_removed(spark: SparkSession):
+    """Shuffle files of a finished write go at once, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, otherwise
     as it is (the join then shuffles). Counting is a job: pass a stored table."""

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import new_table_path
 from .bytebpe import encoder
 from .packed import chunks
-from .tables import stored, text_or_empty
+from .tables import shuffle_files_removed, stored, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -48,18 +47,6 @@ BLOCK = 1 << 17
 LANE = 128
 BLOCK_SCHEMA = ("part int, row long, offset long, n_ids long, payload binary, checkpoints binary, "
                 "doc_ids array<long>, lengths array<int>, whole array<boolean>")
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffle_files_removed(spark: SparkSession):
-    """Shuffle files of a finished write go at once, not when the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
 
 
 # ------------------------------------------------------------------ ids
