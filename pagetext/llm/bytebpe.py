@@ -99,7 +99,8 @@ class ByteBpe(dict):
             words = self.words
             if not all(map(self.is_assigned, set(FAR.findall(text)))):
                 return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if self.cut is None or not self.cut.search(text):
+        # plain searches: the pattern would be tried at each character
+        if self.cut is None or not any(map(text.__contains__, self.special)):
             return b"".join(map(self.__getitem__, words(text)))
         return b"".join(self.special[p] if p in self.special else b"".join(map(self.__getitem__, words(p)))
                         for p in self.cut.split(text))
