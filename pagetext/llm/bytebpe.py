@@ -7,6 +7,10 @@ pattern of that kind of file, for texts of characters up to U+024F with its
 classes spelt out. Beyond, the classes are those of the Unicode version the
 library was built with, so a text with characters that are unassigned in
 Python's goes whole through the library.
+
+``encode_all`` takes the texts of an Arrow batch at once: words are cut by the
+classes of their bytes, and each distinct word of the batch is looked up once.
+Texts with characters beyond U+024F or special tokens are encoded one by one.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
+from .packed import flat
+
 MEMORY = 96 << 20
 KEPT = 64
 ENTRY = 160           # bytes of a kept word besides its text, about
@@ -40,6 +47,43 @@ NEAR_WORDS = re.compile(f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^
 FAR = re.compile("[^\x00-ɏ]")
 
 
+@lru_cache(maxsize=1)
+def near_kinds() -> np.ndarray:
+    """0 space, 1 letter, 2 number, 3 other, for each character up to U+024F."""
+    kinds = [re.compile(f"[{k}]") for k in (SPACE, LETTER, NUMBER)]
+    return np.array([next((i for i, k in enumerate(kinds) if k.match(chr(c))), 3) for c in range(0x250)], np.uint8)
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words that ``NEAR_WORDS`` finds start, in UTF-8 texts of characters up to U+024F that follow one another."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kinds = near_kinds()
+    kind = kinds[:256][data]
+    wide = np.flatnonzero(data >= 0xC0)      # first of two bytes
+    kind[wide] = kind[wide + 1] = kinds[(data[wide] & 0x1F).astype(np.int64) << 6 | data[wide + 1] & 0x3F]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    cut = first.copy()
+    cut[1:n] |= kind[1:] != kind[:-1]
+    # the last space before a word stands apart from those before it, and goes with the word if it is a blank
+    at = np.flatnonzero((kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:n]) + 1
+    last = data[at - 1]
+    cut[at[last == 0x20]] = False
+    cut[at - np.where(last < 0x80, 1, 2)] = True
+    # 's, 't, 'm, 'd, 're, 've, 'll, where no blank goes with the apostrophe
+    at = np.flatnonzero(data[:-1] == ord("'"))
+    at = at[cut[at] & ~first[at + 1]]
+    one, two = data[at + 1], np.where(first[at + 2], 0, data[np.minimum(at + 2, n - 1)])
+    size = np.isin(one, np.frombuffer(b"stmd", np.uint8)) + 2 * (np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e"))
+                                                                | (one == ord("l")) & (two == ord("l")))
+    at, size = at[size > 0], size[size > 0]
+    cut[at + 1] = False
+    cut[at + 1 + size] = True
+    return np.flatnonzero(cut[:n])
+
+
 class ByteBpe(dict):
     """Ids by word, as packed integers of ``dtype``; a word is merged when first asked for.
     With ``specials`` the strings of special tokens in a text are those tokens, otherwise plain text."""
@@ -75,13 +119,19 @@ class ByteBpe(dict):
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.assigned: dict[str, bool] = {}
+        every, width = self.packed(range(self.size)), self.dtype.itemsize
+        self.packed_id = [every[at:at + width] for at in range(0, len(every), width)]
         self.used = 0
 
     def packed(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        if word.isascii() and word.isprintable():       # all but the blank stand for themselves
+            letters = word.replace(" ", self.letters[32])
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([self.packed_id[t.id] for t in self.model.tokenize(letters)])
         if len(word) <= KEPT:
             self.used += ENTRY + len(word) + len(ids)
             if self.used > MEMORY:
@@ -105,6 +155,37 @@ class ByteBpe(dict):
         return b"".join(self.special[p] if p in self.special else b"".join(map(self.__getitem__, words(p)))
                         for p in self.cut.split(text))
 
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The packed ids of each text (null: empty), ``end`` behind them."""
+        data, offsets = flat(texts)
+        alone = self.one_by_one(data, offsets)
+        if len(alone):
+            near = np.ones(len(texts), bool)
+            near[alone] = False
+            ids = pa.array([self.encode(t) + end for t in texts.take(pa.array(alone)).to_pylist()], pa.binary())
+            place = np.argsort(np.concatenate([np.flatnonzero(near), alone]))
+            return pa.concat_arrays([self.encode_all(texts.filter(pa.array(near)), end), ids]).take(pa.array(place))
+        starts = word_starts(data, offsets)
+        words = pa.Array.from_buffers(pa.string(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        ids = [*map(self.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), end]
+        before = np.searchsorted(starts, offsets)       # words before each text
+        which = np.insert(words.indices.to_numpy(), before[1:], len(ids) - 1)
+        joined = pa.array(ids, pa.binary()).take(pa.array(which))
+        spans = np.frombuffer(joined.buffers()[1], np.int32)[before + np.arange(len(before))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(spans), joined.buffers()[2]])
+
+    def one_by_one(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold special tokens or characters beyond U+024F."""
+        far = np.flatnonzero(data >= 0xC9)
+        far = far[(data[far] > 0xC9) | (data[np.minimum(far + 1, len(data) - 1)] >= 0x90)]
+        found = [np.searchsorted(offsets, far, side="right") - 1]
+        whole = data.tobytes() if self.special else b""
+        for s in map(str.encode, self.special):
+            if s in whole:
+                found.append(np.array([i for i, (a, e) in enumerate(zip(offsets[:-1], offsets[1:])) if whole.find(s, a, e) >= 0], np.int64))
+        return np.unique(np.concatenate(found))
+
     def is_assigned(self, character: str) -> bool:
         """Whether the character has a category in this Python's Unicode version."""
         known = self.assigned.get(character)

@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from ..session import new_table_path
 from .bytebpe import encoder
-from .packed import chunks
+from .packed import chunks, flat
 from .tables import shuffle_files_removed, stored, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 MAX_BITS = 18
 BLOCK = 1 << 17
+TEXT_BYTES = 1 << 22       # texts encoded at once
 LANE = 128
 BLOCK_SCHEMA = ("part int, row long, offset long, n_ids long, payload binary, checkpoints binary, "
                 "doc_ids array<long>, lengths array<int>, whole array<boolean>")
@@ -63,9 +64,8 @@ def token_ids(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, True)
         end = bpe.packed([end_id])
-        for b in chunks(batches, "text"):
-            ids = [bpe.encode(t or "") + end for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["part", "row", "doc_id", "ids"])
+        for b in chunks(batches, "text", TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], bpe.encode_all(b.column("text"), end)], names=["part", "row", "doc_id", "ids"])
     return placed.mapInArrow(run, "part int, row long, doc_id long, ids binary")
 
 
@@ -74,8 +74,9 @@ def id_counts(tokens: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+            ids = flat(b.column("ids"))[0].view(dtype)
+            for at in range(0, len(ids), BLOCK):
+                counts += np.bincount(ids[at:at + BLOCK], minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
     out = np.zeros(size, np.int64)

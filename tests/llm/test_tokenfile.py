@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,6 +33,49 @@ def test_ids_equal_the_library(library, specials):
     assert b"".join(bpe.bytes_of[i] for i in np.frombuffer(bpe.encode("Été 日本"), bpe.dtype)) == "Été 日本".encode()
 
 
+PARTS = ["ab", " ", " ", "  ", "'s", "'t", "'re", "'r", "'ve", "'ll", "'l", "'", "'d", "'m", "L", "é", "\n", "\t", "0", "²", ".", "\x85", "\xa0",
+         "\x1c", "\0", "ɏ", "×", "e", "l", "s"]
+FAR_PARTS = ["ɐ", "日", "٣", "\u200b", "\u3000", "😀", "՘", "’", "<|endoftext|>", "<|endof", "text|>"]
+
+
+@pytest.mark.parametrize("specials", [True, False])
+def test_ids_of_a_batch_equal_the_library(library, specials):
+    own = Tokenizer.from_file(tf.TOKENIZER)
+    own.encode_special_tokens = not specials
+    bpe = bytebpe.ByteBpe(tf.TOKENIZER, specials)
+    rng = random.Random(7)
+    texts = ODD + [r[1] for r in odd_documents()] + ["", None]
+    for i in range(4000):
+        parts = PARTS if i % 10 else PARTS + FAR_PARTS
+        texts.append("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))))
+    whole, end = pa.array(texts), bpe.packed([0])
+    want = [np.array(own.encode(t or "", add_special_tokens=False).ids + [0], bpe.dtype).tobytes() for t in texts]
+    for size in (1, 7, len(texts)):
+        got = [ids for at in range(0, len(texts), size) for ids in bpe.encode_all(whole.slice(at, size), end).to_pylist()]
+        assert [(t, g) for t, g, w in zip(texts, got, want) if g != w] == []
+    assert bpe.encode_all(pa.array([None, ""], pa.string())).to_pylist() == [b"", b""]
+
+
+def test_a_word_is_looked_up_once_in_a_batch():
+    asked = []
+
+    class Counted(bytebpe.ByteBpe):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+    bpe = Counted(tf.TOKENIZER, True)
+    bpe.encode_all(pa.array(["one two one two", "one two", None, " two"] * 50), bpe.packed([0]))
+    assert sorted(asked) == [" one", " two", "one"]
+
+
+def test_id_counts(spark):
+    rows = [(np.array(ids, "<u2").tobytes(),) for ids in ([3], [], [3, 5, 3], list(range(10)) * 40_000)]
+    counts = tf.id_counts(spark.createDataFrame(rows, "ids binary"), 12, np.dtype("<u2"))
+    want = np.array([40_000] * 10 + [0, 0])
+    want[[3, 5]] += (3, 1)
+    assert counts.tolist() == want.tolist()
+
+
 def test_kept_words_are_bounded(monkeypatch):
     monkeypatch.setattr(bytebpe, "MEMORY", 2000)
     bpe = bytebpe.ByteBpe(tf.TOKENIZER, False)
