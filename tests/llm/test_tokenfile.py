@@ -35,7 +35,8 @@ def test_ids_equal_the_library(library, specials):
 
 PARTS = ["ab", " ", " ", "  ", "'s", "'t", "'re", "'r", "'ve", "'ll", "'l", "'", "'d", "'m", "L", "é", "\n", "\t", "0", "²", ".", "\x85", "\xa0",
          "\x1c", "\0", "ɏ", "×", "e", "l", "s"]
-FAR_PARTS = ["ɐ", "日", "٣", "\u200b", "\u3000", "😀", "՘", "’", "<|endoftext|>", "<|endof", "text|>"]
+FAR_PARTS = ["ɐ", "日", "٣", "①", "𝟘", "𐐀", "\u0301", "\u200b", "\u3000", "\u2003", "\u2028", "\u1680", "\u180e", "\ufeff", "😀", "’", "—", "…", "ſ"]
+ALONE_PARTS = ["՘", "\U000e0fff", "\uffff", "<|endoftext|>", "<|endof", "text|>"]
 
 
 @pytest.mark.parametrize("specials", [True, False])
@@ -46,7 +47,7 @@ def test_ids_of_a_batch_equal_the_library(library, specials):
     rng = random.Random(7)
     texts = ODD + [r[1] for r in odd_documents()] + ["", None]
     for i in range(4000):
-        parts = PARTS if i % 10 else PARTS + FAR_PARTS
+        parts = PARTS + FAR_PARTS * (i % 3 > 0) + ALONE_PARTS * (i % 10 == 0)
         texts.append("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))))
     whole, end = pa.array(texts), bpe.packed([0])
     want = [np.array(own.encode(t or "", add_special_tokens=False).ids + [0], bpe.dtype).tobytes() for t in texts]
@@ -56,6 +57,14 @@ def test_ids_of_a_batch_equal_the_library(library, specials):
     assert bpe.encode_all(pa.array([None, ""], pa.string())).to_pylist() == [b"", b""]
 
 
+def test_far_characters_do_not_part_a_text_from_its_batch(monkeypatch):
+    bpe = bytebpe.ByteBpe(tf.TOKENIZER, True)
+    texts = ["it’s a “word” — and … 日本語 \u3000 😀", "nearer", "ɐ٣ \u2003 \u2003x"] * 3
+    want = [bpe.encode(t) for t in texts]
+    monkeypatch.delattr(bytebpe.ByteBpe, "encode")
+    assert bpe.encode_all(pa.array(texts)).to_pylist() == want
+
+
 def test_a_word_is_looked_up_once_in_a_batch():
     asked = []
 
